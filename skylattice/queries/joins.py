@@ -89,9 +89,9 @@ def j7_in_subquery(t):
 
 
 @query("j8_anti", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o "
-                  "WHERE o.o_custkey = c.c_custkey)")
+                  "WHERE o.o_custkey = c.c_custkey AND o_orderstatus = 'P')")
 def j8_anti(t):
-    return t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    return t.customer.join(t.orders.filter("o_orderstatus = 'P'"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
 @query("j8_not_in", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

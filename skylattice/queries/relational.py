@@ -40,12 +40,12 @@ def p2_distinct(t):
 
 
 @query("p3_arithmetic", "SELECT l_orderkey, l_linenumber, l_linenumber // 2 AS half, -l_linenumber + 3 AS turned, "
-                        "round(l_extendedprice * (1 - l_discount) / l_quantity, 4) AS unit_price FROM lineitem")
+                        "l_extendedprice * (1 - l_discount) / l_quantity AS unit_price FROM lineitem")
 def p3_arithmetic(t):
     return t.lineitem.select(
         "l_orderkey", "l_linenumber", m.int_div("l_linenumber", F.lit(2)).alias("half"),
         (-F.col("l_linenumber") + 3).alias("turned"),
-        F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) / F.col("l_quantity"), 4).alias("unit_price"))
+        (F.col("l_extendedprice") * (1 - F.col("l_discount")) / F.col("l_quantity")).alias("unit_price"))
 
 
 @query("p4_comparison", "SELECT l_orderkey, l_linenumber FROM lineitem "
@@ -70,9 +70,9 @@ def p6_in(t):
                              & ~F.col("c_nationkey").isin(1, 2, 3)).select("c_custkey")
 
 
-@query("p7_like", "SELECT p_partkey, p_name FROM part WHERE p_type LIKE '%STEEL' AND p_name NOT LIKE 'a%'")
+@query("p7_like", "SELECT p_partkey, p_name FROM part WHERE p_type LIKE '%ARD' AND p_name NOT LIKE 'h_t%'")
 def p7_like(t):
-    return t.part.filter(F.col("p_type").like("%STEEL") & ~F.col("p_name").like("a%")).select("p_partkey", "p_name")
+    return t.part.filter(F.col("p_type").like("%ARD") & ~F.col("p_name").like("h_t%")).select("p_partkey", "p_name")
 
 
 @query("p8_is_null", "SELECT count(*) FILTER (WHERE quality IS NULL) AS missing, "
@@ -196,10 +196,11 @@ def u2_intersect_all(t):
                                 t.supplier.select(F.col("s_nationkey").alias("k")), keep_all=True)
 
 
-@query("u3_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("u3_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders "
+                   "WHERE o_totalprice > 250000")
 def u3_except(t):
     return relational.except_(t.customer.select(F.col("c_custkey").alias("k")),
-                              t.orders.select(F.col("o_custkey").alias("k")))
+                              t.orders.filter("o_totalprice > 250000").select(F.col("o_custkey").alias("k")))
 
 
 @query("u3_except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
