@@ -189,8 +189,8 @@ def not_boxes(_operand=None) -> Column:
 
 
 def planar_box(points) -> Column:
-    """Struct (x0, y0, x1, y1) around an array of (ra, dec) or (x, y) points."""
+    """Struct (x0, y0, x1, y1) around an array of (x, y) points."""
     points = col(points)
-    xs, ys = (F.transform(points, lambda p, i=i: p.getField(i)) for i in ("x", "y"))
+    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"),
                     F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))

@@ -415,15 +415,53 @@ def polygon_in_constant_box(vertices, limits) -> Column:
     """Whether a polygon column lies in a constant ra/dec box."""
     ra_min, dec_min, ra_max, dec_max = limits
     corners = F.forall(col(vertices), lambda v: in_constant_box(v["ra"], v["dec"], *limits))
-    bulges = F.forall(_dec_at_edges(_vectors(vertices)), lambda x: (x["low"] >= dec_min - _EDGE)
-                      & (x["high"] <= dec_max + _EDGE))
+
+    def bulges(v):
+        return F.forall(_dec_at_edges(v), lambda x: (x["low"] >= dec_min - _EDGE) & (x["high"] <= dec_max + _EDGE))
+
     if dec_max >= 90 or dec_min <= -90:
-        poles = F.lit(True)
-    else:
-        pole = lambda z: F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(z).alias("z"))
-        poles = ~(_vector_in_polygon(pole(1.0), _vectors(vertices))
-                  | _vector_in_polygon(pole(-1.0), _vectors(vertices)))
-    return corners & bulges & poles
+        return corners & _bind(_vectors(vertices), bulges)
+    poles = F.array(_literal_vector((0, 0, 1)), _literal_vector((0, 0, -1)))
+    return corners & _bind(_vectors(vertices), lambda v: bulges(v) & ~F.exists(
+        poles, lambda p: _vector_in_polygon(p, v)))
+
+
+def _edge_basis(e: Column) -> Column:
+    """Start a of a segment, its direction w there, and its length."""
+    a, b = e["a"], e["b"]
+
+    def basis(n):
+        size = _norm(n)
+        w = _cross(n, a)
+        return F.struct(
+            a["x"].alias("ax"), a["y"].alias("ay"), a["z"].alias("az"), (w["x"] / size).alias("wx"),
+            (w["y"] / size).alias("wy"), (w["z"] / size).alias("wz"), F.atan2(size, _dot(a, b)).alias("length"))
+
+    return _bind(_cross(a, b), basis)
+
+
+def _parallel_turns(g: Column, z0: Column) -> Column:
+    """Where the great circle of a segment has the height z0: phase -+ swing along the circle."""
+    radius = F.sqrt(g["az"] * g["az"] + g["wz"] * g["wz"])
+    return F.struct(
+        *(g[c].alias(c) for c in ("ax", "ay", "wx", "wy", "length")),
+        F.atan2(g["wz"], g["az"]).alias("phase"), F.acos(z0 / radius).alias("swing"),
+        F.coalesce((g["length"] > 1e-15) & (radius > F.abs(z0)), F.lit(False)).alias("reaches"))
+
+
+def _literal_vector(p) -> Column:
+    return F.struct(*(F.lit(float(c)).alias(n) for c, n in zip(p, "xyz")))
+
+
+def _meridian_sides(limits) -> Column | None:
+    """The great-circle sides of a constant box, halved so that none reaches 180 degrees."""
+    ra_min, dec_min, ra_max, dec_max = limits
+    if ra_max - ra_min >= 360:
+        return None
+    middle = (dec_min + dec_max) / 2
+    return F.array(*(
+        F.struct(_literal_vector(_cartesian(ra, lo)).alias("a"), _literal_vector(_cartesian(ra, hi)).alias("b"))
+        for ra in (ra_min, ra_max) for lo, hi in ((dec_min, middle), (middle, dec_max))))
 
 
 def _box_boundary_crossed(v: Column, limits) -> Column:
@@ -431,59 +469,40 @@ def _box_boundary_crossed(v: Column, limits) -> Column:
     ra_min, dec_min, ra_max, dec_max = limits
     closed = ra_max - ra_min >= 360
     tests = []
-    vector = lambda p: F.struct(*(F.lit(float(c)).alias(n) for c, n in zip(p, "xyz")))
-    if not closed:
-        for ra in (ra_min, ra_max):
-            # meridians: great circles, split so that no side reaches 180 degrees
-            middle = (dec_min + dec_max) / 2
-            for lo, hi in ((dec_min, middle), (middle, dec_max)):
-                side = F.struct(vector(_cartesian(ra, lo)).alias("a"), vector(_cartesian(ra, hi)).alias("b"))
-                tests.append(lambda e, side=side: _edges_cross(e, side))
-    for dec in (dec_min, dec_max):
-        if abs(dec) >= 90:
-            continue
-        z0 = math.sin(math.radians(dec))
-
-        def crosses_parallel(e, z0=z0):
-            # p(t) = a cos t + w sin t on the edge; solve its z for the parallel
-            a, b = e["a"], e["b"]
-            n = _cross(a, b)
-            size = _norm(n)
-            w = _cross(n, a)
-            wz = w["z"] / size
-            length = F.atan2(size, _dot(a, b))
-            radius = F.sqrt(a["z"] * a["z"] + wz * wz)
-            phase = F.atan2(wz, a["z"])
-            swing = F.acos(F.lit(z0) / radius)
-
-            def hit(t):
-                t = F.pmod(t, F.lit(2 * math.pi))
-                x = a["x"] * F.cos(t) + w["x"] / size * F.sin(t)
-                y = a["y"] * F.cos(t) + w["y"] / size * F.sin(t)
-                ra = F.degrees(F.atan2(y, x))
-                inside = F.lit(True) if closed else in_constant_box(ra, F.lit(0.0), ra_min, -1, ra_max, 1)
-                return (t <= length) & inside
-
-            return (size > 1e-15) & (radius > abs(z0)) & (hit(phase + swing) | hit(phase - swing))
-
+    sides = _meridian_sides(limits)
+    if sides is not None:
+        tests.append(lambda e: F.exists(sides, lambda side: _edges_cross(e, side)))
+    heights = [math.sin(math.radians(d)) for d in (dec_min, dec_max) if abs(d) < 90]
+
+    def crosses_parallel(e):
+        # p(t) = a cos t + w sin t on the edge; solve its z for the parallel
+        def meets(s):
+            def hit(turn):
+                x = s["ax"] * F.cos(turn) + s["wx"] * F.sin(turn)
+                y = s["ay"] * F.cos(turn) + s["wy"] * F.sin(turn)
+                inside = F.lit(True) if closed else in_constant_box(
+                    F.degrees(F.atan2(y, x)), F.lit(0.0), ra_min, -1, ra_max, 1)
+                return (turn <= s["length"]) & inside
+
+            turns = F.transform(F.array(F.lit(1.0), F.lit(-1.0)), lambda sign: F.pmod(
+                s["phase"] + sign * s["swing"], F.lit(2 * math.pi)))
+            return s["reaches"] & F.exists(turns, hit)
+
+        return _bind(_edge_basis(e), lambda g: F.exists(
+            F.transform(F.array(*map(F.lit, heights)), lambda z0: _parallel_turns(g, z0)), meets))
+
+    if heights:
         tests.append(crosses_parallel)
     if not tests:
         return F.lit(False)
-
-    def any_test(e):
-        result = tests[0](e)
-        for test in tests[1:]:
-            result = result | test(e)
-        return result
-
-    return F.exists(_zip_edges(v), any_test)
+    return F.exists(_zip_edges(v), lambda e: tests[0](e) | tests[1](e) if len(tests) == 2 else tests[0](e))
 
 
 def polygon_intersects_constant_box(vertices, limits) -> Column:
     """Whether a polygon column and a constant ra/dec box share a point."""
     ra_min, dec_min, ra_max, dec_max = limits
     inside = F.exists(col(vertices), lambda v: in_constant_box(v["ra"], v["dec"], *limits))
-    corner = F.struct(*(F.lit(float(c)).alias(n) for c, n in zip(_cartesian(ra_min, dec_min), "xyz")))
+    corner = _literal_vector(_cartesian(ra_min, dec_min))
     return inside | _bind(_vectors(vertices), lambda v: _vector_in_polygon(corner, v)
                           | _box_boundary_crossed(v, limits))
 
@@ -495,16 +514,9 @@ def polygon_covers_constant_box(vertices, limits) -> Column:
         corners = [(ra, dec) for ra in (0, 120, 240) for dec in (dec_min, dec_max)]
     else:
         corners = [(ra_min, dec_min), (ra_min, dec_max), (ra_max, dec_max), (ra_max, dec_min)]
-    literal = [F.struct(*(F.lit(float(c)).alias(n) for c, n in zip(_cartesian(*corner), "xyz")))
-               for corner in corners]
-
-    def test(v):
-        result = ~_box_boundary_crossed(v, limits)
-        for corner in literal:
-            result = result & _vector_in_polygon(corner, v)
-        return result
-
-    return _bind(_vectors(vertices), test)
+    literal = F.array(*(_literal_vector(_cartesian(*corner)) for corner in corners))
+    return _bind(_vectors(vertices), lambda v: F.forall(literal, lambda c: _vector_in_polygon(c, v))
+                 & ~_box_boundary_crossed(v, limits))
 
 
 # --- regions written as text ------------------------------------------------

@@ -457,7 +457,7 @@ def z6_phrase_maker(t):
     return t.part.filter(search_filter(conditions, params)).select("p_partkey")
 
 
-@query("z7_free_computation", "SELECT vec_id, round(list_sum(list_transform(embedding, x -> CAST(x AS DOUBLE) * x)), 5) AS norm2 "
+@query("z7_free_computation", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)), 5) AS norm2 "
                               "FROM embeddings")
 def z7_free_computation(t):
     def norms(batches):

@@ -1 +1,77 @@
+"""Reference frames."""
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..functions import frames as fr
+from ..functions import regions, stctext
+from .registry import query
+
+
+def _rotated_sql(matrix: np.ndarray, ra: str = "ra", dec: str = "dec") -> tuple[str, str]:
+    xyz = [f"cos(radians({dec})) * cos(radians({ra}))", f"cos(radians({dec})) * sin(radians({ra}))", f"sin(radians({dec}))"]
+    x, y, z = ("(" + " + ".join(f"({m[i]!r}::DOUBLE) * {xyz[i]}" for i in range(3)) + ")" for m in
+               [[float(v) for v in row] for row in matrix])
+    return f"(degrees(atan2({y}, {x})) + 360) % 360", f"degrees(atan2({z}, sqrt({x} * {x} + {y} * {y})))"
+
+
+_GAL = _rotated_sql(fr.J2000_TO_GALACTIC)
+_PREC = _rotated_sql(fr.precession_fk5(fr.JD_J2000, fr.julian_epoch(1975.0)))
+
+
+@query("n10_galactic", f"SELECT c_custkey, round({_GAL[0]}, 6) AS l, round({_GAL[1]}, 6) AS b FROM {{sky_a}} s")
+def n10_galactic(t):
+    out = fr.transform_position(t.sky_a, fr.FK5, fr.GALACTIC, out_ra="l", out_dec="b")
+    return out.select("c_custkey", F.round("l", 6).alias("l"), F.round("b", 6).alias("b"))
+
+
+@query("n10_precession", f"SELECT c_custkey, round({_PREC[0]}, 6) AS ra75, round({_PREC[1]}, 6) AS dec75 FROM {{sky_a}} s "
+                         f"WHERE abs(dec) < 89")
+def n10_precession(t):
+    out = fr.transform_position(t.sky_a.filter("abs(dec) < 89"), fr.FK5, fr.fk5(1975.0), out_ra="ra75", out_dec="dec75")
+    return out.select("c_custkey", F.round("ra75", 6).alias("ra75"), F.round("dec75", 6).alias("dec75"))
+
+
+@query("n10_round_trips", "SELECT c_custkey, round(ra, 5) AS sg_ra, round(dec, 5) AS sg_dec, round(ra, 5) AS ecl_ra, "
+                          "round(dec, 5) AS ecl_dec FROM {sky_a} s WHERE abs(dec) < 89")
+def n10_round_trips(t):
+    df = t.sky_a.select("c_custkey", "ra", "dec").filter("abs(dec) < 89")
+    for mark, frame in (("sg", fr.SUPER_GALACTIC), ("ecl", fr.ecliptic())):
+        df = fr.transform_position(df, fr.ICRS, frame, out_ra="a", out_dec="d")
+        df = fr.transform_position(df, frame, fr.ICRS, "a", "d", f"{mark}_ra", f"{mark}_dec").drop("a", "d")
+        df = df.withColumns({f"{mark}_ra": F.round(f"{mark}_ra", 5), f"{mark}_dec": F.round(f"{mark}_dec", 5)})
+    return df.drop("ra", "dec")
+
+
+@query("n10_fk4")
+def n10_fk4(t):
+    df = fr.transform_position(t.sky_a, fr.FK4, fr.FK5)
+    return df.select("c_custkey", F.round("ra_out", 7).alias("ra"), F.round("dec_out", 7).alias("dec"))
+
+
+@query("n11_six_vector")
+def n11_six_vector(t):
+    df = t.sky_a.filter("abs(dec) < 89").select(
+        "c_custkey", "ra", "dec", F.lit(0.1).alias("parallax"), (F.col("c_nationkey") * 1e-8).alias("pm_ra"),
+        F.lit(1e-7).alias("pm_dec"), (F.col("c_acctbal") / 100).alias("rv"))
+    out = fr.transform_six(df, fr.FK4, fr.FK5)
+    return out.select("c_custkey", *(F.round(f"out_{c}", 9).alias(c) for c in fr.SIX_FIELDS))
+
+
+@query("g9_implicit_frame", f"SELECT c_custkey FROM {{sky_a}} s WHERE abs({_GAL[1]}) <= 90 AND degrees(acos(greatest(-1, least(1, "
+                            f"sin(radians({_GAL[1]})) * sin(radians(20)) + cos(radians({_GAL[1]})) * cos(radians(20)) * "
+                            f"cos(radians({_GAL[0]} - 45)))))) <= 25")
+def g9_implicit_frame(t):
+    region = stctext.parse_region("Circle GALACTIC 45 20 25")
+    return t.sky_a.filter(region.contains_point("ra", "dec", "ICRS")).select("c_custkey")
+
+
+@query("g21_region_frame")
+def g21_region_frame(t):
+    images = t.images
+    circle = regions.circle("ra", "dec", "size")
+    turned = fr.rotate_circle(circle, fr.FK5, fr.GALACTIC)
+    vertices = fr.rotate_vertices(F.col("coverage"), fr.FK5, fr.GALACTIC)
+    rows = images.select("p_partkey", turned.alias("c"), vertices.alias("v"))
+    return rows.select("p_partkey", F.round("c.ra", 6).alias("l"), F.round("c.dec", 6).alias("b"), "c.radius",
+                       F.transform("v", lambda p: F.round(p["dec"], 6)).alias("lats"))

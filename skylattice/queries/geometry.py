@@ -1 +1,256 @@
+"""Shapes, tests, searches."""
 
+from pyspark.sql import functions as F
+
+from ..functions import footprint, regions as rg, sphere, stctext
+from ..operators import crossmatch, rangelist
+from ..plans import images as im
+from ..schema import with_metadata
+from .registry import dist_sql, query
+
+
+@query("g1_constructors", "SELECT p_partkey, ra AS p_ra, ra - 0.5 AS v0_ra, dec + 1.0 AS v1_dec, p_size / 1e1 AS radius FROM {sky_part} s")
+def g1_constructors(t):
+    made = t.images.select("p_partkey", rg.point("ra", "dec").alias("p"), rg.circle("ra", "dec", "size").alias("c"),
+                           rg.box("ra", "dec", 1.0, 2.0).alias("b"))
+    return made.select("p_partkey", F.col("p.ra").alias("p_ra"), F.col("b")[0]["ra"].alias("v0_ra"),
+                       F.col("b")[1]["dec"].alias("v1_dec"), F.col("c.radius").alias("radius"))
+
+
+@query("g2_region_text", f"SELECT c_custkey FROM {{sky_a}} s WHERE ({dist_sql('ra', 'dec', '10.0', '20.0')} <= 30 OR "
+                         f"{dist_sql('ra', 'dec', '200.0', '-60.0')} <= 25) AND NOT {dist_sql('ra', 'dec', '10.0', '20.0')} <= 8")
+def g2_region_text(t):
+    region = stctext.make_region("Intersection ICRS (Union (Circle 10 20 30 Circle ICRS 200 -60 25) NOT (Circle 10 20 8))")
+    return t.sky_a.filter(region.contains_point("ra", "dec", "ICRS")).select("c_custkey")
+
+
+@query("g3_distance", f"SELECT c_custkey, round({dist_sql('ra', 'dec', '0.0', '0.0')}, 6) AS d FROM {{sky_a}} s")
+def g3_distance(t):
+    return t.sky_a.select("c_custkey", F.round(sphere.distance("ra", "dec", 0.0, 0.0), 6).alias("d"))
+
+
+@query("g4_point_in_circle", f"SELECT p_partkey FROM {{sky_part}} s WHERE {dist_sql('ra', 'dec', '75.0', '5.0')} <= 2.0 * p_size")
+def g4_point_in_circle(t):
+    test = rg.contains(rg.point("ra", "dec"), "point", rg.circle(75.0, 5.0, F.col("p_size") * 2.0), "circle")
+    return t.images.filter(test).select("p_partkey")
+
+
+def _inside_sql(vertices, ra="ra", dec="dec") -> str:
+    """Half-plane tests of a convex polygon with vertices in mathematical order."""
+    import math
+
+    vectors = [(math.cos(math.radians(d)) * math.cos(math.radians(a)), math.cos(math.radians(d)) * math.sin(math.radians(a)),
+                math.sin(math.radians(d))) for a, d in vertices]
+    tests = []
+    for i, a in enumerate(vectors):
+        b = vectors[(i + 1) % len(vectors)]
+        n = (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+        tests.append(f"({n[0]!r}::DOUBLE * cos(radians({dec})) * cos(radians({ra})) + {n[1]!r}::DOUBLE * cos(radians({dec})) * "
+                     f"sin(radians({ra})) + {n[2]!r}::DOUBLE * sin(radians({dec})) >= 0)")
+    return "(" + " AND ".join(tests) + ")"
+
+
+_POLYGON = [(340.0, -20.0), (40.0, -25.0), (30.0, 35.0), (350.0, 30.0)]
+_NOTCHED = [(340.0, -20.0), (40.0, -25.0), (10.0, 0.0), (30.0, 35.0), (350.0, 30.0)]
+
+
+@query("g5_point_in_polygon", f"SELECT c_custkey FROM {{sky_a}} s WHERE {_inside_sql(_POLYGON)}")
+def g5_point_in_polygon(t):
+    return t.sky_a.filter(rg.in_constant_polygon("ra", "dec", _POLYGON)).select("c_custkey")
+
+
+@query("g5_non_convex", f"SELECT c_custkey FROM {{sky_a}} s WHERE {_inside_sql(_POLYGON)} AND NOT "
+                        f"{_inside_sql([(40.0, -25.0), (30.0, 35.0), (10.0, 0.0)])}")
+def g5_non_convex(t):
+    return t.sky_a.filter(rg.in_constant_polygon("ra", "dec", _NOTCHED)).select("c_custkey")
+
+
+@query("g5_polygon_column", f"SELECT p_partkey FROM {{sky_part}} s WHERE abs(dec) < 60 AND {dist_sql('ra', 'dec', '264.5', '0.0')} < 20 AND "
+                            f"{dist_sql('ra', 'dec', '264.5', '0.0')} >= 0 AND abs(ra - 264.5) <= p_size / 2e1 AND abs(dec) <= p_size / 2e1")
+def g5_polygon_column(t):
+    # at the equator the side bulges of these small boxes stay below the grid's step
+    near = t.images.filter("abs(dec) < 60").filter(sphere.within("ra", "dec", 264.5, 0.0, 20.0))
+    return near.filter(rg.point_in_polygon(rg.point(264.5, 0.0), "coverage")).select("p_partkey")
+
+
+@query("g6_shape_in_shape", f"SELECT p_partkey, {dist_sql('ra', 'dec', '100.0', '-30.0')} + p_size / 1e1 <= 40 AS in_circle, "
+                            f"{_inside_sql(_POLYGON)} AND FALSE AS never FROM {{sky_part}} s")
+def g6_shape_in_shape(t):
+    big = rg.circle(100.0, -30.0, 40.0)
+    return t.images.select("p_partkey", rg.contains(rg.circle("ra", "dec", "size"), "circle", big, "circle").alias("in_circle"),
+                           (rg.contains(rg.point("ra", "dec"), "point", F.col("coverage"), "polygon") & F.lit(False)).alias("never"))
+
+
+@query("g6_polygon_in_circle", "SELECT p_partkey FROM {sky_part} s WHERE " + " AND ".join(
+    dist_sql(f"ra {a} p_size / 2e1", f"dec {b} p_size / 2e1", "100.0", "-30.0") + " <= 20" for a in "+-" for b in "+-"))
+def g6_polygon_in_circle(t):
+    test = rg.contains(F.col("coverage"), "polygon", rg.circle(100.0, -30.0, 20.0), "circle")
+    return t.images.filter(test).select("p_partkey")
+
+
+@query("g7_circles_intersect", f"SELECT p_partkey FROM {{sky_part}} s WHERE {dist_sql('ra', 'dec', '250.0', '40.0')} <= p_size / 1e1 + 12")
+def g7_circles_intersect(t):
+    test = rg.intersects(rg.circle("ra", "dec", "size"), "circle", rg.circle(250.0, 40.0, 12.0), "circle")
+    return t.images.filter(test).select("p_partkey")
+
+
+@query("g7_polygons_intersect")
+def g7_polygons_intersect(t):
+    wanted = F.array(*(rg.point(a, d) for a, d in _NOTCHED))
+    both = t.images.filter(rg.intersects(F.col("coverage"), "polygon", wanted, "polygon"))
+    return both.select("p_partkey", rg.intersects(rg.circle("ra", "dec", "size"), "circle", wanted, "polygon").alias("circle_too"))
+
+
+@query("g7_point_swapped", f"SELECT c_custkey FROM {{sky_a}} s WHERE {dist_sql('ra', 'dec', '10.0', '80.0')} <= 15")
+def g7_point_swapped(t):
+    test = rg.intersects(rg.circle(10.0, 80.0, 15.0), "circle", rg.point("ra", "dec"), "point")
+    return t.sky_a.filter(test).select("c_custkey")
+
+
+@query("g8_as_int", f"SELECT c_custkey, CAST({dist_sql('ra', 'dec', '10.0', '80.0')} <= 15 AS INT) AS inside FROM {{sky_a}} s")
+def g8_as_int(t):
+    return t.sky_a.select("c_custkey", rg.as_int(rg.contains(
+        rg.point("ra", "dec"), "point", rg.circle(10.0, 80.0, 15.0), "circle")).alias("inside"))
+
+
+@query("g10_coordinates", "SELECT c_custkey, ra AS c1, dec AS c2, 'ICRS' AS sys FROM {sky_a} s")
+def g10_coordinates(t):
+    rows = with_metadata(t.sky_a.withColumn("pos", rg.point("ra", "dec")), "pos", frame="ICRS")
+    return rows.select("c_custkey", rg.coord1("pos").alias("c1"), rg.coord2("pos").alias("c2"),
+                       F.lit(rg.coordsys(rows, "pos")).alias("sys"))
+
+
+@query("g11_centroid", "SELECT p_partkey, ra AS c_ra, dec AS c_dec FROM {sky_part} s")
+def g11_centroid(t):
+    center = rg.centroid(rg.circle("ra", "dec", "size"), "circle")
+    return t.images.select("p_partkey", center.alias("c")).select("p_partkey", F.col("c.ra").alias("c_ra"), F.col("c.dec").alias("c_dec"))
+
+
+@query("g12_area", "SELECT p_partkey, round(2 * pi() * (1 - cos(radians(p_size / 1e1))) * pow(180 / pi(), 2), 5) AS area FROM {sky_part} s")
+def g12_area(t):
+    return t.images.select("p_partkey", F.round(rg.area_circle(rg.circle("ra", "dec", "size")), 5).alias("area"))
+
+
+@query("g12_polygon_area", "SELECT c_custkey, round(90.0 * (180 / pi()) * (180 / pi()) * radians(1.0) * (c_custkey % 80 + 1) / 90.0, 4) AS area "
+                           "FROM customer")
+def g12_polygon_area(t):
+    # a triangle from the pole to two points on the equator has its angle as area
+    angle = (F.col("c_custkey") % 80 + 1).cast("double")
+    triangle = rg.polygon(0.0, 0.0, angle, 0.0, 0.0, 90.0)
+    return t.customer.select("c_custkey", F.round(rg.area_polygon(triangle), 4).alias("area"))
+
+
+_CONE = dist_sql("ra", "dec", "120.0", "10.0")
+
+
+@query("g13_cone_search", f"SELECT c_custkey, c_name, ra, dec, round({_CONE}, 6) AS dist FROM {{sky_a}} s WHERE {_CONE} <= 20 "
+                          f"ORDER BY {_CONE}, c_custkey LIMIT 20")
+def g13_cone_search(t):
+    found = crossmatch.cone_search(t.sky_a, 120.0, 10.0, 20.0, folded=True, ties=["c_custkey"]).limit(20)
+    return found.select("c_custkey", "c_name", "ra", "dec", F.round("dist", 6).alias("dist"))
+
+
+@query("g13_polar_cone", f"SELECT c_custkey, round({dist_sql('ra', 'dec', '10.0', '85.0')}, 6) AS dist FROM {{sky_a}} s "
+                         f"WHERE {dist_sql('ra', 'dec', '10.0', '85.0')} <= 12")
+def g13_polar_cone(t):
+    found = crossmatch.cone_search(t.sky_a, 10.0, 85.0, 12.0, folded=True, sort=False)
+    return found.select("c_custkey", F.round("dist", 6).alias("dist"))
+
+
+@query("g14_multi_cone", f"SELECT c_custkey FROM {{sky_a}} s WHERE {dist_sql('ra', 'dec', '10.0', '12.0')} < 9 OR "
+                         f"{dist_sql('ra', 'dec', '-10.0', '13.0')} < 9 OR {dist_sql('ra', 'dec', '200.0', '-85.0')} < 9")
+def g14_multi_cone(t):
+    test = rangelist.cone_filter("ra", "dec", "10,12,-10,13,200,-85;ICRS", 9.0)
+    return t.sky_a.filter(test).select("c_custkey")
+
+
+@query("g15_image_center", "SELECT p_partkey FROM {sky_part} s WHERE abs(ra - 264.5) <= p_size / 2e1 AND abs(dec) <= p_size / 2e1")
+def g15_image_center(t):
+    test = im.box_search(264.5, 0.0, (1.0, 1.0), "CENTER")
+    return t.images.filter(sphere.dec_band("dec", 0.0, 5.0)).filter(test).select("p_partkey")
+
+
+@query("g15_image_modes")
+def g15_image_modes(t):
+    images = t.images.filter("abs(dec) < 85").withColumn("reach", F.col("size"))
+    params = {"POS": "100,-20", "SIZE": "14,8"}
+    near = im.search_images(images, {**params, "INTERSECT": "OVERLAPS"}, center=("ra", "dec"), reach="reach")
+    tests = (F.when(im.box_search(100.0, -20.0, (14.0, 8.0), mode), F.lit(mode)) for mode in im.INTERSECT_MODES)
+    hits = near.select("p_partkey", F.explode(F.array(*tests)).alias("mode"))
+    return hits.filter("mode IS NOT NULL")
+
+
+@query("g15_enclosed", "SELECT p_partkey FROM {sky_part} s WHERE ra - p_size / 2e1 >= 140 AND ra + p_size / 2e1 <= 160 AND "
+                       "dec - p_size / 2e1 >= -10 AND dec + p_size / 2e1 <= 10 AND abs(abs(dec) + p_size / 2e1 - 10) > 0.05")
+def g15_enclosed(t):
+    # rows within a bulge of the border are left to the unit tests
+    rows = t.images.filter("abs(abs(dec) + p_size / 20.0D - 10) > 0.05")
+    return rows.filter(im.box_search(150.0, 0.0, (20.0, 20.0), "ENCLOSED")).select("p_partkey")
+
+
+@query("g16_shape_search")
+def g16_shape_search(t):
+    images = t.images.filter("abs(dec) < 85")
+    rows = None
+    for text in ("CIRCLE 100 -20 6", "RANGE 90 110 -25 -15", "POLYGON 95 -25 105 -25 100 -10"):
+        hits = images.filter(im.shape_search(text)).select(F.lit(text.split()[0]).alias("shape"), "p_partkey")
+        rows = hits if rows is None else rows.unionByName(hits)
+    return rows
+
+
+@query("g17_circle_boxes", "SELECT p_partkey, CAST(n AS BIGINT) AS n_boxes, greatest(dec - s, -90) AS lowest FROM (SELECT p_partkey, dec, "
+                           "p_size / 1e1 AS s, CASE WHEN abs(dec) + p_size / 1e1 > 90 THEN 1 WHEN ra - p_size / 1e1 < 0 OR "
+                           "ra + p_size / 1e1 > 360 THEN 2 ELSE 1 END AS n FROM {sky_part} s WHERE dec + p_size / 1e1 <= 90) q")
+def g17_circle_boxes(t):
+    boxes = footprint.circle_boxes("ra", "dec", "size")
+    rows = t.images.filter("dec + size <= 90").select("p_partkey", boxes.alias("b"))
+    return rows.select("p_partkey", F.size("b").cast("bigint").alias("n_boxes"), F.element_at("b", 1)["dec_min"].alias("lowest"))
+
+
+@query("g17_footprint_boxes")
+def g17_footprint_boxes(t):
+    images = t.images.filter("abs(dec) < 80")
+    parts = {"ellipse": footprint.ellipse_boxes("ra", "dec", "size"), "box": footprint.box_boxes("ra", "dec", F.col("size"), F.col("size")),
+             "polygon": footprint.polygon_boxes("coverage"),
+             "interval": footprint.interval_boxes(F.col("ra") - 1, F.col("dec") - 1, F.col("ra") + 1, None),
+             "union": footprint.union_boxes(footprint.circle_boxes("ra", "dec", "size"), footprint.all_sky_boxes()),
+             "intersection": footprint.intersection_boxes(footprint.circle_boxes("ra", "dec", "size"), footprint.not_boxes()),
+             "difference": footprint.difference_boxes(footprint.circle_boxes("ra", "dec", 1.0), None)}
+    kinds = F.explode(F.map_from_arrays(F.array(*map(F.lit, parts)), F.array(*parts.values()))).alias("kind", "boxes")
+    rows = images.select("p_partkey", kinds).select("p_partkey", "kind", F.explode("boxes").alias("b"))
+    return rows.select("p_partkey", "kind", *(F.round(F.col("b")[c], 7).alias(c) for c in ("ra_min", "dec_min", "ra_max", "dec_max")))
+
+
+@query("g18_planar_box", "SELECT p_partkey, ra - p_size / 2e1 AS x0, dec - p_size / 2e1 AS y0, ra + p_size / 2e1 AS x1, dec + p_size / 2e1 AS y1 "
+                         "FROM {sky_part} s")
+def g18_planar_box(t):
+    points = F.transform("coverage", lambda v: F.struct(v["ra"].alias("x"), v["dec"].alias("y")))
+    return t.images.select("p_partkey", footprint.planar_box(points).alias("b")).select("p_partkey", "b.*")
+
+
+@query("g19_circle_polygon", f"SELECT p_partkey, 32 AS corners, TRUE AS on_circle FROM {{sky_part}} s")
+def g19_circle_polygon(t):
+    rows = t.images.withColumn("v", rg.circle_to_polygon(F.struct("ra", "dec", F.col("size").alias("radius"))))
+    on_circle = F.forall("v", lambda q: F.abs(sphere.distance(q["ra"], q["dec"], F.col("ra"), F.col("dec")) - F.col("size")) < 1e-6)
+    return rows.select("p_partkey", F.size("v").alias("corners"), on_circle.alias("on_circle"))
+
+
+@query("g20_box_polygon", "SELECT p_partkey, ra AS a0, dec AS d0, ra + 1 AS a2, dec + 2 AS d2, 4 AS n FROM {sky_part} s")
+def g20_box_polygon(t):
+    rows = t.images.select("p_partkey", rg.box_to_polygon(rg.interval_box("ra", "dec", F.col("ra") + 1, F.col("dec") + 2)).alias("v"))
+    return rows.select("p_partkey", F.col("v")[0]["ra"].alias("a0"), F.col("v")[0]["dec"].alias("d0"), F.col("v")[2]["ra"].alias("a2"),
+                       F.col("v")[2]["dec"].alias("d2"), F.size("v").alias("n"))
+
+
+@query("g22_region_column", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 32 ELSE 4 END AS corners, CASE p_partkey % 3 WHEN 0 THEN NULL ELSE "
+                            "ra - p_size / 2e1 END AS first_ra FROM {sky_part} s")
+def g22_region_column(t):
+    from ..functions import formats
+
+    kind = F.col("p_partkey") % 3
+    circle = formats.stc_circle(F.struct("ra", "dec", F.col("size").alias("radius")))
+    box = F.concat_ws(" ", F.lit("BOX ICRS"), "ra", "dec", "size", "size")
+    text = F.when(kind == 0, circle).when(kind == 1, box).otherwise(formats.stc_polygon("coverage"))
+    rows = t.images.select("p_partkey", stctext.region_polygon(text).alias("v"))
+    return rows.select("p_partkey", F.size("v").alias("corners"),
+                       F.when(kind != 0, F.round(F.col("v")[0]["ra"], 9)).alias("first_ra"))
