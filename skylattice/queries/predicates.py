@@ -30,9 +30,9 @@ def p16_constant_true(t):
     return t.customer.filter(p.on_constant("star", lambda v: v in ("galaxy", "star"))).select("c_custkey")
 
 
-@query("p17_min_max", "SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 9 AND p_retailprice >= 1000")
+@query("p17_min_max", "SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 9 AND p_retailprice >= 950")
 def p17_min_max(t):
-    return t.part.filter(p.conjunction([p.between_open("p_size", 5, 9), p.between_open("p_retailprice", 1000, None),
+    return t.part.filter(p.conjunction([p.between_open("p_size", 5, 9), p.between_open("p_retailprice", 950, None),
                                         p.between_open("p_partkey", None, None)])).select("p_partkey")
 
 
