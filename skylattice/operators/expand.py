@@ -46,7 +46,7 @@ def expand_dates(df: DataFrame, start: str, end: str, out: str = "cur_time", hou
 
 
 def _items(text: Column, separator: str) -> Column:
-    return F.filter(F.transform(F.split(text, separator), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, separator), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def expand_comma(df: DataFrame, source: str, out: str) -> DataFrame:

@@ -21,6 +21,10 @@ def _string_schema(names) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+def _whole_texts(spark: SparkSession, path) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+
+
 def skip_top_lines(lines: DataFrame, n: int) -> DataFrame:
     """Lines without the first ``n`` of each file.
 
@@ -114,7 +118,7 @@ def _records(spark: SparkSession, path, separator: str) -> DataFrame:
     literal = separator.replace("\\n", "\n").replace("\\t", "\t")
     if _is_literal(separator):
         return _lines(spark, path, literal)
-    texts = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(
+    texts = _whole_texts(spark, path).select(
         "value", F.col("_metadata.file_path").alias("source_path"))
     return texts.select("source_path", F.posexplode(F.split("value", separator)).alias("__block", "value"))
 
@@ -159,7 +163,7 @@ def read_free(spark: SparkSession, path, row_pattern: str, parse_pattern: str, s
     groups = re.compile(parse_pattern).groupindex
     java_pattern = parse_pattern.replace("(?P<", "(?<")
     if separator is None:
-        texts = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+        texts = _whole_texts(spark, path)
     else:
         texts = spark.read.option("lineSep", separator).option("recursiveFileLookup", "true").text(path)
     if not ignore_junk:
@@ -181,7 +185,7 @@ def _without_comments(text: Column, comment: str | None) -> Column:
 
 
 def _pairs(spark: SparkSession, path, pair_sep: str, comment: str | None) -> DataFrame:
-    texts = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(
+    texts = _whole_texts(spark, path).select(
         F.col("_metadata.file_path").alias("source_path"), _without_comments(F.col("value"), comment).alias("value"))
     return texts.select("source_path", F.filter(F.split("value", pair_sep), lambda p: F.trim(p) != "").alias("pairs"))
 

@@ -31,51 +31,80 @@ def ingest(stream: DataFrame, target: str, checkpoint: str,
         availableNow=True).start(target)
 
 
-class TableVersions:
-    """A Parquet table kept as numbered versions below a path.
+class KeyedTable:
+    """A table under a key policy, kept as a base and a log of batches.
 
-    A batch writes the next version next to the current one and only then
-    names it current, so a batch that is run again after a failure starts
-    from the state before it.
+    A batch writes its own rows only, to a place named by its number, so a
+    batch that runs again replaces what it wrote before.  Readers merge base
+    and log; :meth:`compact` turns both into a new base from time to time.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _name_file(self, version: int) -> str:
-        return f"{self.path}/v{version}"
-
-    def read(self, version: int) -> DataFrame | None:
-        """The table as of a version; None before the first one."""
-        return None if version < 0 else self.spark.read.parquet(self._name_file(version))
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(self._name_file(version))
-
-
-def upsert(stream: DataFrame, table: TableVersions, key_columns, order: str, checkpoint: str,
-           policy: str = "overwrite", initial: DataFrame | None = None) -> StreamingQuery:
-    """Feeds a stream into a keyed table, one merge per micro-batch.
-
-    Version ``n`` is the table after batch ``n``; repeating a batch overwrites
-    its own version only.
-    """
-    def feed(batch: DataFrame, batch_id: int) -> None:
-        stored = table.read(batch_id - 1)
-        if stored is None:
-            stored = initial if initial is not None else batch.limit(0)
-        table.write(keys.merge(stored, batch, key_columns, order, policy), batch_id)
-
-    return stream.writeStream.foreachBatch(feed).option("checkpointLocation", checkpoint).trigger(
+    def __init__(self, spark: SparkSession, path: str, key_columns, order: str, policy: str = "overwrite"):
+        if policy not in keys.POLICIES:
+            raise keys.DuplicateKeyPolicyError(policy)
+        self.spark, self.path, self.key_columns = spark, path.rstrip("/"), list(key_columns)
+        self.order, self.policy = order, policy
+
+    def _exists(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def _latest_base(self) -> int:
+        """Number of the last batch inside the base; -1 without one."""
+        if not self._exists("base"):
+            return -1
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/base")
+        system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        numbers = [int(f.getPath().getName()[1:]) for f in system.listStatus(path)]
+        done = [n for n in numbers if self._exists(f"base/v{n}/_SUCCESS")]
+        return max(done, default=-1)
+
+    def start(self, initial: DataFrame) -> None:
+        """Makes ``initial`` the base; before any batch."""
+        initial.write.mode("overwrite").parquet(f"{self.path}/base/v0")
+
+    def feed(self, batch: DataFrame, batch_id: int) -> None:
+        """Writes the rows of a batch, settled among themselves."""
+        if self.policy == "check":
+            settled = keys.check_keys(batch, self.key_columns, self.order)
+            stored = self.read(before=batch_id)
+            if stored is not None:
+                touched = stored.join(settled.select(*self.key_columns), self.key_columns, "left_semi")
+                settled = keys.merge(touched, settled, self.key_columns, self.order, "check")
+        elif self.policy == "drop":
+            settled = keys.first_by_key(batch, self.key_columns, self.order)
+        else:
+            settled = keys.last_by_key(batch, self.key_columns, self.order)
+        settled.write.mode("overwrite").parquet(f"{self.path}/log/batch={batch_id + 1}")
+
+    def read(self, before: int | None = None) -> DataFrame | None:
+        """The merged table, or what it was before a batch; None when nothing was written."""
+        base = self._latest_base()
+        parts = []
+        if base >= 0:
+            parts.append(self.spark.read.parquet(f"{self.path}/base/v{base}").withColumn("batch", F.lit(base)))
+        if self._exists("log"):
+            log = self.spark.read.parquet(f"{self.path}/log").filter(F.col("batch") > base)
+            parts.append(log if before is None else log.filter(F.col("batch") <= before))
+        if not parts:
+            return None
+        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        pick = keys.first_by_key if self.policy in ("drop", "check") else keys.last_by_key
+        return pick(rows, self.key_columns, ["batch", self.order]).drop("batch")
+
+    def compact(self, last_batch: int) -> None:
+        """Makes the table after a batch the new base."""
+        state = self.read(before=last_batch + 1)
+        if state is not None:
+            state.write.mode("overwrite").parquet(f"{self.path}/base/v{last_batch + 1}")
+
+
+def upsert(stream: DataFrame, table: KeyedTable, checkpoint: str) -> StreamingQuery:
+    """Feeds everything that is there now into a keyed table and ends."""
+    return stream.writeStream.foreachBatch(table.feed).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()
 
 
-def last_version(query: StreamingQuery) -> int:
-    """Number of the last batch of a finished query, -1 without one."""
-    progress = [p for p in query.recentProgress if p["numInputRows"] > 0]
-    return progress[-1]["batchId"] if progress else -1
-
-
 def append_record(spark: SparkSession, path: str, record: dict, schema) -> None:
     """Adds one record to a table without key."""
     spark.createDataFrame([record], schema).write.mode("append").parquet(path)
