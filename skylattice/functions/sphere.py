@@ -187,5 +187,8 @@ def geocentric_to_geodetic(df, lon, lat, rho, prefix: str = "geod_", steps: int
         df = df.withColumn(
             phi, F.atan2(F.col(up) + WGS84_RADIUS * _ECC2 * curvature() * F.sin(F.col(phi)), F.col(axis))
         )
-    df = df.withColumn(f"{prefix}height", F.col(axis) / F.cos(F.col(phi)) - WGS84_RADIUS * curvature())
+    # away from the equator the polar distance gives the height with more digits
+    by_axis = F.col(axis) / F.cos(F.col(phi)) - WGS84_RADIUS * curvature()
+    by_pole = F.col(up) / F.sin(F.col(phi)) - WGS84_RADIUS * (1 - _ECC2) * curvature()
+    df = df.withColumn(f"{prefix}height", F.when(F.abs(F.col(phi)) > 0.8, by_pole).otherwise(by_axis))
     return df.withColumn(phi, F.degrees(F.col(phi))).drop(axis, up)

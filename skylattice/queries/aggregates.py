@@ -41,11 +41,12 @@ def a4_having(t):
         F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")).filter("n > 14")
 
 
-@query("a5_string_agg", "SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_nationkey) AS names, "
-                        "count(*) AS n FROM nation GROUP BY n_regionkey")
+@query("a5_string_agg", "SELECT l_orderkey, string_agg(l_returnflag || l_linestatus, ', ' ORDER BY l_extendedprice, l_partkey) AS flags, "
+                        "count(*) AS n FROM lineitem GROUP BY l_orderkey")
 def a5_string_agg(t):
-    return t.nation.groupBy("n_regionkey").agg(
-        stats.string_agg("n_name", ", ", order="n_nationkey").alias("names"), F.count("*").alias("n"))
+    flags = F.concat("l_returnflag", "l_linestatus")
+    rows = t.lineitem.withColumn("place", F.struct("l_extendedprice", "l_partkey"))
+    return rows.groupBy("l_orderkey").agg(stats.string_agg(flags, ", ", order="place").alias("flags"), F.count("*").alias("n"))
 
 
 def _stats_sql(column: str, numeric: bool, table: str) -> str:

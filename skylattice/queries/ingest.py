@@ -150,13 +150,14 @@ def i15_check_policy(t):
 
 
 _HALVES = ("WITH stored AS (SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r "
-           "FROM events WHERE user_id % 2 = 0) q WHERE r = 1), fresh AS (SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER "
-           "(PARTITION BY user_id ORDER BY event_id {dir}) AS r FROM events WHERE event_id > 500) q WHERE r = 1) ")
+           "FROM events WHERE event_type = 'signup') q WHERE r = 1), fresh AS (SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER "
+           "(PARTITION BY user_id ORDER BY event_id {dir}) AS r FROM events WHERE event_type = 'error' AND value > 20) q WHERE r = 1) ")
 
 
 def _stored_and_new(t):
-    stored = keys.first_by_key(t.events.filter("user_id % 2 = 0").select("user_id", "event_id", "event_type"), ["user_id"], "event_id")
-    return stored, t.events.filter("event_id > 500").select("user_id", "event_id", "event_type")
+    rows = t.events.select("user_id", "event_id", "event_type", "value")
+    stored = keys.first_by_key(rows.filter("event_type = 'signup'").drop("value"), ["user_id"], "event_id")
+    return stored, rows.filter("event_type = 'error' AND value > 20").drop("value")
 
 
 @query("i16_drop_policy", _HALVES.replace("{dir}", "ASC") + "SELECT * FROM stored UNION ALL SELECT * FROM fresh WHERE user_id NOT IN "
@@ -178,31 +179,31 @@ def i18_drop_old_policy(t):
 
 
 @query("i19_replace_sources", "SELECT doc_id, source, n_chars FROM documents WHERE source NOT IN ('src1', 'src2') UNION ALL SELECT doc_id, source, -1 "
-                              "FROM documents WHERE source IN ('src1', 'src2') AND doc_id % 3 = 0")
+                              "FROM documents WHERE source IN ('src1', 'src2') AND lang = 'en'")
 def i19_replace_sources(t):
     stored = t.documents.select("doc_id", "source", "n_chars")
-    fresh = stored.filter("source IN ('src1', 'src2') AND doc_id % 3 = 0").withColumn("n_chars", F.lit(-1).cast("bigint"))
+    fresh = t.documents.filter("source IN ('src1', 'src2') AND lang = 'en'").select("doc_id", "source", F.lit(-1).cast("bigint").alias("n_chars"))
     return keys.replace_sources(stored, fresh, "source")
 
 
 @query("i19_dynamic_overwrite", "SELECT doc_id, source FROM documents WHERE source != 'src1' UNION ALL SELECT doc_id, source FROM documents WHERE "
-                                "source = 'src1' AND doc_id % 3 = 0")
+                                "source = 'src1' AND lang = 'en'")
 def i19_dynamic_overwrite(t):
     path = scratch_path(t.spark, "by_source")
-    rows = t.documents.select("doc_id", "source")
-    sinks.write_replacing_sources(rows, path, "source")
-    sinks.write_replacing_sources(rows.filter("source = 'src1' AND doc_id % 3 = 0"), path, "source")
+    sinks.write_replacing_sources(t.documents.select("doc_id", "source"), path, "source")
+    fresh = t.documents.filter("source = 'src1' AND lang = 'en'").select("doc_id", "source")
+    sinks.write_replacing_sources(fresh, path, "source")
     return t.spark.read.parquet(path).select("doc_id", F.col("source").cast("string").alias("source"))
 
 
-@query("i20_tombstones", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN (CASE WHEN c_custkey % 2 = 0 THEN TIMESTAMP '2020-01-01' ELSE "
-                         "TIMESTAMP '2024-06-01' END) ELSE TIMESTAMP '2021-01-01' END AS stamp, c_custkey % 3 = 0 AS deleted FROM customer")
+@query("i20_tombstones", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN (CASE WHEN c_acctbal < 0 THEN TIMESTAMP '2020-01-01' ELSE "
+                         "TIMESTAMP '2024-06-01' END) ELSE TIMESTAMP '2021-01-01' END AS stamp, c_mktsegment = 'BUILDING' AS deleted FROM customer")
 def i20_tombstones(t):
     stamp = lambda text: F.lit(text).cast("timestamp_ntz")
-    # every third record is gone; the even ones were marked deleted before
-    old = t.customer.select("c_custkey", stamp("2020-01-01").alias("stamp"),
-                            ((F.col("c_custkey") % 3 == 0) & (F.col("c_custkey") % 2 == 0)).alias("deleted"))
-    new = t.customer.filter("c_custkey % 3 != 0").select("c_custkey", stamp("2021-01-01").alias("stamp"))
+    # one market segment is gone; its customers in debt were marked deleted before
+    before = (F.col("c_mktsegment") == "BUILDING") & (F.col("c_acctbal") < 0)
+    old = t.customer.select("c_custkey", stamp("2020-01-01").alias("stamp"), before.alias("deleted"))
+    new = t.customer.filter("c_mktsegment != 'BUILDING'").select("c_custkey", stamp("2021-01-01").alias("stamp"))
     return keys.mark_deleted(old, new, ["c_custkey"], "stamp", "deleted", stamp("2024-06-01"))
 
 

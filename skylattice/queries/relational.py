@@ -19,19 +19,19 @@ SKY_SPEC = TableSpec("sky", (
 ), primary_key=("c_custkey",))
 
 
-@query("p1_select_list", "SELECT n.n_nationkey AS id, n.n_name, r.r_name AS region_name FROM nation n "
-                         "JOIN region r ON n.n_regionkey = r.r_regionkey")
+@query("p1_select_list", "SELECT o.o_orderkey AS id, o.o_orderpriority, c.c_name AS customer_name FROM orders o "
+                         "JOIN customer c ON o.o_custkey = c.c_custkey")
 def p1_select_list(t):
-    n, r = t.nation.alias("n"), t.region.alias("r")
-    return n.join(r, F.col("n.n_regionkey") == F.col("r.r_regionkey")).select(
-        F.col("n.n_nationkey").alias("id"), "n.n_name", F.col("r.r_name").alias("region_name"))
+    o, c = t.orders.alias("o"), t.customer.alias("c")
+    return o.join(c, F.col("o.o_custkey") == F.col("c.c_custkey")).select(
+        F.col("o.o_orderkey").alias("id"), "o.o_orderpriority", F.col("c.c_name").alias("customer_name"))
 
 
-@query("p1_star_after_using", "SELECT * FROM (SELECT n_regionkey AS k, n_name FROM nation) a "
-                              "JOIN (SELECT r_regionkey AS k, r_name FROM region) b USING (k)")
+@query("p1_star_after_using", "SELECT * FROM (SELECT l_suppkey AS k, l_orderkey FROM lineitem) a "
+                              "JOIN (SELECT s_suppkey AS k, s_name FROM supplier) b USING (k)")
 def p1_star_after_using(t):
-    a = t.nation.select(F.col("n_regionkey").alias("k"), "n_name")
-    return a.join(t.region.select(F.col("r_regionkey").alias("k"), "r_name"), "k").select("*")
+    a = t.lineitem.select(F.col("l_suppkey").alias("k"), "l_orderkey")
+    return a.join(t.supplier.select(F.col("s_suppkey").alias("k"), "s_name"), "k").select("*")
 
 
 @query("p2_distinct", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")

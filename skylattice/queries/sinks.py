@@ -29,10 +29,10 @@ def k2_tsv(t):
     return sinks.tsv_lines(joined)
 
 
-@query("k2_padded", "SELECT rtrim(rpad(CAST(n_nationkey AS VARCHAR), 2, ' ') || '  ' || rpad(n_name, CAST((SELECT max(length(n_name)) FROM nation) AS INT), ' ')) "
-                    "AS value FROM nation")
+@query("k2_padded", "SELECT rtrim(rpad(CAST(s_suppkey AS VARCHAR), CAST((SELECT max(length(CAST(s_suppkey AS VARCHAR))) FROM supplier) AS INT), ' ') || '  ' || "
+                    "s_name) AS value FROM supplier")
 def k2_padded(t):
-    return sinks.padded_lines(t.nation.select("n_nationkey", "n_name"))
+    return sinks.padded_lines(t.supplier.select("s_suppkey", "s_name"))
 
 
 @query("k3_json", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")

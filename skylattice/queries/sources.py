@@ -41,15 +41,22 @@ def _write_binary(df, path, build):
     return path
 
 
+def _write_groups(df, path, group, order):
+    """Text files by group: the lines of a group in order, in one file."""
+    df.repartition(group).sortWithinPartitions(group, order).select("value", group).write.partitionBy(group).text(path)
+    return path
+
+
 @query("s1_source_listing", "SELECT count(DISTINCT event_type) - 1 AS listed, count(DISTINCT event_type) - 2 AS fresh FROM events")
 def s1_source_listing(t):
     path = scratch_path(t.spark, "listing")
-    t.events.select("event_type", F.col("event_id").cast("string")).repartition(1).write.partitionBy("event_type").text(path)
+    t.events.select("event_type", F.col("event_id").cast("string")).write.partitionBy("event_type").text(path)
     listed = files.list_sources(t.spark, path, "part-*", ignore_patterns=["*event_type=view/*"])
     kind = F.regexp_extract("path", "event_type=([a-z]+)", 1)
     loaded = listed.filter(kind == "click").select("path")
     fresh = files.list_sources(t.spark, path, "part-*", ignore_patterns=["*event_type=view/*"], loaded=loaded)
-    return listed.agg(F.count("*").alias("listed")).crossJoin(fresh.agg(F.count("*").alias("fresh")))
+    count = F.count_distinct(kind)
+    return listed.agg(count.alias("listed")).crossJoin(fresh.agg(count.alias("fresh")))
 
 
 @query("s2_csv", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
@@ -63,11 +70,12 @@ def s2_csv(t):
 @query("s2_csv_skipped_lines", "SELECT s_suppkey, s_name FROM supplier")
 def s2_csv_skipped_lines(t):
     path = scratch_path(t.spark, "csv")
-    # one file, with two lines of preface: suppliers are few per file by construction of the fixture
-    rows = t.supplier.select("s_suppkey", F.concat_ws(",  ", "s_suppkey", "s_name").alias("value"))
-    preface = t.region.filter("r_regionkey < 2").select((F.col("r_regionkey") - 10).cast("bigint").alias("s_suppkey"),
-                                                        F.lit("a preface, not data").alias("value"))
-    _write_lines(rows.unionByName(preface).repartition(1).sortWithinPartitions("s_suppkey").select("value"), path)
+    # files of a hundred suppliers with two lines of preface each
+    group = F.floor(F.col("s_suppkey") / 100).alias("g")
+    body = t.supplier.select(group, F.col("s_suppkey").alias("o"), F.concat_ws(",  ", "s_suppkey", "s_name").alias("value"))
+    preface = body.select("g").distinct().select("g", F.explode(F.array(F.lit(-2), F.lit(-1))).cast("bigint").alias("o"),
+                                                 F.lit("a preface, not data").alias("value"))
+    _write_groups(body.unionByName(preface), path, "g", "o")
     read = text.read_csv(t.spark, path, ["key", "name"], strip=True, top_ignored=2)
     return read.select(to_int("key").alias("s_suppkey"), F.col("name").alias("s_name"))
 
@@ -93,11 +101,13 @@ def s4_pattern_records(t):
     return read.select(to_int("key").alias("p_partkey"), to_int("size", kind="int").alias("p_size"), F.col("brand").alias("p_brand"))
 
 
-@query("s4_stop_pattern", "SELECT s_suppkey FROM supplier WHERE s_suppkey < 7")
+@query("s4_stop_pattern", "SELECT s_suppkey FROM supplier WHERE s_suppkey % 100 < 50")
 def s4_stop_pattern(t):
     path = scratch_path(t.spark, "records")
-    ordered = t.supplier.repartition(1).sortWithinPartitions("s_suppkey")
-    _write_lines(ordered.select(F.concat_ws(" ", F.when(F.col("s_suppkey") == 7, "END").otherwise(F.lit("row")), "s_suppkey").alias("value")), path)
+    # in each file of a hundred suppliers, what comes after the fiftieth does not count
+    line = F.concat_ws(" ", F.when(F.col("s_suppkey") % 100 == 50, "END").otherwise(F.lit("row")), "s_suppkey")
+    rows = t.supplier.select(F.floor(F.col("s_suppkey") / 100).alias("g"), F.col("s_suppkey").alias("o"), line.alias("value"))
+    _write_groups(rows, path, "g", "o")
     read = text.read_records(t.spark, path, ["kind", "key"], stop="^END")
     return read.select(to_int("key").alias("s_suppkey"))
 
@@ -110,15 +120,15 @@ def s5_free_records(t):
     return read.select(to_int("event").alias("event_id"), to_int("user").alias("user_id"))
 
 
-@query("s6_key_values", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("s6_key_values", "SELECT s_suppkey, s_name, s_nationkey FROM supplier")
 def s6_key_values(t):
     path = scratch_path(t.spark, "kv")
-    body = F.concat(F.lit("key = "), "n_nationkey", F.lit("\nNAME: "), "n_name", F.lit("  # a remark\n\nregion = "), "n_regionkey")
-    # one file per record: 25 nations whatever the scale
-    t.nation.select("n_nationkey", body.alias("value")).repartition(1).write.partitionBy("n_nationkey").text(path)
-    read = text.read_key_values(t.spark, path, ["key", "name", "region"], rename={"NAME": "name"})
-    return read.select(to_int("key", kind="int").alias("n_nationkey"), F.col("name").alias("n_name"),
-                       to_int("region", kind="int").alias("n_regionkey"))
+    # one file per record
+    body = F.concat(F.lit("key = "), "s_suppkey", F.lit("\nNAME: "), "s_name", F.lit("  # a remark\n\nnation = "), "s_nationkey")
+    _write_groups(t.supplier.select("s_suppkey", body.alias("value"), F.lit(0).alias("o")), path, "s_suppkey", "o")
+    read = text.read_key_values(t.spark, path, ["key", "name", "nation"], rename={"NAME": "name"})
+    return read.select(to_int("key").alias("s_suppkey"), F.col("name").alias("s_name"),
+                       to_int("nation", kind="int").alias("s_nationkey"))
 
 
 @query("s6_pairs", "SELECT event_id, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events")
@@ -172,7 +182,7 @@ def s10_mysql_dump(t):
     path = scratch_path(t.spark, "dump")
     row = F.concat(F.lit("("), "c_custkey", F.lit(",'it\\'s; ("), "c_name", F.lit("), ok',"),
                    F.when(F.col("c_custkey") % 3 == 0, F.lit("NULL")).otherwise(F.col("c_acctbal").cast("string")), F.lit(")"))
-    inserts = t.customer.groupBy((F.col("c_custkey") % 97).alias("g")).agg(F.array_join(F.collect_list(row), ",").alias("rows")).select(
+    inserts = t.customer.groupBy(F.floor(F.col("c_custkey") / 500).alias("g")).agg(F.array_join(F.collect_list(row), ",").alias("rows")).select(
         F.concat(F.lit("INSERT INTO `c` VALUES "), "rows").alias("value"))
     create = t.region.filter("r_regionkey = 0").select(
         F.lit("CREATE TABLE `c` (\n  `id` int,\n  `label` varchar(99),\n  `bal` double,\n  PRIMARY KEY (`id`)\n)").alias("value"))
@@ -190,17 +200,21 @@ def s11_votable(t):
     return votable.read_votable(t.spark, f"{path}/rows", fields)
 
 
-@query("s11_votable_document", "SELECT n_nationkey, n_name || ' & <co>' AS label FROM nation")
+@query("s11_votable_document", "SELECT s_suppkey, s_name || ' & <co>' AS label FROM supplier")
 def s11_votable_document(t):
     path = scratch_path(t.spark, "votable")
-    rows = sinks.votable_rows(t.nation.select("n_nationkey", F.concat("n_name", F.lit(" & <co>")).alias("label")))
-    # one document with two tables, of which the second does not count; 25 nations whatever the scale
-    one = rows.agg(F.array_join(F.array_sort(F.collect_list("value")), "").alias("body"))
-    field = "<FIELD name='n_nationkey' datatype='int' ucd='meta.id'/><FIELD name='label' datatype='char' arraysize='*'><DESCRIPTION>x</DESCRIPTION></FIELD>"
+    # documents of a hundred suppliers with two tables each, of which the second does not count
+    named = t.supplier.select("s_suppkey", F.concat("s_name", F.lit(" & <co>")).alias("label"))
+    rows = named.select(F.floor(F.col("s_suppkey") / 100).alias("g"), F.concat(
+        F.lit("<TR><TD>"), "s_suppkey", F.lit("</TD><TD>"), F.replace(F.replace("label", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+        F.lit("</TD></TR>")).alias("value"))
+    bodies = rows.groupBy("g").agg(F.array_join(F.collect_list("value"), "").alias("body"))
+    field = ("<FIELD name='s_suppkey' datatype='long' ucd='meta.id'/><FIELD name='label' datatype='char' arraysize='*'>"
+             "<DESCRIPTION>x</DESCRIPTION></FIELD>")
     start, end = f"<TABLE>{field}<DATA><TABLEDATA>", "</TABLEDATA></DATA></TABLE>"
-    document = F.concat(F.lit(f"<?xml version='1.0'?><VOTABLE><RESOURCE>{start}"), "body", F.lit(end + start + "<TR><TD>99</TD><TD/></TR>" + end
-                                                                                              + "</RESOURCE></VOTABLE>"))
-    _write_lines(one.select(document.alias("value")), path)
+    document = F.concat(F.lit(f"<?xml version='1.0'?><VOTABLE><RESOURCE>{start}"), "body",
+                        F.lit(end + start + "<TR><TD>99</TD><TD/></TR>" + end + "</RESOURCE></VOTABLE>"))
+    _write_groups(bodies.select("g", document.alias("value"), F.lit(0).alias("o")), path, "g", "o")
     return votable.read_votable(t.spark, path)
 
 
@@ -307,7 +321,7 @@ def s17_source_constants(t):
 @query("s18_source_columns", "SELECT event_type AS folder, 'part' AS head, count(*) AS n, TRUE AS sized FROM events GROUP BY event_type")
 def s18_source_columns(t):
     path = scratch_path(t.spark, "described")
-    t.events.select(F.col("event_id").cast("string"), F.col("event_type").alias("kind")).repartition(1).write.partitionBy("kind").text(path)
+    t.events.select(F.col("event_id").cast("string"), F.col("event_type").alias("kind")).write.partitionBy("kind").text(path)
     rows = files.with_source_columns(t.spark.read.option("recursiveFileLookup", "true").text(path), base=path)
     folder = F.regexp_extract("source_path", "^kind=([a-z]+)/[^/]*$", 1)
     tail = files.last_elements(F.col("source_path"), 2)
@@ -363,15 +377,14 @@ def s23_image_pixels(t):
     return found.filter("x > 1").select("y", (F.col("x") - 1).alias("x"), F.round(F.col("value") / 2, 6).alias("value"))
 
 
-@query("s24_tsv", "SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE n_regionkey END AS n_regionkey FROM nation")
+@query("s24_tsv", "SELECT c_custkey, c_name, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_nationkey END AS c_nationkey FROM customer")
 def s24_tsv(t):
     path = scratch_path(t.spark, "tsv")
-    full = F.concat_ws("\t", "n_nationkey", "n_name", "n_regionkey")
-    short = F.concat_ws("\t", "n_nationkey", "n_name")
-    line = F.when(F.col("n_nationkey") % 2 == 0, short).otherwise(full)
-    _write_lines(t.nation.select(F.explode(F.array(F.lit("# comment"), F.lit("  "), line)).alias("value")), path)
+    full = F.concat_ws("\t", "c_custkey", "c_name", "c_nationkey")
+    line = F.when(F.col("c_acctbal") < 0, F.concat_ws("\t", "c_custkey", "c_name")).otherwise(full)
+    _write_lines(t.customer.select(F.explode(F.array(F.lit("# comment"), F.lit("  "), line)).alias("value")), path)
     read = text.read_tsv(t.spark, path, ["a", "b", "c"])
-    return read.select(to_int("a", kind="int").alias("n_nationkey"), F.col("b").alias("n_name"), to_int("c", kind="int").alias("n_regionkey"))
+    return read.select(to_int("a").alias("c_custkey"), F.col("b").alias("c_name"), to_int("c", kind="int").alias("c_nationkey"))
 
 
 @query("s25_parameter_rows", "SELECT p_partkey, p_size FROM part WHERE (p_size = 3 AND p_brand = 'Brand#1') OR (p_size = 4 AND p_brand = 'Brand#2') "
