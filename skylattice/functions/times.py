@@ -73,20 +73,19 @@ def timestamp_of_epoch_seconds(value) -> Column:
     return timestamp_of_mjd(num(value) / 86400.0 + 40587.0)
 
 
-_ISO = (
-    r"^(\d{4})-?(\d\d)-?(\d\d)(?:[T ](\d\d):?(\d\d):?(\d\d)(\.\d*)?Z?(?:\+00:00)?)?$"
-)
+# fixed pattern: ISO date with optional time; dashes, colons, fraction and UTC marks are optional
+_ISO = r"^(\d{4})-?(\d\d)-?(\d\d)(?:[T ](\d\d):?(\d\d):?(\d\d)(\.\d+)?\.?Z?(?:\+00:00)?)?$"
 
 
 def parse_iso(text) -> Column:
-    """Timestamp of an ISO literal (dashes and colons optional), NULL otherwise."""
-    text = F.trim(col(text))
-    part = lambda i: F.regexp_extract(text, _ISO, i)
-    fraction = F.when(F.length(part(7)) > 1, part(7)).otherwise(F.lit(""))
-    clock = F.when(part(4) == "", F.lit("00:00:00")).otherwise(
-        F.concat(part(4), F.lit(":"), part(5), F.lit(":"), part(6), fraction))
-    stamp = F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "), clock)
-    return F.when(text.rlike(_ISO), stamp.try_cast("timestamp_ntz"))
+    """Timestamp of an ISO literal, NULL otherwise.
+
+    One pattern replacement per row brings the literal to the standard form
+    and marks the ones that fitted.
+    """
+    marked = F.regexp_replace(F.trim(col(text)), _ISO, "=$1-$2-$3 $4:$5:$6$7")
+    whole_day = F.replace(marked, F.lit(" ::"), F.lit(" 00:00:00"))
+    return F.when(marked.startswith("="), F.ltrim(whole_day, F.lit("=")).try_cast("timestamp_ntz"))
 
 
 def parse_timestamp(text, pattern: str | None = None) -> Column:
@@ -166,10 +165,12 @@ SCALES = ("UTC", "TAI", "TT", "TDB", "TCG", "TCB")
 
 
 def _leap_count(at: Column, in_tai: bool) -> Column:
-    marks = [
-        day + ((_BEFORE_1972 + 1 + i) / 86400.0 if in_tai else 0.0) for i, day in enumerate(LEAP_SECOND_MJDS)
-    ]
-    return _BEFORE_1972 + F.size(F.filter(F.array(*map(F.lit, map(float, marks))), lambda m: m <= at))
+    count = None
+    for i, day in reversed(list(enumerate(LEAP_SECOND_MJDS))):
+        seconds = _BEFORE_1972 + 1 + i
+        mark = at >= day + (seconds / 86400.0 if in_tai else 0.0)
+        count = F.when(mark, seconds) if count is None else count.when(mark, seconds)
+    return count.otherwise(F.when(at.isNotNull(), _BEFORE_1972))
 
 
 def _tdb_minus_tt(at: Column) -> Column:

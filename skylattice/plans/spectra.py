@@ -10,22 +10,22 @@ from ..functions.text import has_words
 from ..functions.units import conversion_factor
 from ..operators import predicates, rangelist
 from ..operators.predicates import Condition
-from ..operators.skew import salted_join
 
 
 def normalise_flux(df: DataFrame, key: str = "spectrum_id", flux: str = "flux", error: str | None = None,
-                   calibration: str | None = None, slice_rows: int = 1_000_000) -> DataFrame:
+                   calibration: str | None = None) -> DataFrame:
     """Flux (and error) divided by each spectrum's maximum.
 
     Nothing happens to spectra already relative: to all of them, when
     ``calibration`` is that word, or to those whose calibration column says
-    so.  The maxima come from a map-side aggregate and are joined back with
-    big spectra split, so no spectrum has to fit into one task.
+    so.  The maxima come from a map-side aggregate and are joined back on the
+    same key; adaptive execution splits the rows of a very large spectrum
+    between tasks there, which a window over the spectrum could not do.
     """
     if calibration is not None and calibration.lower() == "relative":
         return df
     maxima = df.groupBy(key).agg(F.max(flux).alias("__max"))
-    joined = salted_join(df, maxima, [key], "inner", slice_rows)
+    joined = df.join(maxima, key)
     factor = F.col("__max")
     if calibration is not None and calibration in df.columns:
         factor = F.when(F.lower(calibration) == "relative", F.lit(1.0)).otherwise(factor)

@@ -42,6 +42,17 @@ def _wcs_images(t):
         F.when(F.col("p_type") == "PROMO", "RA---SIN").otherwise("RA---TAN").alias("CTYPE1"))
 
 
+def _tan_sql(ra: str, dec: str) -> tuple[str, str, str]:
+    """Pixel x, y and depth of a position on the TAN images, from columns ra, dec (centre) and s (scale)."""
+    depth = (f"(sin(radians({dec})) * sin(radians(dec)) + cos(radians({dec})) * cos(radians(dec)) * cos(radians({ra} - ra)))")
+    xi = f"degrees(cos(radians({dec})) * sin(radians({ra} - ra)) / {depth})"
+    eta = (f"degrees((sin(radians({dec})) * cos(radians(dec)) - cos(radians({dec})) * sin(radians(dec)) * cos(radians({ra} - ra))) / {depth})")
+    return f"(50.5 - {xi} / s)", f"(40.5 + {eta} / s)", depth
+
+
+_TAN_TABLE = "(SELECT p_partkey, ra, dec, p_size / 1e3 AS s FROM {sky_part} s0 WHERE p_type != 'PROMO')"
+
+
 @query("x3_image_metadata", "SELECT p_partkey, round(p_size / 1e3, 9) AS scale, CASE WHEN p_type = 'PROMO' THEN NULL ELSE round(dec, 6) END AS center_dec, "
                             "p_type != 'PROMO' AS has_footprint FROM {sky_part} s")
 def x3_image_metadata(t):
@@ -58,11 +69,19 @@ def x3_pixel_round_trip(t):
         "p_partkey", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"))
 
 
-@query("x4_pixel_slices")
+def _slice_sql() -> str:
+    corners = [_tan_sql(f"(ra + {a})", f"(dec + {d})") for a, d in ((-0.1, -0.1), (0.1, -0.1), (0.1, 0.2))]
+    low = lambda i, most: f"greatest(1, CAST(floor(least({', '.join(c[i] for c in corners)})) AS BIGINT))"
+    high = lambda i, most: f"least({most}, CAST(ceil(greatest({', '.join(c[i] for c in corners)})) AS BIGINT))"
+    return (f"SELECT * FROM (SELECT p_partkey, {low(0, 100)} AS x0, {high(0, 100)} AS x1, {low(1, 80)} AS y0, {high(1, 80)} AS y1 FROM {_TAN_TABLE} q) q "
+            f"WHERE x0 <= x1 AND y0 <= y1")
+
+
+@query("x4_pixel_slices", _slice_sql())
 def x4_pixel_slices(t):
     made = im.with_image_metadata(_wcs_images(t)).filter("wcs_projection = 'TAN'")
     area = F.array(*(regions.point(F.col("centerAlpha") + a, F.col("centerDelta") + d) for a, d in ((-0.1, -0.1), (0.1, -0.1), (0.1, 0.2))))
-    return made.select("p_partkey", im.pixel_slice(area).alias("s")).select("p_partkey", "s.*")
+    return made.select("p_partkey", im.pixel_slice(area).alias("s")).filter("s IS NOT NULL").select("p_partkey", "s.*")
 
 
 @query("x5_pixel_cutout", "SELECT y, x - 4 AS x, value, 10 - 4 AS ref FROM (SELECT y, x + 1 AS x, value FROM {pixels} p) q WHERE x BETWEEN 5 AND 20")
@@ -98,12 +117,16 @@ def x7_axis_values(t):
                                               limits["low"].alias("low"), limits["high"].alias("high"))
 
 
-@query("x8_cutout_estimate")
+_LOW, _HIGH = _tan_sql("(ra - 0.25)", "(dec - 0.25)"), _tan_sql("(ra + 0.25)", "(dec + 0.25)")
+
+
+@query("x8_cutout_estimate", f"SELECT p_partkey, least(16000, CAST(floor(2 * abs({_LOW[0]} - {_HIGH[0]}) * abs({_LOW[1]} - {_HIGH[1]})) AS BIGINT)) AS accsize, "
+                             f"round(dec, 6) AS center_dec FROM {_TAN_TABLE} q")
 def x8_cutout_estimate(t):
     made = im.with_image_metadata(_wcs_images(t)).filter("wcs_projection = 'TAN'")
     made = made.withColumn("accsize", F.lit(16000).cast("bigint"))
     out = im.cutout_estimate(made, None, None, 0.5, 0.5)
-    return out.select("p_partkey", "accsize", F.round("centerAlpha", 6).alias("centerAlpha"))
+    return out.select("p_partkey", "accsize", F.round("centerDelta", 6).alias("center_dec"))
 
 
 def _products(t):
@@ -279,10 +302,13 @@ def x21_pixel_ranges(t):
     return px.cut_pixels(rows, {"x": (3, 8), "y": (100, 120)}, {"x": 64, "y": 499})
 
 
-@query("x22_region_cutout")
+@query("x22_region_cutout", f"SELECT p_partkey, count(*) AS n FROM (SELECT vec_id, unnest(range(1, 65)) AS x FROM embeddings) e JOIN {_TAN_TABLE} q ON vec_id = "
+                            f"p_partkey WHERE {_tan_sql('264.23', '-0.69')[2]} > 0.99 AND abs(ra - 264.23) < 3 AND abs(dec + 0.69) < 3 GROUP BY 1")
 def x22_region_cutout(t):
     images = im.with_image_metadata(_wcs_images(t)).filter("wcs_projection = 'TAN'")
     pixels = t.embeddings.select(F.col("vec_id").alias("p_partkey"), F.posexplode("embedding").alias("p", "value")).select(
         "p_partkey", (F.col("p") + 1).cast("bigint").alias("x"), (F.col("p") % 80 + 1).cast("bigint").alias("y"), "value")
-    return px.region_cut(pixels, images.select("p_partkey", "pixelSize", "wcs_refPixel", "wcs_refValues", "wcs_cdmatrix"), "p_partkey",
-                         "CIRCLE 264.23 -0.69 4")
+    # the circle is larger than any image, so that images are taken whole or not at all
+    cut = px.region_cut(pixels, images.select("p_partkey", "pixelSize", "wcs_refPixel", "wcs_refValues", "wcs_cdmatrix"), "p_partkey",
+                        "CIRCLE 264.23 -0.69 8")
+    return cut.groupBy("p_partkey").agg(F.count("*").alias("n"))

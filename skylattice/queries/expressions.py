@@ -139,9 +139,9 @@ def t3_regex(t):
 
 
 @query("t4_has_word", "SELECT doc_id FROM documents WHERE list_contains(regexp_split_to_array(lower(text), "
-                      "'[^a-z0-9_]+'), 'onthe') AND list_contains(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), 'anre')")
+                      "'[^a-z0-9_]+'), 'thble') AND list_contains(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), 'thtion')")
 def t4_has_word(t):
-    return t.documents.filter(text.has_words("text", "the onthe of anre", stemmed=False)).select("doc_id")
+    return t.documents.filter(text.has_words("text", "the thble of thtion", stemmed=False)).select("doc_id")
 
 
 @query("t4_has_word_stemmed")
@@ -381,7 +381,11 @@ def k15_stc_text(t):
     return t.sky_a.select("c_custkey", formats.stc_point(sphere.point("ra", "dec")).alias("stc"))
 
 
-@query("k15_stc_shapes")
+@query("k15_stc_shapes", "SELECT p_partkey, 'Circle ICRS ' || f(ra) || ' ' || f(dec) || ' ' || f(p_size / 1e1) AS circle, 'Polygon ICRS ' || f(ra - h) || ' ' || "
+                         "f(dec - h) || ' ' || f(ra - h) || ' ' || f(dec + h) || ' ' || f(ra + h) || ' ' || f(dec + h) || ' ' || f(ra + h) || ' ' || f(dec - h) AS polygon, "
+                         "'polygon' AS kind FROM (SELECT *, p_size / 2e1 AS h FROM {sky_part} s) q".replace("f(ra", "regexp_replace(printf('%.10f', ra").replace(
+                             "f(dec", "regexp_replace(printf('%.10f', dec").replace("f(p_size", "regexp_replace(printf('%.10f', p_size").replace(
+                             ") || ", "), '\\.?0+$', '') || ").replace(") AS ", "), '\\.?0+$', '') AS "))
 def k15_stc_shapes(t):
     images = t.images
     circle = formats.stc_circle(F.struct("ra", "dec", F.col("size").alias("radius")))

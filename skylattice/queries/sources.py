@@ -73,7 +73,7 @@ def s2_csv_skipped_lines(t):
     # files of a hundred suppliers with two lines of preface each
     group = F.floor(F.col("s_suppkey") / 100).alias("g")
     body = t.supplier.select(group, F.col("s_suppkey").alias("o"), F.concat_ws(",  ", "s_suppkey", "s_name").alias("value"))
-    preface = body.select("g").distinct().select("g", F.explode(F.array(F.lit(-2), F.lit(-1))).cast("bigint").alias("o"),
+    preface = body.select("g").distinct().select("g", F.explode(F.array(F.lit(-2), F.lit(-1))).alias("o"),
                                                  F.lit("a preface, not data").alias("value"))
     _write_groups(body.unionByName(preface), path, "g", "o")
     read = text.read_csv(t.spark, path, ["key", "name"], strip=True, top_ignored=2)
@@ -124,9 +124,9 @@ def s5_free_records(t):
 def s6_key_values(t):
     path = scratch_path(t.spark, "kv")
     # one file per record
-    body = F.concat(F.lit("key = "), "s_suppkey", F.lit("\nNAME: "), "s_name", F.lit("  # a remark\n\nnation = "), "s_nationkey")
+    body = F.concat(F.lit("key = "), "s_suppkey", F.lit("\nNAME: "), "s_name", F.lit("  ; a remark\n\nnation = "), "s_nationkey")
     _write_groups(t.supplier.select("s_suppkey", body.alias("value"), F.lit(0).alias("o")), path, "s_suppkey", "o")
-    read = text.read_key_values(t.spark, path, ["key", "name", "nation"], rename={"NAME": "name"})
+    read = text.read_key_values(t.spark, path, ["key", "name", "nation"], comment=r"\s*;.*", rename={"NAME": "name"})
     return read.select(to_int("key").alias("s_suppkey"), F.col("name").alias("s_name"),
                        to_int("nation", kind="int").alias("s_nationkey"))
 
