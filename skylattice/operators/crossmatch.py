@@ -16,10 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sphere
-from .skew import salted, salted_join
+from .skew import salted
 
 MIN_ZONE_HEIGHT = 1.0 / 3600
 _ZONE_STEP = 1 << 32
+_SKY_AREA = 360.0 * 360.0 / math.pi
+# dense spots are looked for in blocks of cells, of which there are at most about this many
+_MAX_BLOCKS = 1 << 24
 
 
 def _bucket_count(zone: Column, height: float) -> Column:
@@ -41,6 +44,11 @@ def with_cell(df: DataFrame, ra, dec, height: float, out: str = "__cell") -> Dat
     return df.withColumn(out, F.col("__zone") * _ZONE_STEP + bucket).drop("__zone")
 
 
+def block_shift(height: float) -> int:
+    """How many bits of a cell number to drop for blocks of neighbouring cells in a zone."""
+    return max(0, math.ceil(math.log2(max(1.0, _SKY_AREA / (height * height) / _MAX_BLOCKS))))
+
+
 def with_touched_cells(df: DataFrame, ra, dec, radius: Column, height: float, out: str = "__cell") -> DataFrame:
     """One row per cell a circle touches."""
     slack = sphere.BAND_SLACK
@@ -72,8 +80,8 @@ def crossmatch(left: DataFrame, right: DataFrame, radius, left_ra="ra", left_dec
     ``right`` is the side that is copied to neighbouring cells, so pass the
     smaller table there.  ``radius`` may be the name of a column of ``right``,
     with ``max_radius`` fixing the cell size (bigger radii stay correct and
-    just touch more cells).  Cells holding very many rows of ``left`` are
-    spread over tasks.  ``how`` is ``inner``, ``left_semi`` or ``left_anti``.
+    just touch more cells).  Blocks of cells holding very many rows of
+    ``left`` are spread over tasks.  ``how`` is ``inner``, ``left_semi`` or ``left_anti``.
     Columns with the same name on both sides get the suffixes.
     """
     per_row = isinstance(radius, str)
@@ -91,13 +99,16 @@ def crossmatch(left: DataFrame, right: DataFrame, radius, left_ra="ra", left_dec
     reach = named(radius, right_suffix) if per_row else F.lit(float(radius))
     a = with_cell(left.filter(ra1.isNotNull() & dec1.isNotNull()) if how == "inner" else left, ra1, dec1, height)
     b = with_touched_cells(right.filter(ra2.isNotNull() & dec2.isNotNull()), ra2, dec2, reach, height)
+    shift = block_shift(height)
+    a, b = (df.withColumn("__block", F.shiftright("__cell", shift)) for df in (a, b))
+    a, b = salted(a, b, ["__block"], slice_rows)
+    a, b = a.drop("__block"), b.drop("__block")
     if how == "inner":
-        pairs = salted_join(a, b, ["__cell"], "inner", slice_rows)
+        pairs = a.join(b, ["__cell", "__salt"]).drop("__salt")
         close = sphere.haversine_term(ra1, dec1, ra2, dec2)
         pairs = pairs.withColumn(distance, F.degrees(2 * F.asin(F.sqrt(F.least(F.lit(1.0), close)))))
         return pairs.filter(F.col(distance) <= reach).drop("__cell")
     if how in ("left_semi", "left_anti"):
-        a, b = salted(a, b, ["__cell"], slice_rows)
         condition = (a["__cell"] == b["__cell"]) & (a["__salt"] == b["__salt"]) & sphere.within(
             ra1, dec1, ra2, dec2, reach)
         return a.join(b, condition, how).drop("__cell", "__salt")
