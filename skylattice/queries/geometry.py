@@ -66,6 +66,22 @@ def _point_in_box_sql(ra0: float, dec0: float) -> str:
     return "(" + " AND ".join(tests) + f") AND {dist_sql('ra', 'dec', str(ra0), str(dec0))} < 90"
 
 
+def _circle_meets_box_sql(ra0: float, dec0: float, radius: float) -> str:
+    """Whether a constant circle touches the four great circles through the corners of an image."""
+    corners = [_corner_sql(f"(ra {a} p_size / 2e1)", f"(dec {d} p_size / 2e1)") for a, d in ("--", "-+", "++", "+-")]
+    p = _corner_sql(f"{ra0}", f"{dec0}")
+    dot = lambda a, b: "(" + " + ".join(f"{x} * {y}" for x, y in zip(a, b)) + ")"
+    near = []
+    for i, a in enumerate(corners):
+        b = corners[(i + 1) % 4]
+        ab, ap, bp = dot(a, b), dot(a, p), dot(b, p)
+        turn = " + ".join(f"({a[j]} * {b[k]} - {a[k]} * {b[j]}) * {p[m]}" for j, k, m in ((1, 2, 0), (2, 0, 1), (0, 1, 2)))
+        near.append(f"acos(greatest(-1, least(1, {ap}))) <= radians({radius})")
+        near.append(f"({bp} - {ab} * {ap} >= 0 AND {ap} - {ab} * {bp} >= 0 AND "
+                    f"asin(least(1, abs({turn}) / sqrt(1 - {ab} * {ab}))) <= radians({radius}))")
+    return "(" + " OR ".join(near) + f" OR ({_point_in_box_sql(ra0, dec0)}))"
+
+
 _POLYGON = [(340.0, -20.0), (40.0, -25.0), (30.0, 35.0), (350.0, 30.0)]
 _NOTCHED = [(340.0, -20.0), (40.0, -25.0), (10.0, 0.0), (30.0, 35.0), (350.0, 30.0)]
 
@@ -114,6 +130,11 @@ def g7_polygons_intersect(t):
     return both.select("p_partkey", rg.intersects(rg.circle("ra", "dec", "size"), "circle", wanted, "polygon").alias("circle_too"))
 
 
+@query("g7_circle_meets_polygon", f"SELECT p_partkey FROM {{sky_part}} s WHERE {_circle_meets_box_sql(240.0, 50.0, 9.0)}")
+def g7_circle_meets_polygon(t):
+    return t.images.filter(rg.intersects(F.col("coverage"), "polygon", rg.circle(240.0, 50.0, 9.0), "circle")).select("p_partkey")
+
+
 @query("g7_point_swapped", f"SELECT c_custkey FROM {{sky_a}} s WHERE {dist_sql('ra', 'dec', '10.0', '80.0')} <= 15")
 def g7_point_swapped(t):
     test = rg.intersects(rg.circle(10.0, 80.0, 15.0), "circle", rg.point("ra", "dec"), "point")
@@ -198,14 +219,16 @@ def g15_enclosed(t):
     return t.images.filter(im.box_search(150.0, 0.0, (20.0, 20.0), "ENCLOSED")).select("p_partkey")
 
 
+@query("g16_circle_search", f"SELECT p_partkey FROM {{sky_part}} s WHERE {_circle_meets_box_sql(100.0, -20.0, 6.0)}")
+def g16_circle_search(t):
+    return t.images.filter(im.shape_search("CIRCLE 100 -20 6")).select("p_partkey")
+
+
 @query("g16_shape_search")
 def g16_shape_search(t):
-    images = t.images
-    rows = None
-    for text in ("CIRCLE 100 -20 6", "RANGE 90 110 -25 -15", "POLYGON 95 -25 105 -25 100 -10"):
-        hits = images.filter(im.shape_search(text)).select(F.lit(text.split()[0]).alias("shape"), "p_partkey")
-        rows = hits if rows is None else rows.unionByName(hits)
-    return rows
+    shapes = ("CIRCLE 100 -20 6", "RANGE 90 110 -25 -15", "POLYGON 95 -25 105 -25 100 -10")
+    tests = (F.when(im.shape_search(text), F.lit(text.split()[0])) for text in shapes)
+    return t.images.select("p_partkey", F.explode(F.array(*tests)).alias("shape")).filter("shape IS NOT NULL")
 
 
 @query("g17_circle_boxes", "SELECT p_partkey, CAST(n AS BIGINT) AS n_boxes, CASE WHEN dec + s > 90 THEN least(dec - s, 180 - (dec + s)) ELSE "

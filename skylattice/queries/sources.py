@@ -10,6 +10,7 @@ from ..operators.limits import limited
 from ..session import scratch_path
 from ..sinks import tables as sinks
 from ..sources import binary, files, fits, text, upload, votable
+from ..sources.ranges import write_bytes
 from .registry import query
 
 
@@ -19,25 +20,24 @@ def _write_lines(df, path, line_sep="\n"):
 
 
 def _write_binary(df, path, build):
-    """One file per partition, made by ``build(pandas frame)``; written by the tasks into the shared folder."""
-    schema = "file string"
+    """Files made by ``build(pandas frame)``, written by the tasks into the shared folder.
 
+    Names come from partition and batch number, so a task that runs again
+    replaces its own files.
+    """
     def run(batches):
-        import os
-        import uuid
-
         import pandas as pd
+        from pyspark import TaskContext
 
-        os.makedirs(path, exist_ok=True)
-        for batch in batches:
+        part = TaskContext.get().partitionId()
+        for number, batch in enumerate(batches):
             if len(batch):
-                name = f"{path}/{uuid.uuid4().hex}.bin"
-                with open(name, "wb") as out:
-                    out.write(build(batch))
+                name = f"{path}/{part}-{number}.bin"
+                write_bytes(name, build(batch))
                 yield pd.DataFrame({"file": [name]})
 
     # an action, as the files have to be there before they are read
-    df.mapInPandas(run, schema).count()
+    df.mapInPandas(run, "file string").count()
     return path
 
 
@@ -245,15 +245,11 @@ def s12_fits_headers(t):
     path = scratch_path(t.spark, "fits")
 
     def run(batches):
-        import os
-
         import pandas as pd
 
-        os.makedirs(path, exist_ok=True)
         for batch in batches:
             for row in batch.itertuples():
-                with open(f"{path}/{row.s_suppkey}.fits", "wb") as out:
-                    out.write(build_one(row))
+                write_bytes(f"{path}/{row.s_suppkey}.fits", build_one(row))
             yield pd.DataFrame({"n": [len(batch)]})
 
     t.sky_b.select("s_suppkey", "s_name", "ra", "dec").mapInPandas(run, "n bigint").count()

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_own_folder: str | None = None
 
 
 def local_session(cores: int | str = 8, app: str = "skylattice", **conf) -> SparkSession:
@@ -36,10 +37,10 @@ def shared_folder(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``; only where that is
     unset (one machine, tests) a temporary folder is taken.
     """
-    base = spark.conf.get(_CHECKPOINT_KEY, None)
+    global _own_folder
+    base = spark.conf.get(_CHECKPOINT_KEY, None) or _own_folder
     if not base:
-        base = tempfile.mkdtemp(prefix="skylattice-")
-        spark.conf.set(_CHECKPOINT_KEY, base)
+        base = _own_folder = tempfile.mkdtemp(prefix="skylattice-")
     return base.rstrip("/")
 
 

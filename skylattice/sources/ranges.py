@@ -20,6 +20,18 @@ def open_input(uri: str):
     return system.open_input_file(path)
 
 
+def write_bytes(uri: str, data: bytes) -> None:
+    """Writes a whole file, replacing what is there, on any file system Arrow knows."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        uri = "/" + uri[5:].lstrip("/")
+    system, path = (fs.LocalFileSystem(), uri) if "://" not in uri else fs.FileSystem.from_uri(uri)
+    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(path) as stream:
+        stream.write(data)
+
+
 def file_sizes(spark: SparkSession, path, pattern: str | None = None) -> DataFrame:
     """path and length of files; contents are not touched."""
     reader = spark.read.format("binaryFile")
