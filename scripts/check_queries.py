@@ -19,11 +19,14 @@ import duckdb  # noqa: E402
 from skylattice.session import local_session  # noqa: E402
 
 
+DIGITS = int(os.environ.get("CHECK_DIGITS", "9"))
+
+
 def plain(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return 0.0 if v == 0 else float(f"{v:.9g}")
+        return 0.0 if v == 0 else float(f"{v:.{DIGITS}g}")
     if isinstance(v, decimal.Decimal):
         return float(v)
     if isinstance(v, (list, tuple)):

@@ -145,11 +145,17 @@ def region_numbers(text) -> Column:
 
 def region_polygon(text) -> Column:
     """A text column of circles, boxes and polygons as polygons; other texts give NULL."""
-    kind, n = region_kind(text), region_numbers(text)
-    at = lambda i: F.get(n, F.lit(i))
-    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(n) / 2).cast("int") - 1),
-                        lambda i: F.struct(F.get(n, 2 * i).alias("ra"), F.get(n, 2 * i + 1).alias("dec")))
-    return (
-        F.when((kind == "circle") & (F.size(n) == 3), regions.circle_to_polygon(regions.circle(at(0), at(1), at(2))))
-        .when((kind == "box") & (F.size(n) == 4), regions.box(at(0), at(1), at(2), at(3)))
-        .when((kind == "polygon") & (F.size(n) >= 6) & (F.size(n) % 2 == 0), pairs))
+    parsed = F.struct(region_kind(text).alias("kind"), region_numbers(text).alias("n"))
+
+    def build(s):
+        kind, n = s["kind"], s["n"]
+        count = F.size(n)
+        at = lambda i: F.get(n, F.lit(i))
+        pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(count / 2).cast("int") - 1)),
+                            lambda i: F.struct(F.get(n, 2 * i).alias("ra"), F.get(n, 2 * i + 1).alias("dec")))
+        return (
+            F.when((kind == "circle") & (count == 3), regions.circle_to_polygon(regions.circle(at(0), at(1), at(2))))
+            .when((kind == "box") & (count == 4), regions.box(at(0), at(1), at(2), at(3)))
+            .when((kind == "polygon") & (count >= 6) & (count % 2 == 0), pairs))
+
+    return regions._bind(parsed, build)

@@ -39,21 +39,23 @@ def hashlist_has(hashlist, item) -> Column:
     return F.array_contains(F.split(col(hashlist), "#"), F.lower(item))
 
 
-def stem(word: Column) -> Column:
-    """A light English stem: plural and common verb endings off.
-
-    An approximation of a full stemmer; unstemmed words are matched exactly.
-    """
-    word = F.regexp_replace(word, r"(?<=..)ies$", "y")
-    word = F.regexp_replace(word, r"(?<=..(?:s|x|z|ch|sh))es$", "")
-    word = F.regexp_replace(word, r"(?<=..[^su])s$", "")
-    word = F.regexp_replace(word, r"(?<=...)(?:ing|ed)$", "")
-    return F.regexp_replace(word, r"(?<=...)e$", "")
+def stem(word: str) -> str:
+    """A light English stem of a query word: plural and common verb endings off."""
+    word = re.sub(r"(?<=..)ies$", "y", word)
+    word = re.sub(r"(?<=..)(s|x|z|ch|sh)es$", r"\1", word)
+    word = re.sub(r"(?<=..)([^su])s$", r"\1", word)
+    word = re.sub(r"(?<=...)(?:ing|ed)$", "", word)
+    return re.sub(r"(?<=...)e$", "", word)
 
 
-def words_of(text) -> Column:
-    """The lower-case words of a text, in order."""
-    return F.filter(F.split(F.lower(col(text)), r"\W+"), lambda w: w != "")
+def _word_pattern(word: str, stemmed: bool) -> str:
+    """Pattern of a word, or of the words having its stem, between non-word characters."""
+    if not stemmed:
+        body = re.escape(word)
+    else:
+        base = stem(word)
+        body = f"{base[:-1]}(?:y|ies)" if base.endswith("y") else f"{base}(?:e|s|es|ed|ing|ings)?"
+    return rf"(?<![a-z0-9_]){body}(?![a-z0-9_])"
 
 
 def _query_words(query: str) -> list[str]:
@@ -63,27 +65,20 @@ def _query_words(query: str) -> list[str]:
 def has_words(text, query: str, stemmed: bool = True) -> Column:
     """Whether all words of the query (stop words off) occur in the text.
 
-    Without query words nothing matches.  A cheap substring test on the
-    shortest common prefix stands in front of the tokenisation.
+    One pattern search per query word, so texts are not taken apart.  Stems
+    approximate those of a full text index; unstemmed words match exactly.
+    Without query words nothing matches.
     """
     wanted = _query_words(query)
     text = col(text)
     if not wanted:
         return F.when(text.isNotNull(), F.lit(False))
-    if not stemmed:
-        tokens = words_of(text)
-        tests = [F.array_contains(tokens, w) for w in wanted]
-    else:
-        tokens = F.transform(words_of(text), stem)
-        tests = [F.array_contains(tokens, stem(F.lit(w))) for w in wanted]
     lowered = F.lower(text)
-    prefilter = F.lit(True)
+    result = None
     for word in wanted:
-        prefilter = prefilter & lowered.contains(word[: max(2, len(word) - 4)])
-    result = tests[0]
-    for test in tests[1:]:
-        result = result & test
-    return prefilter & result
+        test = lowered.rlike(_word_pattern(word, stemmed))
+        result = test if result is None else result & test
+    return result
 
 
 def has_words_in_any(columns, query: str, stemmed: bool = True) -> Column:

@@ -74,18 +74,19 @@ _UNITS = TableSpec("lengths", (ColumnSpec("p_partkey", "bigint"), ColumnSpec("p_
                                ColumnSpec("p_retailprice", "double", unit="arcsec/yr")))
 
 
-@query("f8_in_unit", "SELECT p_partkey, p_size * 1000.0 AS metres, p_retailprice / 3600 AS pm FROM part")
+@query("f8_in_unit", "SELECT p_partkey, round(p_size * 1000.0, 6) AS metres, round(p_retailprice / 3600, 9) AS pm FROM part")
 def f8_in_unit(t):
     df = _UNITS.annotate(t.part.select("p_partkey", "p_size", "p_retailprice"))
     df = units.in_unit(df, "p_size", "m", "metres")
     df = units.in_unit(df, "p_retailprice", "deg/yr", "pm")
-    return df.select("p_partkey", F.col("metres").cast("double").alias("metres"), "pm")
+    return df.select("p_partkey", F.round("metres", 6).alias("metres"), F.round("pm", 9).alias("pm"))
 
 
-@query("f9_harmonise", "SELECT p_partkey, p_size * 1000.0 AS p_size, p_retailprice * 1000 AS p_retailprice FROM part")
+@query("f9_harmonise", "SELECT p_partkey, round(p_size * 1000.0, 6) AS p_size, round(p_retailprice * 1000, 6) AS p_retailprice FROM part")
 def f9_harmonise(t):
     df = _UNITS.annotate(t.part.select("p_partkey", "p_size", "p_retailprice"))
-    return units.harmonise(df, {"p_partkey": None, "p_size": "m", "p_retailprice": "mas/yr"})
+    df = units.harmonise(df, {"p_partkey": None, "p_size": "m", "p_retailprice": "mas/yr"})
+    return df.select("p_partkey", F.round("p_size", 6).alias("p_size"), F.round("p_retailprice", 6).alias("p_retailprice"))
 
 
 @query("f10_scale", "SELECT d.doc_id, quality * 2.5 + 1 AS scaled FROM documents d LEFT JOIN labels l "
@@ -144,7 +145,8 @@ def t4_has_word(t):
     return t.documents.filter(text.has_words("text", "the thble of thtion", stemmed=False)).select("doc_id")
 
 
-@query("t4_has_word_stemmed")
+@query("t4_has_word_stemmed", "SELECT doc_id, lang FROM documents WHERE len(list_intersect(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), "
+                              "['ontion', 'ontione', 'ontions', 'ontiones', 'ontioned', 'ontioning', 'ontionings'])) > 0")
 def t4_has_word_stemmed(t):
     return t.documents.filter(text.has_words("text", "ontions")).select("doc_id", "lang")
 
@@ -212,14 +214,14 @@ def t13_bibcode(t):
         .toDF("o_orderkey", "is_code")
 
 
-@query("d1_mjd", f"SELECT event_id, round({mjd_sql('ts')}, 8) AS mjd FROM events")
+@query("d1_mjd", f"SELECT event_id, round({mjd_sql('ts')}, 6) AS mjd FROM events")
 def d1_mjd(t):
-    return t.events.select("event_id", F.round(times.mjd("ts"), 8).alias("mjd"))
+    return t.events.select("event_id", F.round(times.mjd("ts"), 6).alias("mjd"))
 
 
-@query("d2_jd", f"SELECT event_id, round({mjd_sql('ts')} + 2400000.5, 6) AS jd FROM events")
+@query("d2_jd", f"SELECT event_id, round({mjd_sql('ts')} + 2400000.5, 3) AS jd FROM events")
 def d2_jd(t):
-    return t.events.select("event_id", F.round(times.jd("ts"), 6).alias("jd"))
+    return t.events.select("event_id", F.round(times.jd("ts"), 3).alias("jd"))
 
 
 @query("d3_years", f"SELECT o_orderkey, round(2000 + ({mjd_sql('o_orderdate')} - 51544.5) / 365.25, 8) AS jy, "
@@ -348,13 +350,13 @@ def k11_human_dates(t):
                            formats.human_date_of_number(times.mjd(whole), "mjd").alias("iso"))
 
 
-@query("k12_by_unit", f"SELECT event_id, round({mjd_sql('ts')}, 8) AS mjd, round({mjd_sql('ts')} + 2400000.5, 6) AS jd, "
+@query("k12_by_unit", f"SELECT event_id, round({mjd_sql('ts')}, 6) AS mjd, round({mjd_sql('ts')} + 2400000.5, 3) AS jd, "
                       f"round(2000 + ({mjd_sql('ts')} - 51544.5) / 365.25, 8) AS jy, "
-                      f"round(({mjd_sql('ts')} - 40587) * 86400, 3) AS s, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso FROM events")
+                      f"round(({mjd_sql('ts')} - 40587) * 86400, 1) AS s, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso FROM events")
 def k12_by_unit(t):
     return t.events.select(
-        "event_id", F.round(times.in_unit("ts", "mjd"), 8).alias("mjd"), F.round(times.in_unit("ts", "d"), 6).alias("jd"),
-        F.round(times.in_unit("ts", "yr"), 8).alias("jy"), F.round(times.in_unit("ts", "s"), 3).alias("s"),
+        "event_id", F.round(times.in_unit("ts", "mjd"), 6).alias("mjd"), F.round(times.in_unit("ts", "d"), 3).alias("jd"),
+        F.round(times.in_unit("ts", "yr"), 8).alias("jy"), F.round(times.in_unit("ts", "s"), 1).alias("s"),
         times.in_unit("ts", "").alias("iso"))
 
 
@@ -412,10 +414,10 @@ def z1_sql_functions(t):
                        "sky_contains_circle(ra, dec, 120D, 10D, 40D) AS inside FROM {s}", s=t.sky_a)
 
 
-@query("z1_registry", f"SELECT event_id, round({mjd_sql('ts')}, 8) AS mjd FROM events")
+@query("z1_registry", f"SELECT event_id, round({mjd_sql('ts')}, 6) AS mjd FROM events")
 def z1_registry(t):
     sqlpack.install(t.spark)
-    return t.events.select("event_id", F.round(ufuncs.user_function("to_mjd")(F.col("ts")), 8).alias("mjd"))
+    return t.events.select("event_id", F.round(ufuncs.user_function("to_mjd")(F.col("ts")), 6).alias("mjd"))
 
 
 @query("z2_predicate_form", "SELECT p_partkey FROM part WHERE p_name ILIKE '%WIDGET%'")

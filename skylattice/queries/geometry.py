@@ -275,7 +275,7 @@ def g20_box_polygon(t):
 
 
 @query("g22_region_column", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 32 ELSE 4 END AS corners, CASE p_partkey % 3 WHEN 0 THEN NULL ELSE "
-                            "ra - p_size / 2e1 END AS first_ra FROM {sky_part} s")
+                            "round(ra - p_size / 2e1, 9) END AS first_ra FROM {sky_part} s")
 def g22_region_column(t):
     from ..functions import formats
 
