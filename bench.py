@@ -43,9 +43,13 @@ def naive_cone(t: Tables):
 
 
 def naive_overwrite(t: Tables):
-    rows = t.events.filter("event_type IN ('signup', 'error')").select("user_id", "event_id", "event_type", "value")
-    newest = Window.partitionBy("user_id").orderBy(F.desc("event_id"))
-    return rows.withColumn("r", F.row_number().over(newest)).filter("r = 1")
+    """Stored and new rows together, the newest by a window."""
+    rows = t.events.select("user_id", "event_id", "event_type", "value")
+    stored = rows.filter("event_type = 'signup'").drop("value").withColumn("fresh", F.lit(0))
+    new = rows.filter("event_type = 'error' AND value > 20").drop("value").withColumn("fresh", F.lit(1))
+    order = F.when(F.col("fresh") == 1, F.col("event_id")).otherwise(-F.col("event_id"))
+    newest = Window.partitionBy("user_id").orderBy(F.desc("fresh"), order.desc())
+    return stored.unionByName(new).withColumn("r", F.row_number().over(newest)).filter("r = 1")
 
 
 def naive_normalise(t: Tables):

@@ -11,4 +11,4 @@ def strict_or_null(value: Column, source: Column, message: str, strict: bool) ->
     if not strict:
         return value
     failure = F.raise_error(F.concat(F.lit(f"{message}: "), source.cast("string")))
-    return F.when(source.isNotNull() & value.isNull(), failure).otherwise(value)
+    return F.coalesce(value, F.when(source.isNotNull(), failure))

@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ._args import col, is_number, num
+from ._args import is_number, num
 
 # slack added to pre-filter bands so that rounding never loses an edge row
 BAND_SLACK = 1e-9

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime
-import re
 from dataclasses import dataclass
 from urllib.parse import unquote
 

@@ -85,15 +85,32 @@ def search_images(df: DataFrame, params: dict, coverage: str = "coverage",
     return df.filter(test)
 
 
-def shape_search(text: str, coverage="coverage") -> Column:
-    """CIRCLE, RANGE or POLYGON against a footprint column: whether they intersect."""
+def shape_search(text: str, coverage="coverage", center: tuple[str, str] | None = None,
+                 reach: str | None = None) -> Column:
+    """CIRCLE, RANGE or POLYGON against a footprint column: whether they intersect.
+
+    With ``center`` (ra, dec columns) and ``reach`` (a column with a radius in
+    degrees around the whole footprint), comparisons of declinations, and for
+    circles of distances, go before the polygon test.
+    """
     shape = stctext.parse_search_shape(text)
     if shape.kind == "circle":
-        return regions.circle_intersects_polygon(shape.column(), coverage)
-    if shape.kind == "range":
-        ra_min, ra_max, dec_min, dec_max = shape.numbers
-        return regions.polygon_intersects_constant_box(coverage, (ra_min, dec_min, ra_max, dec_max))
-    return regions.polygons_intersect(coverage, shape.column())
+        ra, dec, radius = shape.numbers
+        low, high = dec - radius, dec + radius
+        test = regions.circle_intersects_polygon(shape.column(), coverage)
+    elif shape.kind == "range":
+        ra_min, ra_max, low, high = shape.numbers
+        test = regions.polygon_intersects_constant_box(coverage, (ra_min, low, ra_max, high))
+    else:
+        low, high = regions.dec_range(shape.vertices)
+        test = regions.polygons_intersect(coverage, shape.column())
+    if not (center and reach):
+        return test
+    slack = sphere.BAND_SLACK
+    near = (F.col(center[1]) + F.col(reach) >= low - slack) & (F.col(center[1]) - F.col(reach) <= high + slack)
+    if shape.kind == "circle":
+        near = near & (sphere.distance(*center, ra, dec) <= F.col(reach) + radius + slack)
+    return near & test
 
 
 # --- TAN projection ---------------------------------------------------------

@@ -3,10 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..functions import regions, sphere, times
-from ..operators.limits import limited
 from ..plans import catalogue, filejobs, images as im, pixels as px, products as pr, spectra as sp
 from ..session import scratch_path
-from ..sources import files, fits, text, upload
+from ..sources import files, upload
 from .registry import mjd_sql, query
 
 

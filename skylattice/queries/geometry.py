@@ -221,7 +221,8 @@ def g15_enclosed(t):
 
 @query("g16_circle_search", f"SELECT p_partkey FROM {{sky_part}} s WHERE {_circle_meets_box_sql(100.0, -20.0, 6.0)}")
 def g16_circle_search(t):
-    return t.images.filter(im.shape_search("CIRCLE 100 -20 6")).select("p_partkey")
+    # the corners of an image lie within its size around the centre
+    return t.images.filter(im.shape_search("CIRCLE 100 -20 6", center=("ra", "dec"), reach="size")).select("p_partkey")
 
 
 @query("g16_shape_search")

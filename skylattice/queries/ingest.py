@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import healpix
 from ..operators import expand, keys, lookups, mapping, predicates  # noqa: F401
 from ..operators.mapping import RowMaker
 from ..schema import ColumnSpec, TableSpec, structure_differences

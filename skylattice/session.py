@@ -47,16 +47,3 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark)}/skylattice-{uuid.uuid4().hex}/{name}"
-
-
-def checkpointed(df):
-    """``df`` with its lineage cut by a reliable checkpoint.
-
-    Executors may vanish, so the data goes to the shared folder rather than
-    to executor disks.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()

@@ -185,3 +185,15 @@ def test_column_statistics(spark):
     df = spark.createDataFrame([(1, "b", None), (3, "a", 2.0)], "i int, s string, f double")
     found = {r["column_name"]: tuple(r)[1:] for r in stats.column_stats(df).collect()}
     assert found == {"i": ("1", "3", 2.0, False), "s": ("a", "b", None, False), "f": ("2.0", "2.0", 2.0, True)}
+
+
+def test_cone_prunes_the_scan(spark, tmp_path):
+    path = str(tmp_path / "sky")
+    _sky(spark, 500, 5).write.parquet(path)
+    found = crossmatch.cone_search(spark.read.parquet(path).select("id", "ra", "dec"), 120.0, 10.0, 5.0, folded=True)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters"):]
+    assert "GreaterThanOrEqual(dec" in pushed and "LessThanOrEqual(ra" in pushed
+    assert found.count() == spark.read.parquet(path).filter(sphere.within("ra", "dec", 120.0, 10.0, 5.0)).count()
