@@ -241,6 +241,11 @@ def iso_of(value, unit: str) -> Column:
                          "yyyy-MM-dd'T'HH:mm:ss")
 
 
+def timestamp_literal(value) -> Column:
+    """A Python datetime as a literal that means the same wall-clock time in every session zone."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def year_to_mjd(year: float) -> float:
     """MJD of a Julian year, for literals."""
     return (year - 2000.0) * JULIAN_YEAR + MJD_J2000

@@ -10,8 +10,6 @@ import datetime
 import re
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ..functions import times
 from ..functions._args import col
 
@@ -72,7 +70,7 @@ class _Dates(_Numbers):
     read = staticmethod(_date)
 
     def value(self, v: datetime.datetime):
-        return F.lit(v).cast("timestamp_ntz")
+        return times.timestamp_literal(v)
 
     @staticmethod
     def day_end(v: datetime.datetime) -> datetime.datetime:

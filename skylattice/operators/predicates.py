@@ -77,6 +77,10 @@ def between_open(c, low=None, high=None) -> Column | None:
     return c.between(low, high)
 
 
+def _literal(value):
+    return times.timestamp_literal(value) if isinstance(value, datetime.datetime) else F.lit(value)
+
+
 def equals_value(c, value, xtype: str | None = None) -> Column | None:
     """Predicate from a typed value: a scalar, a set, or (``xtype`` interval) a two-element range.
 
@@ -89,12 +93,14 @@ def equals_value(c, value, xtype: str | None = None) -> Column | None:
         low, high = value
         low = None if low is None or low == -math.inf else low
         high = None if high is None or high == math.inf else high
+        if xtype == "interval":
+            low, high = (None if v is None else _literal(v) for v in (low, high))
         if xtype == "mjd-interval":
             low, high = (None if v is None else times.timestamp_of_mjd(float(v)) for v in (low, high))
         return between_open(c, low, high)
     if isinstance(value, (list, tuple, set, frozenset)):
-        return any_of(c, sorted(value)) if value else None
-    return col(c) == F.lit(value)
+        return any_of(c, map(_literal, sorted(value))) if value else None
+    return col(c) == _literal(value)
 
 
 def on_constant(constant, test) -> Column:

@@ -131,7 +131,7 @@ def _convert(value, column_form: str | None):
         return times.mjd_of_datetime(value) + times.JD_OF_MJD
     if column_form == "jy":
         return 2000.0 + (times.mjd_of_datetime(value) - times.MJD_J2000) / times.JULIAN_YEAR
-    return F.lit(value).cast("timestamp_ntz")
+    return times.timestamp_literal(value)
 
 
 def range_filter(column, text: str | None, kind: str = "string", column_form: str | None = None) -> Column | None:

@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.times import timestamp_literal
 from ..operators import keys, limits, predicates
 from ..operators.skew import salted_join
 
@@ -122,11 +123,11 @@ def changed_records(records: DataFrame, stamp: str, from_: str | None = None, un
     if from_:
         limit, _, grain = _moment(from_, False)
         grains.add(grain)
-        tests.append(F.col(stamp) >= F.lit(limit).cast("timestamp_ntz"))
+        tests.append(F.col(stamp) >= timestamp_literal(limit))
     if until:
         limit, exclusive, grain = _moment(until, True)
         grains.add(grain)
-        limit = F.lit(limit).cast("timestamp_ntz")
+        limit = timestamp_literal(limit)
         tests.append(F.col(stamp) < limit if exclusive else F.col(stamp) <= limit)
     if len(grains) > 1:
         raise ValueError("from and until need the same granularity")

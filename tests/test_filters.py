@@ -130,3 +130,16 @@ def test_conditions(numbers):
 def test_constant_contradiction_empties_the_plan(numbers):
     plan = numbers.filter(p.on_constant("star", lambda v: v == "galaxy"))._jdf.queryExecution().optimizedPlan().toString()
     assert "LocalRelation <empty>" in plan or "LocalTableScan <empty>" in plan
+
+
+def test_date_literals_do_not_depend_on_the_session_zone(spark):
+    df = spark.createDataFrame([("2001-05-07 00:30:00",)], "d string").withColumn("t", F.col("d").cast("timestamp_ntz"))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert df.filter(fx.date_filter("t", "2001-05-07")).count() == 1
+        assert df.filter(rl.range_filter("t", "2001-05-07T00:30:00/", "date")).count() == 1
+        assert df.filter(rl.range_filter("t", "2001-05-07T00:30:01/", "date")).count() == 0
+        assert df.filter(p.equals_value("t", datetime.datetime(2001, 5, 7, 0, 30))).count() == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
