@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import outliers
+from . import ngram_groups, outliers
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,8 @@ def registered(name: str, sql: str | None = None):
 def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.verdicts(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+@registered("op10_ngram_groups")
+def op10_ngram_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_groups.near_documents(table(spark, sf_dir, "documents"))
