@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_groups, outliers
+from . import near_lines, ngram_groups, outliers
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,8 @@ def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op10_ngram_groups")
 def op10_ngram_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_groups.near_documents(table(spark, sf_dir, "documents"))
+
+
+@registered("op4_near_lines")
+def op4_near_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_lines.line_counts(table(spark, sf_dir, "documents"))
