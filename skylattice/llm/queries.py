@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_lines, ngram_groups, outliers
+from . import mixing, near_lines, ngram_groups, outliers, pieces
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,13 @@ def op10_ngram_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op4_near_lines")
 def op4_near_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_lines.line_counts(table(spark, sf_dir, "documents"))
+
+
+@registered("op2_pivotal_mix")
+def op2_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+@registered("op8_pieces")
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trips(table(spark, sf_dir, "documents"))
