@@ -28,7 +28,7 @@ from .common import row_key, settled, text_or_empty
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5  #: words of the mix for each word of the input
 MOST = 2.0  #: copies a document has at most
-BUCKET = 20_000  #: documents that one task pairs
+BUCKET = 5_000  #: documents that one task pairs
 FAN = 64  #: residuals that one node of the tree pairs
 
 

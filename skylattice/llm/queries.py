@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_lines, ngram_groups, outliers, pieces
+from . import mixing, near_lines, ngram_groups, orc_tokens, outliers, pieces
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,8 @@ def op2_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op8_pieces")
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trips(table(spark, sf_dir, "documents"))
+
+
+@registered("op7_orc_tokens")
+def op7_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orc_tokens.digests(table(spark, sf_dir, "documents"))
