@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_lines, ngram_groups, orc_tokens, outliers, pieces
+from . import boosted_quality, mixing, near_lines, ngram_groups, orc_tokens, outliers, pieces
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,8 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op7_orc_tokens")
 def op7_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.digests(table(spark, sf_dir, "documents"))
+
+
+@registered("op5_boosted_quality")
+def op5_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boosted_quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
