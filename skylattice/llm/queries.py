@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boosted_quality, mixing, near_lines, ngram_groups, orc_tokens, outliers, pieces, toxic_spans
+from . import boosted_quality, license_scan, mixing, near_lines, ngram_groups, orc_tokens, outliers, pieces, toxic_spans
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,8 @@ def op5_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op6_toxic_spans")
 def op6_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_spans.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@registered("op9_license_scan", license_scan.sql())
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(table(spark, sf_dir, "documents"))
