@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boosted_quality, license_scan, mixing, near_lines, ngram_groups, orc_tokens, outliers, pieces, toxic_spans
+from . import boosted_quality, license_scan, mixing, near_lines, ngram_groups, orc_tokens, outliers, pieces, toxic_spans, vector_graphs
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,8 @@ def op6_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op9_license_scan", license_scan.sql())
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scanned(table(spark, sf_dir, "documents"))
+
+
+@registered("op3_vector_graphs")
+def op3_vector_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graphs.near_vectors(table(spark, sf_dir, "embeddings"))
