@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.casts import to_int
 from ..functions.times import parse_iso
 
-DATE_ROW_LIMIT = 100_000
+_BLOCK = 4096  #: steps exploded from one array
 
 
 def _as_int(df: DataFrame, name: str) -> Column:
@@ -29,7 +29,7 @@ def expand_integers(df: DataFrame, start: str, end: str, out: str = "ind") -> Da
 
 
 def expand_dates(df: DataFrame, start: str, end: str, out: str = "cur_time", hours=24.0) -> DataFrame:
-    """A row per time step from ``start`` to the end day's last hour, at most 100000 per row.
+    """A row per time step from ``start`` to the end day's last hour.
 
     ``hours`` may be a number or a column name; steps are 0.01 hours at least.
     """
@@ -38,11 +38,15 @@ def expand_dates(df: DataFrame, start: str, end: str, out: str = "cur_time", hou
         return parse_iso(name) if kind == "string" else F.col(name).cast("timestamp_ntz")
 
     step_hours = F.greatest(F.lit(0.01), F.col(hours) if isinstance(hours, str) else F.lit(float(hours)))
-    zero = F.lit(0)
-    step = F.make_dt_interval(zero, zero, zero, (step_hours * 3600).cast("decimal(18,6)"))
     first, last = stamp(start), stamp(end) + F.expr("INTERVAL '23' HOUR")
-    last = F.least(last, first + step * (DATE_ROW_LIMIT - 1))
-    return df.withColumn(out, F.explode(F.when(first <= last, F.sequence(first, last, step))))
+    micros = F.round(step_hours * 3_600_000_000).cast("bigint")
+    steps = F.floor(F.timestamp_diff("MICROSECOND", first, last) / micros).cast("bigint")
+    # blocks of steps first, then the steps of a block: no array grows with the range
+    df = df.withColumns({"__first": first, "__micros": micros, "__steps": steps}).filter(F.col("__steps") >= 0)
+    df = df.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__steps"), F.lit(_BLOCK).cast("bigint"))))
+    df = df.withColumn("__k", F.explode(F.sequence("__block", F.least(F.col("__block") + (_BLOCK - 1), F.col("__steps")))))
+    moved = F.timestamp_add("MICROSECOND", F.col("__k") * F.col("__micros"), F.col("__first"))
+    return df.withColumn(out, moved).drop("__first", "__micros", "__steps", "__block", "__k")
 
 
 def _items(text: Column, separator: str) -> Column:

@@ -1,14 +1,15 @@
 """Keys: uniqueness policies, replacing rows, tombstones, validation, references.
 
-Duplicates are settled by aggregates that combine on the map side, so a key
-with very many copies never lands in one task as a whole.
+Duplicates are settled by aggregates that combine on the map side, or by
+first rows of windows that Spark limits on the map side, so a key with very
+many copies never lands in one task as a whole.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import TableSpec
@@ -20,21 +21,22 @@ class DuplicateKeyPolicyError(ValueError):
     """An unknown policy for rows with the same key."""
 
 
-def _pick(df: DataFrame, keys, order, picker) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    order = F.struct(*order) if isinstance(order, (list, tuple)) else F.col(order)
-    picked = df.groupBy(*keys).agg(picker(F.struct(*rest), order).alias("__row"))
-    return picked.select(*(F.col(c) if c in keys else F.col("__row")[c].alias(c) for c in df.columns))
+def _pick(df: DataFrame, keys, order, last: bool) -> DataFrame:
+    """One row per key by a window of which Spark keeps the first row of each key in every task before it shuffles."""
+    names = order if isinstance(order, (list, tuple)) else [order]
+    by = [F.desc_nulls_last(c) if last else F.asc_nulls_last(c) for c in names]
+    numbered = df.withColumn("__place", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
+    return numbered.filter(F.col("__place") == 1).drop("__place")
 
 
 def first_by_key(df: DataFrame, keys, order) -> DataFrame:
-    """The first row of each key by a unique order."""
-    return _pick(df, keys, order, F.min_by)
+    """The first row of each key by a unique order; rows without order only where a key has no other."""
+    return _pick(df, keys, order, last=False)
 
 
 def last_by_key(df: DataFrame, keys, order) -> DataFrame:
-    """The last row of each key by a unique order."""
-    return _pick(df, keys, order, F.max_by)
+    """The last row of each key by a unique order; rows without order only where a key has no other."""
+    return _pick(df, keys, order, last=True)
 
 
 def _conflict(columns) -> Column:
@@ -55,7 +57,7 @@ def check_keys(df: DataFrame, keys, order: str) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     compared = [c for c in rest if c != order]
     grouped = df.groupBy(*keys).agg(
-        F.min_by(F.struct(*rest), F.col(order)).alias("__row"), _conflict(compared).alias("__bad"))
+        F.min_by(F.struct(*rest), F.struct(F.col(order).isNull(), order)).alias("__row"), _conflict(compared).alias("__bad"))
     message = F.concat(F.lit("differing rows for key "), F.concat_ws(", ", *(F.col(k).cast("string") for k in keys)))
     checked = grouped.filter(F.when(F.col("__bad"), F.raise_error(message).cast("boolean")).otherwise(True))
     return checked.select(*(F.col(c) if c in keys else F.col("__row")[c].alias(c) for c in df.columns))

@@ -9,13 +9,11 @@ from __future__ import annotations
 import quopri
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions._args import col
 
-MAX_LITERAL_MAP = 1000
-
 
 def _miss(value, what: str) -> Column:
     return F.raise_error(F.concat(F.lit(f"{what}: no match for "), F.coalesce(value.cast("string"), F.lit("NULL"))))
@@ -36,8 +34,9 @@ def select_one(df: DataFrame, table: DataFrame, key, column: str, assignments: s
         match = re.fullmatch(r"(\w+)\((.*)\)", dest)
         pairs.append((source, *(match.groups() if match else (dest, None))))
     wanted = F.struct(*(F.col(source).alias(f"c{i}") for i, (source, _, _) in enumerate(pairs)))
-    chosen = F.min_by(wanted, F.struct(*order)) if order else F.first(wanted)
-    unique = table.groupBy(F.col(column).alias("__key")).agg(chosen.alias("__found"))
+    place = F.row_number().over(Window.partitionBy(column).orderBy(*(order or [F.lit(0)])))
+    unique = table.withColumn("__place", place).filter(F.col("__place") == 1).select(
+        F.col(column).alias("__key"), wanted.alias("__found"))
     joined = df.join(unique, col(key) == F.col("__key"), "left")
     if required:
         joined = joined.withColumn("__found", F.when(F.col("__key").isNotNull(), F.col("__found")).otherwise(
@@ -58,8 +57,6 @@ def merge_first(df: DataFrame, query: DataFrame) -> DataFrame:
 
 def dict_map(value, mapping: dict, default=None, strict: bool = False) -> Column:
     """A value through a dictionary; other values give the default, or an error with ``strict``."""
-    if len(mapping) > MAX_LITERAL_MAP:
-        raise ValueError("large maps belong into a table; use select_one")
     value = col(value)
     pairs = [F.lit(x) for item in mapping.items() for x in item]
     found = F.try_element_at(F.create_map(*pairs), value)

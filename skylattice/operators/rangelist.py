@@ -1,9 +1,14 @@
-"""Range lists of the search protocols: ``v``, ``a/b``, ``/b``, ``a/``, ``a/b/step``, joined by commas."""
+"""Range lists of the search protocols: ``v``, ``a/b``, ``/b``, ``a/``, ``a/b/step``, joined by commas.
+
+A literal turns into one predicate, term by term.  Stepped ranges are tested by arithmetic, so their length does not matter.
+"""
 
 from __future__ import annotations
 
 import datetime
-from dataclasses import dataclass
+import re
+from functools import reduce
+from typing import NamedTuple
 from urllib.parse import unquote
 
 from pyspark.sql import Column
@@ -14,173 +19,139 @@ from ..functions._args import col
 from ..functions.text import has_words
 from .predicates import shell_match
 
-MAX_STEPS = 2000
-
 
 class RangeError(ValueError):
     """A literal that is no range list."""
 
 
-def _no_steps(_text: str):
-    raise RangeError("no steps allowed here")
+class Term(NamedTuple):
+    """A value (``low`` and ``high`` the same, ``single``), or limits of which one may be missing, with a step or not."""
 
+    low: object
+    high: object
+    step: object = None
+    single: bool = False
 
-def _datetime(text: str) -> datetime.datetime:
-    try:
-        return datetime.datetime.fromisoformat(text.rstrip("Z"))
-    except ValueError:
-        raise RangeError(f"{text!r} is no date") from None
 
+def _date(text: str) -> datetime.datetime:
+    return datetime.datetime.fromisoformat(text.removesuffix("Z"))
 
-# kind -> (value reader, step reader, ranges allowed)
-_READERS = {
-    "string": (str, _no_steps, True),
-    "plain": (str, _no_steps, False),
-    "int": (int, int, True),
-    "float": (float, _no_steps, True),
-    "date": (_datetime, lambda t: datetime.timedelta(days=float(t)), True),
-}
 
+_VALUE = {"string": str, "plain": str, "int": int, "float": float, "date": _date}
+_STEP = {"int": int, "date": lambda text: datetime.timedelta(days=float(text))}
+_SHAPE = re.compile(r"(?P<low>[^/]*)/(?P<high>[^/]*)(?:/(?P<step>[^/]*))?")
 
-@dataclass(frozen=True)
-class Range:
-    """A single value, or limits with an optional step."""
 
-    value: object = None
-    start: object = None
-    stop: object = None
-    step: object = None
+def _term(text: str, kind: str) -> Term:
+    def value(part: str | None, read):
+        try:
+            return read(unquote(part)) if part else None
+        except (ValueError, TypeError):
+            raise RangeError(f"{part!r} is no {kind}") from None
+
+    if kind == "plain" or "/" not in text:
+        single = value(text, _VALUE[kind]) if text else ""
+        return Term(single, single, single=True)
+    shape = _SHAPE.fullmatch(text)
+    if shape is None:
+        raise RangeError(f"{text!r} has more than limits and a step")
+    if shape["step"] and kind not in _STEP:
+        raise RangeError(f"a {kind} range has no step")
+    term = Term(value(shape["low"], _VALUE[kind]), value(shape["high"], _VALUE[kind]), value(shape["step"], _STEP.get(kind)))
+    missing = (term.low is None) + (term.high is None)
+    if missing == 2 or (missing and term.step is not None):
+        raise RangeError(f"{text!r} lacks a limit")
+    if term.step is not None and term.step == term.step * 0:
+        raise RangeError("a step of nothing leads nowhere")
+    return term
 
-    def discrete(self) -> list | None:
-        """All values if they are a finite set of at most MAX_STEPS steps."""
-        if self.value is not None:
-            return [self.value]
-        if self.step is None or self.start is None or self.stop is None:
-            return None
-        if (self.stop - self.start) / abs(self.step) + 1e-10 > MAX_STEPS:
-            return None
-        values, current = [], self.start
-        while current <= self.stop:
-            values.append(current)
-            current = current + self.step
-        return values
-
-    def covers(self, value) -> bool:
-        discrete = self.discrete()
-        if discrete is not None:
-            return value in discrete
-        return (self.start is None or self.start <= value) and (self.stop is None or value <= self.stop)
-
-
-@dataclass(frozen=True)
-class RangeList:
-    """The ranges of a literal with its qualifier (after a semicolon)."""
-
-    ranges: tuple[Range, ...]
-    qualifier: str | None = None
-
-    def discrete(self) -> list | None:
-        sets = [r.discrete() for r in self.ranges]
-        if any(s is None for s in sets):
-            return None
-        return list(dict.fromkeys(v for s in sets for v in s))
-
-    def covers(self, value) -> bool:
-        return any(r.covers(value) for r in self.ranges)
-
-
-def _one(text: str, kind: str) -> Range:
-    read, read_step, with_ranges = _READERS[kind]
-    if text == "":
-        return Range(value="")
-    parts = text.split("/") if with_ranges else [text]
-    if len(parts) > 3:
-        raise RangeError(f"too many slashes in {text!r}")
-    try:
-        values = [read(unquote(p)) if p else None for p in parts[:2]]
-        step = read_step(unquote(parts[2])) if len(parts) == 3 and parts[2] else None
-    except (ValueError, TypeError) as error:
-        raise RangeError(f"cannot read {text!r}: {error}") from None
-    if len(parts) == 1:
-        return Range(value=values[0])
-    start, stop = values
-    if start is None and stop is None:
-        raise RangeError("ranges open on both sides are not allowed")
-    if step is not None and (start is None or stop is None):
-        raise RangeError("open ranges cannot have steps")
-    return Range(None, start, stop, step)
-
-
-def parse(text: str | None, kind: str = "string") -> RangeList | None:
-    """A literal as a RangeList; None for no restriction."""
-    if text is None or (text == "" and kind != "string" and kind != "plain"):
+
+def split_qualifier(text: str) -> tuple[str, str | None]:
+    """The list and what stands behind its semicolon."""
+    body, *more = text.split(";")
+    if len(more) > 1:
+        raise RangeError("more than one qualifier")
+    return body, unquote(more[0]) if more and more[0] else None
+
+
+def terms(text: str | None, kind: str = "string") -> list[Term] | None:
+    """The terms of a literal; None for no restriction."""
+    if text is None or (not text and kind not in ("string", "plain")):
         return None
-    body, _, qualifier = text.partition(";")
-    if ";" in qualifier:
-        raise RangeError("only one semicolon is allowed")
-    ranges = tuple(_one(t, kind) for t in body.split(","))
-    return RangeList(ranges, unquote(qualifier) if qualifier else None)
+    return [_term(part, kind) for part in split_qualifier(text)[0].split(",")]
+
+
+#: days (or years) within which a column of dates as numbers counts as on a step
+_NEAR = {"mjd": 1e-9, "jd": 1e-8, "jy": 3e-11}
 
 
-def _convert(value, column_form: str | None):
+def _in_column(value, form: str | None):
     if not isinstance(value, datetime.datetime):
         return value
-    if column_form == "mjd":
-        return times.mjd_of_datetime(value)
-    if column_form == "jd":
-        return times.mjd_of_datetime(value) + times.JD_OF_MJD
-    if column_form == "jy":
-        return 2000.0 + (times.mjd_of_datetime(value) - times.MJD_J2000) / times.JULIAN_YEAR
-    return times.timestamp_literal(value)
+    if form is None:
+        return times.timestamp_literal(value)
+    mjd = times.mjd_of_datetime(value)
+    return {"mjd": mjd, "jd": mjd + times.JD_OF_MJD, "jy": 2000.0 + (mjd - times.MJD_J2000) / times.JULIAN_YEAR}[form]
+
+
+def _on_step(column: Column, term: Term, form: str | None) -> Column:
+    """Whether a value between the limits is a whole number of steps above the lower one."""
+    step, low = abs(term.step), _in_column(term.low, form)
+    if not isinstance(step, datetime.timedelta):
+        return (column - F.lit(low)) % F.lit(step) == 0
+    if form is None:
+        micros = F.timestamp_diff("MICROSECOND", F.lit(low) if not isinstance(low, Column) else low, column)
+        return micros % F.lit(step // datetime.timedelta(microseconds=1)) == 0
+    width = step / datetime.timedelta(days=1) / (times.JULIAN_YEAR if form == "jy" else 1)
+    return F.abs(column - (F.round((column - low) / width) * width + low)) <= _NEAR[form]
+
+
+def _test(column: Column, term: Term, form: str | None) -> Column:
+    low, high = _in_column(term.low, form), _in_column(term.high, form)
+    if term.single:
+        return column == low
+    slack = _NEAR.get(form, 0) if term.step is not None else 0
+    parts = [column >= (low - slack if slack else low)] if low is not None else []
+    parts += [column <= (high + slack if slack else high)] if high is not None else []
+    parts += [_on_step(column, term, form)] if term.step is not None else []
+    return reduce(lambda a, b: a & b, parts)
 
 
 def range_filter(column, text: str | None, kind: str = "string", column_form: str | None = None) -> Column | None:
     """The predicate of a range list; None when it does not restrict.
 
-    ``column_form`` (mjd, jd, jy) says how a column holds dates.  Discrete
-    lists become one IN.
+    ``column_form`` (mjd, jd, jy) says how a column holds dates.  Single values become one IN.
     """
-    parsed = parse(text, kind)
-    if parsed is None:
+    found = terms(text, kind)
+    if found is None:
         return None
     column = col(column)
-    convert = lambda v: _convert(v, column_form)
-    discrete = parsed.discrete()
-    if discrete is not None:
-        values = [convert(v) for v in discrete]
-        return column.isin(values) if len(values) > 1 else column == values[0]
-    result = None
-    for r in parsed.ranges:
-        values = r.discrete()
-        if values is not None:
-            test = column.isin([convert(v) for v in values])
-        elif r.start is None:
-            test = column <= convert(r.stop)
-        elif r.stop is None:
-            test = column >= convert(r.start)
-        else:
-            test = column.between(convert(r.start), convert(r.stop))
-        result = test if result is None else result | test
-    return result
+    singles = [_in_column(t.low, column_form) for t in found if t.single]
+    tests = [column.isin(singles)] if len(singles) > 1 else [column == singles[0]] if singles else []
+    tests += [_test(column, t, column_form) for t in found if not t.single]
+    return reduce(lambda a, b: a | b, tests)
 
 
 def interval_filter(low, high, text: str | None) -> Column | None:
-    """A float range list against an interval in two columns; steps are ignored."""
-    parsed = parse(text, "float")
-    if parsed is None:
+    """A float range list against an interval in two columns."""
+    found = terms(text, "float")
+    if found is None:
         return None
-    low, high, result = col(low), col(high), None
-    for r in parsed.ranges:
-        if r.value is not None:
-            test = F.lit(r.value).between(low, high)
-        else:
-            test = F.lit(True)
-            if r.stop is not None:
-                test = test & (F.lit(r.stop) > low)
-            if r.start is not None:
-                test = test & (F.lit(r.start) < high)
-        result = test if result is None else result | test
-    return result
+    low, high = col(low), col(high)
+
+    def meets(term: Term) -> Column:
+        if term.single:
+            return F.lit(term.low).between(low, high)
+        ends = [low < F.lit(term.high)] if term.high is not None else []
+        ends += [high > F.lit(term.low)] if term.low is not None else []
+        return reduce(lambda a, b: a & b, ends)
+
+    return reduce(lambda a, b: a | b, map(meets, found))
+
+
+def names_value(text: str, value: str) -> bool:
+    """Whether a list of plain values has this one."""
+    return any(t.low == value for t in terms(text, "plain"))
 
 
 def caseless_filter(column, text: str | None) -> Column | None:
@@ -193,27 +164,22 @@ def shell_filter(column, text: str | None, nocase: bool = True) -> Column | None
 
 def words_filter(column, text: str | None) -> Column | None:
     """Documents holding all words of any of the comma-separated queries."""
-    parsed = parse(text, "plain") if text else None
-    if parsed is None:
-        return None
-    result = None
-    for r in parsed.ranges:
-        test = has_words(column, str(r.value))
-        result = test if result is None else result | test
-    return result
+    found = terms(text, "plain") if text else None
+    return None if found is None else reduce(lambda a, b: a | b, (has_words(column, t.low) for t in found))
 
 
 def positions(text: str | None) -> list[tuple[float, float]] | None:
     """The positions of a POS literal, with ICRS as only qualifier."""
-    if text is None or text == "":
+    if not text:
         return None
-    parsed = parse(text.upper().replace("%2C", ","), "float")
-    if parsed.qualifier and parsed.qualifier != "ICRS":
-        raise RangeError(f"no positions in frame {parsed.qualifier}")
-    values = [r.value for r in parsed.ranges]
-    if any(v is None for v in values) or len(values) % 2:
+    literal = text.upper().replace("%2C", ",")
+    frame = split_qualifier(literal)[1]
+    if frame not in (None, "ICRS"):
+        raise RangeError(f"no positions in frame {frame}")
+    found = terms(literal, "float")
+    if len(found) % 2 or not all(t.single and t.low != "" for t in found):
         raise RangeError("positions are pairs of numbers")
-    return list(zip(values[::2], values[1::2]))
+    return [(a.low, b.low) for a, b in zip(found[::2], found[1::2])]
 
 
 def cone_filter(ra, dec, text: str | None, size: float) -> Column | None:

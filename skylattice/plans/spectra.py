@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import regions, times
@@ -13,26 +13,29 @@ from ..operators.predicates import Condition
 
 
 def normalise_flux(df: DataFrame, key: str = "spectrum_id", flux: str = "flux", error: str | None = None,
-                   calibration: str | None = None) -> DataFrame:
+                   calibration: str | None = None, huge: bool = False) -> DataFrame:
     """Flux (and error) divided by each spectrum's maximum.
 
     Nothing happens to spectra already relative: to all of them, when
     ``calibration`` is that word, or to those whose calibration column says
-    so.  The maxima come from a map-side aggregate and are joined back on the
-    same key; adaptive execution splits the rows of a very large spectrum
-    between tasks there, which a window over the spectrum could not do.
+    so.  Points without a key are one spectrum.  ``huge`` is for spectra too
+    large for one task: maxima are then aggregated on the map side and joined
+    back, and adaptive execution splits their rows.
     """
     if calibration is not None and calibration.lower() == "relative":
         return df
-    maxima = df.groupBy(key).agg(F.max(flux).alias("__max"))
-    joined = df.join(maxima, key)
+    if huge:
+        maxima = df.groupBy(F.col(key).alias("__key")).agg(F.max(flux).alias("__max"))
+        df_max = df.join(maxima, F.col(key).eqNullSafe(F.col("__key")))
+    else:
+        df_max = df.withColumn("__max", F.max(flux).over(Window.partitionBy(key)))
     factor = F.col("__max")
     if calibration is not None and calibration in df.columns:
         factor = F.when(F.lower(calibration) == "relative", F.lit(1.0)).otherwise(factor)
     changed = {flux: F.col(flux) / factor}
     if error:
         changed[error] = F.col(error) / factor
-    return joined.withColumns(changed).select(*df.columns)
+    return df_max.withColumns(changed).select(*df.columns)
 
 
 def cutout(df: DataFrame, low_m: float, high_m: float, unit: str = "m", spectral: str = "spectral") -> DataFrame:
@@ -111,8 +114,8 @@ def search_spectra(df: DataFrame, params: dict, constants: dict | None = None) -
             continue
         constant = constants.get(by_constant.get(name))
         if constant is not None:
-            wanted = rangelist.parse(params[name].lower(), "plain")
-            tests.append(predicates.on_constant(constant.lower(), wanted.covers))
+            wanted = params[name].lower()
+            tests.append(predicates.on_constant(constant.lower(), lambda value, wanted=wanted: rangelist.names_value(wanted, value)))
         else:
             tests.append(Condition(maker, name).build(params))
     return df.filter(predicates.conjunction(tests))

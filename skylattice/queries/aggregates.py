@@ -155,3 +155,29 @@ def w2_last_writer(t):
                          "WHERE event_type = 'click'")
 def w3_row_counter(t):
     return number_rows(t.events.filter("event_type = 'click'").select("event_id"), "event_id", "rec_no")
+
+
+@query("w1_without_key", "SELECT k, l_linenumber, l_extendedprice / max(l_extendedprice) OVER (PARTITION BY k) AS flux FROM "
+                         "(SELECT CASE WHEN l_orderkey % 3 > 0 THEN l_orderkey END AS k, l_linenumber, l_extendedprice FROM lineitem)")
+def w1_without_key(t):
+    key = F.when(F.col("l_orderkey") % 3 > 0, F.col("l_orderkey"))
+    rows = t.lineitem.select(key.alias("k"), "l_linenumber", F.col("l_extendedprice").alias("flux"))
+    return sp.normalise_flux(rows, "k", "flux", huge=True)
+
+
+@query("w2_without_order", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id "
+                           "ORDER BY o DESC NULLS LAST, event_id) AS r FROM (SELECT *, CASE WHEN event_type = 'click' THEN event_id "
+                           "END AS o FROM events)) WHERE r = 1 AND o IS NOT NULL")
+def w2_without_order(t):
+    order = F.when(F.col("event_type") == "click", F.col("event_id"))
+    rows = t.events.select("user_id", "event_id", "event_type", order.alias("o"))
+    return keys.last_by_key(rows, ["user_id"], "o").filter("o IS NOT NULL").select("user_id", "event_id", "event_type")
+
+
+@query("w3_text_order", "SELECT c_name, row_number() OVER (ORDER BY CASE WHEN c_custkey > 3 THEN c_name END NULLS LAST, c_name) AS n "
+                        "FROM customer WHERE c_custkey > 2")
+def w3_text_order(t):
+    """Numbers by a text that one row lacks."""
+    name = F.when(F.col("c_custkey") > 3, F.col("c_name"))
+    rows = t.customer.filter("c_custkey > 2").select("c_name", name.alias("o"))
+    return number_rows(rows, "o", "n").select("c_name", "n")

@@ -95,6 +95,15 @@ def i10_expand_dates(t):
     return expand.expand_dates(rows, "a", "b", hours=12.0).select("o_orderkey", "cur_time")
 
 
+@query("i10_long_range", "SELECT r_regionkey, count(*) AS n, min(t) AS first_time, max(t) AS last_time FROM (SELECT r_regionkey, unnest("
+                         "generate_series(TIMESTAMP '2000-01-01' + to_days(r_regionkey), TIMESTAMP '2020-01-01 23:00:00', INTERVAL 1 HOUR)) "
+                         "AS t FROM region) GROUP BY 1")
+def i10_long_range(t):
+    start = F.date_format(F.date_add(F.lit("2000-01-01"), F.col("r_regionkey")), "yyyy-MM-dd")
+    rows = expand.expand_dates(t.region.select("r_regionkey", start.alias("a"), F.lit("2020-01-01").alias("b")), "a", "b", hours=1.0)
+    return rows.groupBy("r_regionkey").agg(F.count("*").alias("n"), F.min("cur_time").alias("first_time"), F.max("cur_time").alias("last_time"))
+
+
 @query("i11_expand_comma", "SELECT o_orderkey, unnest(CASE WHEN o_orderkey % 4 = 0 THEN []::VARCHAR[] ELSE [o_orderstatus, o_orderpriority] END) AS item "
                            "FROM orders")
 def i11_expand_comma(t):

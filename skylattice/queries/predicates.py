@@ -88,6 +88,12 @@ def p22_discrete(t):
     return t.part.filter(rangelist.range_filter("p_size", "0,1/9/3,1/3/1", "int")).select("p_partkey")
 
 
+@query("p22_long_steps", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_orderkey BETWEEN 3 AND 300000003 "
+                         "AND (l_orderkey - 3) % 1000 = 0) OR l_orderkey IN (1, 7)")
+def p22_long_steps(t):
+    return t.lineitem.filter(rangelist.range_filter("l_orderkey", "3/300000003/1000,1,7", "int")).select("l_orderkey", "l_linenumber")
+
+
 @query("p23_date_range_list", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-06-01' OR o_orderdate IN "
                               "(TIMESTAMP '1996-01-01', TIMESTAMP '1996-01-08', TIMESTAMP '1996-01-15')")
 def p23_date_range_list(t):

@@ -70,3 +70,15 @@ def r4_change_feed(t):
     target = scratch_path(t.spark, "feed")
     feeds.ingest(feeds.change_feed(stream, "ts", "event_id", "60 days"), target, scratch_path(t.spark, "progress")).awaitTermination()
     return t.spark.read.parquet(target).select("event_id", "user_id")
+
+
+@query("r4_settled_feed", "SELECT event_id, user_id FROM events")
+def r4_settled_feed(t):
+    path = scratch_path(t.spark, "changes")
+    df = t.events.select("event_id", "user_id", "ts")
+    # the newest records arrive first, the oldest long after any watermark, and all of them twice
+    df.unionByName(df).repartitionByRange(4, F.desc("ts")).write.parquet(path)
+    target = scratch_path(t.spark, "feed")
+    stream = feeds.new_files(t.spark, path, df.schema, max_files=1)
+    feeds.settled_feed(stream, target, "ts", "event_id", scratch_path(t.spark, "progress")).awaitTermination()
+    return t.spark.read.parquet(target).select("event_id", "user_id")

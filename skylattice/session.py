@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,11 +36,17 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can write to.
 
     The cluster names it in ``spark.checkpoint.dir``; only where that is
-    unset (one machine, tests) a temporary folder is taken.
+    unset and everything runs on one machine (tests) a temporary folder is
+    taken.
     """
     global _own_folder
-    base = spark.conf.get(_CHECKPOINT_KEY, None) or _own_folder
+    base = spark.conf.get(_CHECKPOINT_KEY, None)
     if not base:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = held.get() if held.isDefined() else _own_folder
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder that all executors share")
         base = _own_folder = tempfile.mkdtemp(prefix="skylattice-")
     return base.rstrip("/")
 

@@ -22,15 +22,14 @@ DATATYPES = {
     "int": T.IntegerType(), "long": T.LongType(), "char": T.StringType(), "unicodeChar": T.StringType(),
     "float": T.FloatType(), "double": T.DoubleType(),
 }
-_HEAD_LIMIT = 16 << 20
 
 
 def _head(path: str) -> str:
-    """The text of a document before its first data."""
+    """The text of a document before its first data; the whole text where it has none."""
     with open_input(path) as raw:
         stream = gzip.open(raw) if path.endswith(".gz") else raw
         text = b""
-        while b"<DATA" not in text and len(text) < _HEAD_LIMIT:
+        while b"<DATA" not in text:
             chunk = stream.read(1 << 16)
             if not chunk:
                 break
@@ -39,12 +38,14 @@ def _head(path: str) -> str:
 
 
 def read_fields(spark: SparkSession, path) -> list[dict]:
-    """The FIELD elements of the first table, as dicts; only the head of one file is read."""
-    names = sorted(r["path"] for r in file_sizes(spark, path).filter("length > 0").select("path").limit(1000).collect())
-    for name in names:
+    """The FIELD elements of the first table of the first file (by path) that has one, as dicts; only heads are read."""
+    files = file_sizes(spark, path).filter("length > 0").select("path")
+    name = files.agg(F.min("path")).first()[0]
+    while name is not None:
         text = _head(name)
         at = text.find("<TABLE")
         if at < 0:
+            name = files.filter(F.col("path") > name).agg(F.min("path")).first()[0]
             continue
         fields = []
         parser = ElementTree.XMLPullParser(("end",))

@@ -31,6 +31,11 @@ def ingest(stream: DataFrame, target: str, checkpoint: str,
         availableNow=True).start(target)
 
 
+def _exists(spark: SparkSession, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 class KeyedTable:
     """A table under a key policy, kept as a base and a log of batches.
 
@@ -46,8 +51,7 @@ class KeyedTable:
         self.order, self.policy = order, policy
 
     def _exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return _exists(self.spark, f"{self.path}/{name}")
 
     def _latest_base(self) -> int:
         """Number of the last batch inside the base; -1 without one."""
@@ -111,6 +115,29 @@ def append_record(spark: SparkSession, path: str, record: dict, schema) -> None:
 
 
 def change_feed(stream: DataFrame, stamp: str, key: str, lateness: str = "1 hour") -> DataFrame:
-    """Records as they change, each (key, time stamp) once within the lateness allowed."""
+    """Records as they change, each (key, time stamp) once within the lateness allowed.
+
+    A record is late when its stamp lies more than ``lateness`` before the
+    largest of the batches before; Spark leaves such records out.  Where late
+    records must not be lost, use ``settled_feed``.
+    """
     stamped = stream.withColumn("rec_ts", F.col(stamp).cast("timestamp"))
     return stamped.withWatermark("rec_ts", lateness).dropDuplicatesWithinWatermark([key, "rec_ts"]).drop("rec_ts")
+
+
+def settled_feed(stream: DataFrame, path: str, stamp: str, key: str, checkpoint: str) -> StreamingQuery:
+    """Feeds everything that is there now into a table with each (key, time stamp) once, however late a record comes.
+
+    Each batch is settled against the stored keys instead of a watermark's
+    state, and written to a place named by its number: a batch that runs
+    again replaces itself.
+    """
+    def settle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.dropDuplicates([key, stamp])
+        if batch_id and _exists(spark, path):
+            stored = spark.read.parquet(path).filter(F.col("batch") < batch_id).select(F.col(key).alias("__k"), F.col(stamp).alias("__s"))
+            fresh = fresh.join(stored, F.col(key).eqNullSafe(F.col("__k")) & F.col(stamp).eqNullSafe(F.col("__s")), "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(settle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -70,12 +70,6 @@ def test_string_expressions(spark, text, expected):
     assert sorted(hits(df, fx.string_filter("v", text))) == sorted(expected)
 
 
-@pytest.mark.parametrize("literal,expected", [("1", [1]), ("1/3", None), ("/4", None), ("3/", None), ("1/2/1", [1, 2]),
-                                              ("1/2/1;norks", [1, 2]), ("1/2;norks", None), ("0,1/9/3,1/3/1", [0, 1, 4, 7, 2, 3])])
-def test_range_sets(literal, expected):
-    assert rl.parse(literal, "int").discrete() == expected
-
-
 @pytest.mark.parametrize("literal,expected", [
     ("1", [1]), ("1/3/1", [1, 2, 3]), ("1/9/3", [1, 4, 7]), ("/-4,1/9/3", [-5, -4, 1, 4, 7]), ("29/", [29, 30]), ("/-5", [-5]),
     ("2/4", [2, 3, 4]), ("-3/-1,30", [-3, -2, -1, 30]),
@@ -84,18 +78,25 @@ def test_range_lists(numbers, literal, expected):
     assert hits(numbers, rl.range_filter("v", literal, "int")) == expected
 
 
-def test_range_list_details():
+def test_range_list_details(spark):
     assert rl.range_filter("v", None, "int") is None and rl.range_filter("v", "", "int") is None
-    assert rl.parse("1/3;x%2fy", "float").qualifier == "x/y"
-    assert rl.parse("a/b", "plain").ranges[0].value == "a/b"
-    assert rl.parse("0/5000/1", "int").discrete() is None
-    for bad in ("1/2/3/4", "/", "/3/1", "1;2;3", "x"):
+    assert rl.split_qualifier("1/3;x%2fy") == ("1/3", "x/y")
+    assert rl.names_value("a/b,c", "a/b") and not rl.names_value("a/b,c", "a")
+    for bad in ("1/2/3/4", "/", "/3/1", "1;2;3", "x", "1/5/0"):
         with pytest.raises(rl.RangeError):
-            rl.parse(bad, "int")
+            rl.range_filter("v", bad, "int")
     with pytest.raises(rl.RangeError):
-        rl.parse("1/2/3", "float")
-    assert rl.parse("2001-01-01/2001-01-10/3", "date").discrete() == [datetime.datetime(2001, 1, d) for d in (1, 4, 7, 10)]
-    assert rl.parse("5/", "float").covers(7.0) and not rl.parse("5/6", "float").covers(7.0)
+        rl.range_filter("v", "1/2/3", "float")
+
+
+def test_steps_of_any_length(spark):
+    numbers = spark.range(30).withColumnRenamed("id", "v")
+    assert hits(numbers, rl.range_filter("v", "0/30000/10", "int")) == [0, 10, 20]
+    assert hits(numbers, rl.range_filter("v", "1/1000000000/14,3", "int")) == [1, 3, 15, 29]
+    days = spark.sql("SELECT timestamp_ntz'2001-01-01' + make_dt_interval(id) AS t, 51910 + id AS m, id FROM range(40)")
+    for form, column in ((None, "t"), ("mjd", "m")):
+        found = days.filter(rl.range_filter(column, "2001-01-02/2031-01-02/9", "date", form)).orderBy("id")
+        assert [r["id"] for r in found.collect()] == [1, 10, 19, 28, 37]
 
 
 def test_interval_columns(spark):
