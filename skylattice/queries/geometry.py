@@ -232,15 +232,48 @@ def g16_shape_search(t):
     return t.images.select("p_partkey", F.explode(F.array(*tests)).alias("shape")).filter("shape IS NOT NULL")
 
 
-@query("g17_circle_boxes", "SELECT p_partkey, CAST(n AS BIGINT) AS n_boxes, CASE WHEN dec + s > 90 THEN least(dec - s, 180 - (dec + s)) ELSE "
-                           "greatest(dec - s, -90) END AS lowest FROM (SELECT p_partkey, dec, p_size / 1e1 AS s, CASE WHEN abs(dec) + p_size / 1e1 > 90 "
-                           "THEN 1 WHEN ra - p_size / 1e1 < 0 OR ra + p_size / 1e1 > 360 THEN 2 ELSE 1 END AS n FROM {sky_part} s) q")
+# spans as SQL: start, width, lowest and highest declination of each kind of shape, from spherical trigonometry
+_HALF = "CASE WHEN abs(dec) + {r} >= 90 THEN 180.0 ELSE degrees(asin(least(1.0, sin(radians({r})) / cos(radians(dec))))) END"
+_SIDE = "degrees(atan(tan(radians({lat})) / cos(radians({dx}))))"
+
+
+def _circle_span_sql(kind: str, r: str) -> str:
+    half = _HALF.format(r=r)
+    return (f"SELECT p_partkey, '{kind}' AS kind, ra - {half} AS a, 2 * {half} AS w, greatest(dec - {r}, -90) AS lo, "
+            f"least(dec + {r}, 90) AS hi FROM s")
+
+
+def _box_span_sql(kind: str, dx: str) -> str:
+    top, bottom = f"(dec + {dx})", f"(dec - {dx})"
+    return (f"SELECT p_partkey, '{kind}', ra - {dx}, CASE WHEN {top} >= 90 OR {bottom} <= -90 THEN 360 ELSE 2 * {dx} END, "
+            f"CASE WHEN {bottom} <= -90 THEN -90 WHEN {top} >= 90 THEN {'least(' + bottom + ', 180 - ' + top + ')' if kind == 'polygon' else bottom} "
+            f"WHEN {bottom} < 0 THEN {_SIDE.format(lat=bottom, dx=dx)} ELSE {bottom} END, "
+            f"CASE WHEN {top} >= 90 THEN 90 WHEN {bottom} <= -90 THEN {'greatest(' + top + ', -180 - ' + bottom + ')' if kind == 'polygon' else top} "
+            f"WHEN {top} > 0 THEN {_SIDE.format(lat=top, dx=dx)} ELSE {top} END FROM s")
+
+
+_BOXES_SQL = (
+    "WITH s AS (SELECT *, p_size / 1e1 AS size FROM {sky_part} q), spans AS (" + " UNION ALL ".join((
+        _circle_span_sql("ellipse", "size"), _box_span_sql("box", "size"), _box_span_sql("polygon", "(size / 2)"),
+        "SELECT p_partkey, 'interval', ra - 1, CASE WHEN dec - 1 < -90 THEN 360 ELSE 2 END, greatest(dec - 1, -90), 90 FROM s",
+        _circle_span_sql("union", "size"), "SELECT p_partkey, 'union', 0, 360, -90, 90 FROM s",
+        _circle_span_sql("intersection", "size"), _circle_span_sql("difference", "1.0"))) + "), "
+    "f AS (SELECT p_partkey, kind, (a % 360 + 360) % 360 AS a, w, lo, hi FROM spans), boxes AS ("
+    "SELECT p_partkey, kind, CASE WHEN w >= 360 THEN 0 ELSE a END AS ra_min, lo, CASE WHEN w >= 360 OR a + w > 360 THEN 360 ELSE a + w END AS ra_max, "
+    "hi FROM f UNION ALL SELECT p_partkey, kind, 0, lo, a + w - 360, hi FROM f WHERE w < 360 AND a + w > 360) ")
+
+
+@query("g17_circle_boxes", _BOXES_SQL + "SELECT p_partkey, count(*) AS n_boxes, round(min(lo), 7) AS lowest, round(sum(ra_max - ra_min), 7) AS width "
+                           "FROM boxes WHERE kind = 'ellipse' GROUP BY 1")
 def g17_circle_boxes(t):
     rows = t.images.select("p_partkey", footprint.circle_boxes("ra", "dec", "size").alias("b"))
-    return rows.select("p_partkey", F.size("b").cast("bigint").alias("n_boxes"), F.element_at("b", 1)["dec_min"].alias("lowest"))
+    width = F.aggregate("b", F.lit(0.0), lambda total, b: total + b["ra_max"] - b["ra_min"])
+    return rows.select("p_partkey", F.size("b").cast("bigint").alias("n_boxes"),
+                       F.round(F.element_at("b", 1)["dec_min"], 7).alias("lowest"), F.round(width, 7).alias("width"))
 
 
-@query("g17_footprint_boxes")
+@query("g17_footprint_boxes", _BOXES_SQL + "SELECT p_partkey, kind, round(ra_min, 7) AS ra_min, round(lo, 7) AS dec_min, round(ra_max, 7) AS ra_max, "
+                              "round(hi, 7) AS dec_max FROM boxes")
 def g17_footprint_boxes(t):
     images = t.images
     parts = {"ellipse": footprint.ellipse_boxes("ra", "dec", "size"), "box": footprint.box_boxes("ra", "dec", F.col("size"), F.col("size")),
