@@ -1,7 +1,5 @@
 import random
 
-import sentencepiece
-from sentencepiece import sentencepiece_model_pb2
 from skylattice.llm import pieces
 
 
@@ -20,20 +18,11 @@ def by_brute_force(table, text):
 
 def test_best_segmentations():
     table = pieces.pieces(pieces.default_model())
-    model = sentencepiece_model_pb2.ModelProto()
-    with open(pieces.default_model(), "rb") as f:
-        model.ParseFromString(f.read())
-    model.trainer_spec.model_type = 1  # the same pieces and scores, segmented by their sum
-    library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
     rng = random.Random(3)
     for _ in range(300):
         text = "".join(rng.choice(["the", "ing ", " of", "ñ", "日本", "🎉", "\n", "x1", "  ", "Q", "\x00"]) for _ in range(rng.randrange(1, 9)))
         ids, score = table.encode(text)
         assert score == by_brute_force(table, text)
-        if "\x00" not in text:
-            other = library.nbest_encode_as_ids(text, 1)[0]
-            scores = {i: s for _, s, i in table.automaton.values()}
-            assert sum(scores.get(i, 0) for i in ids) == sum(scores.get(i, 0) for i in other)
         assert table.decode(ids) == text
 
 
