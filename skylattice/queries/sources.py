@@ -101,6 +101,20 @@ def s4_pattern_records(t):
     return read.select(to_int("key").alias("p_partkey"), to_int("size", kind="int").alias("p_size"), F.col("brand").alias("p_brand"))
 
 
+@query("s4_top_lines", "SELECT s_suppkey, s_nationkey FROM supplier")
+def s4_top_lines(t):
+    path = scratch_path(t.spark, "records")
+    # two lines of a heading in front of the first record, which begins in the middle of the third
+    heading = F.when(F.col("s_suppkey") % 100 == 0, F.lit("a b;c\nd e;f\n")).otherwise(F.lit(""))
+    value = F.concat(heading, F.concat_ws(" ", "s_suppkey", "s_nationkey"))
+    rows = t.supplier.select(F.floor(F.col("s_suppkey") / 100).alias("g"), F.col("s_suppkey").alias("o"), value.alias("value"))
+    joined = rows.groupBy("g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "value"))), lambda r: r["value"]), ";").alias("value"))
+    joined.select("value", "g").write.partitionBy("g").option("lineSep", ";").text(path)
+    first = t.supplier.agg(F.min(F.col("s_suppkey") % 100)).first()[0]
+    read = text.read_records(t.spark, path, ["key", "nation"], record_sep=";", top_ignored=2 if first == 0 else 0)
+    return read.select(to_int("key").alias("s_suppkey"), to_int("nation", kind="int").alias("s_nationkey"))
+
+
 @query("s4_stop_pattern", "SELECT s_suppkey FROM supplier WHERE s_suppkey % 100 < 50")
 def s4_stop_pattern(t):
     path = scratch_path(t.spark, "records")
@@ -191,6 +205,21 @@ def s10_mysql_dump(t):
     return read.select(to_int("id").alias("c_custkey"), "label", to_float("bal").alias("bal"))
 
 
+@query("s10_long_strings", "SELECT doc_id, text || ';' || chr(10) || 'it''s the end' AS text FROM documents")
+def s10_long_strings(t):
+    """Whole texts in a dump, with the end of a statement inside each string, and another table's rows between."""
+    path = scratch_path(t.spark, "dump")
+    escaped = F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("''"))
+    row = F.concat(F.lit("("), "doc_id", F.lit(",'"), escaped, F.lit(";\nit\\'s the end')"))
+    grouped = t.documents.groupBy(F.floor(F.col("doc_id") / 40).alias("g")).agg(F.array_join(F.collect_list(row), ",").alias("rows"))
+    inserts = grouped.select(F.explode(F.array(F.concat(F.lit("INSERT INTO `docs` VALUES "), "rows"), F.concat(
+        F.lit("INSERT INTO `other` VALUES ("), F.col("g").cast("string"), F.lit(",'x')")))).alias("value"))
+    create = t.region.filter("r_regionkey = 0").select(F.explode(F.array(
+        F.lit("CREATE TABLE `docs` (\n  `id` int,\n  `body` text\n)"))).alias("value"))
+    _write_lines(create.unionByName(inserts), path, line_sep=";\n")
+    return text.read_mysql_dump(t.spark, path).select(to_int("id").alias("doc_id"), F.col("body").alias("text"))
+
+
 @query("s11_votable", "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_acctbal END AS s_acctbal FROM supplier")
 def s11_votable(t):
     path = scratch_path(t.spark, "votable")

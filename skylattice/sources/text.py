@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,14 +113,34 @@ def _is_literal(pattern: str) -> bool:
     return not re.search(r"[\\^$.|?*+()\[\]{}]", pattern.replace("\\n", "\n").replace("\\t", "\t"))
 
 
-def _records(spark: SparkSession, path, separator: str) -> DataFrame:
-    """Records by a separator: literal ones split files between tasks, patterns need a file as a whole."""
+def _without_top(text: Column, n: Column) -> Column:
+    """A text without its first ``n`` lines."""
+    lines = F.split(text, "\n", -1)
+    return F.when(n <= 0, text).otherwise(F.array_join(F.slice(lines, n.cast("int") + 1, F.greatest(F.size(lines), F.lit(1))), "\n"))
+
+
+def _records(spark: SparkSession, path, separator: str, top_ignored: int = 0) -> DataFrame:
+    """Records by a separator: literal ones split files between tasks, patterns need a file as a whole.
+
+    The first ``top_ignored`` lines of each file are no part of any record.
+    """
     literal = separator.replace("\\n", "\n").replace("\\t", "\t")
-    if _is_literal(separator):
-        return _lines(spark, path, literal)
-    texts = _whole_texts(spark, path).select(
-        "value", F.col("_metadata.file_path").alias("source_path"))
-    return texts.select("source_path", F.posexplode(F.split("value", separator)).alias("__block", "value"))
+    if not _is_literal(separator):
+        texts = _whole_texts(spark, path).select(
+            _without_top(F.col("value"), F.lit(top_ignored)).alias("value"), F.col("_metadata.file_path").alias("source_path"))
+        return texts.select("source_path", F.posexplode(F.split("value", separator)).alias("__block", "value"))
+    records = _lines(spark, path, literal)
+    if literal == "\n" or top_ignored <= 0:
+        return skip_top_lines(records, top_ignored)
+    # lines that end before a record, counted in each file's first block
+    placed = records.withColumn("__id", F.monotonically_increasing_id())
+    ends = F.length("value") - F.length(F.translate("value", "\n", "")) + literal.count("\n")
+    before = Window.partitionBy("source_path").orderBy("__id").rowsBetween(Window.unboundedPreceding, -1)
+    head = placed.filter("__block = 0").withColumn("__ended", F.coalesce(F.sum(ends).over(before), F.lit(0)))
+    left = F.lit(top_ignored) - F.col("__ended")
+    inside = F.length("value") - F.length(F.translate("value", "\n", ""))
+    head = head.filter(left <= inside).withColumn("value", _without_top(F.col("value"), left))
+    return head.select(*records.columns).unionByName(placed.filter("__block > 0").select(*records.columns))
 
 
 def read_records(spark: SparkSession, path, names, record_sep: str = "\n", field_sep: str = r"\s+",
@@ -128,20 +148,23 @@ def read_records(spark: SparkSession, path, names, record_sep: str = "\n", field
                  top_ignored: int = 0, lax: bool = False) -> DataFrame:
     """Records by separator patterns.
 
+    ``top_ignored`` counts lines of a file, whatever the separator;
     ``comment`` is a pattern removed from records; reading a file stops at
-    the first record with ``stop`` in it; ``cleaner`` is a pattern whose
-    groups, joined by blanks, replace the record.  Records with a wrong
-    number of fields are errors unless ``lax``.
+    the first record that begins with ``stop``; ``cleaner`` is a pattern whose
+    groups, joined by blanks, replace the record, and that must be found in
+    each.  Records with a wrong number of fields are errors unless ``lax``.
     """
-    records = skip_top_lines(_records(spark, path, record_sep), top_ignored)
+    records = _records(spark, path, record_sep, top_ignored)
     if stop:
-        records = stop_at(records, stop)
+        records = stop_at(records, rf"\A(?:{stop})")
     value = F.col("value")
     if comment:
         value = F.regexp_replace(value, comment, "")
     if cleaner:
         groups = re.compile(cleaner).groups
-        value = F.concat_ws(" ", *(F.regexp_extract(value, cleaner, i + 1) for i in range(groups)))
+        joined = F.concat_ws(" ", *(F.regexp_extract(value, cleaner, i + 1) for i in range(groups)))
+        message = F.concat(F.lit("record not fit for the cleaner: "), value)
+        value = F.when(F.trim(value) == "", "").when(value.rlike(cleaner), joined).otherwise(F.raise_error(message).cast("string"))
     records = records.select("source_path", F.trim(value).alias("value")).filter("value != ''")
     fields = F.split("value", field_sep)
     if not lax:
@@ -231,32 +254,63 @@ def read_split(spark: SparkSession, path, schema, separator: str = "|", null: st
         "recursiveFileLookup", "true").csv(path)
 
 
-_SQL_VALUE = r"'(?:[^'\\]|\\.|'')*'|[^,()']+"
-_SQL_ROW = rf"\((?:{_SQL_VALUE}|,)*\)"
+# possessive: a long string is one step of the matcher, not one a character
+_SQL_VALUE = r"'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'|[^,()']++"
+_SQL_ROW = rf"(?s)\((?:{_SQL_VALUE}|,)*+\)"
+
+
+def _whole_statements(pieces: DataFrame) -> DataFrame:
+    """Statements from the pieces of a dump: pieces with an open string go together with those up to its end.
+
+    Only numbers and flags of pieces are ordered within a file, and only in
+    files that have an open string at all.
+    """
+    placed = pieces.withColumn("__id", F.monotonically_increasing_id())
+    bare = F.regexp_replace(F.regexp_replace("value", r"\A(?:\s*--[^\n]*\n)+", ""), r"(?s)\\.", "")
+    marked = placed.withColumn("__odd", F.length(F.translate(bare, "'", "")) % 2 != F.length(bare) % 2)
+    torn = marked.filter("__odd").select("source_path").distinct()
+    whole = marked.join(torn, "source_path", "left_anti").select("value")
+    flags = marked.join(torn, "source_path", "left_semi").select("source_path", "__block", "__id", "__odd")
+    upto = Window.partitionBy("source_path").orderBy("__block", "__id")
+    opened = F.sum(F.col("__odd").cast("int")).over(upto.rowsBetween(Window.unboundedPreceding, -1))
+    # a piece begins a statement when all strings before it are closed
+    begins = F.coalesce(opened, F.lit(0)) % 2 == 0
+    numbers = flags.withColumn("__begins", begins.cast("int")).select(
+        "source_path", "__id", F.sum("__begins").over(upto).alias("__statement"))
+    parts = placed.join(numbers, ["source_path", "__id"]).groupBy("source_path", "__statement").agg(
+        F.array_sort(F.collect_list(F.struct("__block", "__id", "value"))).alias("__parts"))
+    joined = parts.select(F.array_join(F.transform("__parts", lambda p: p["value"]), ";\n").alias("value"))
+    return whole.unionByName(joined)
 
 
 def read_mysql_dump(spark: SparkSession, path) -> DataFrame:
-    """Rows of the INSERT statements of a dump, as strings, with the names of its first CREATE TABLE.
+    """Rows of a dump's INSERT statements into the table of its first CREATE TABLE, as strings, with the names given there.
 
     Statements end at ``;`` before a newline, which is where files are split
-    between tasks.
+    between tasks; where that stands in a string the pieces are put together
+    again.  Statements that cannot be read to their end are errors.
     """
-    statements = spark.read.option("lineSep", ";\n").option("recursiveFileLookup", "true").text(path)
-    create = statements.filter(F.col("value").rlike(r"(?is)\bCREATE\s+TABLE\b")).first()
+    pieces = _lines(spark, path, ";\n")
+    creates = pieces.filter(F.col("value").rlike(r"(?is)\bCREATE\s+TABLE\b"))
+    create = creates.orderBy("source_path", "__block").first()  # one row a table
     if create is None:
         raise ValueError(f"no CREATE TABLE in {path}")
-    body = create["value"][create["value"].index("(") + 1:]
-    names = re.findall(r"^\s*`([^`]+)`\s", body, re.M)
-    inserts = statements.filter(F.col("value").rlike(r"(?is)\bINSERT\s+INTO\b"))
-    values = F.regexp_replace("value", r"(?is)^.*?\bVALUES\s*", "")
-    rows = inserts.select(F.explode(F.regexp_extract_all(values, F.lit(_SQL_ROW), F.lit(0))).alias("row"))
+    found = re.search(r"(?is)\bCREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?`?([^`\s(]+)`?\s*\(", create["value"])
+    names = re.findall(r"^\s*`([^`]+)`\s", create["value"][found.end():], re.M)
+    into = rf"(?is)\A(?:\s*--[^\n]*\n|\s)*+INSERT\s+INTO\s+`?{re.escape(found[1])}`?[\s(].*?\bVALUES\s*"
+    inserts = _whole_statements(pieces).filter(F.col("value").rlike(into))
+    values = F.regexp_replace("value", into, "")
+    rest = F.regexp_replace(values, _SQL_ROW, "")
+    message = F.concat(F.lit("statement not read to its end: "), F.substring("value", 1, 200))
+    checked = F.when(rest.rlike(r"\A[\s,]*;?\s*\z"), values).otherwise(F.raise_error(message).cast("string"))
+    rows = inserts.select(F.explode(F.regexp_extract_all(checked, F.lit(_SQL_ROW), F.lit(0))).alias("row"))
     inner = F.expr("substring(row, 2, length(row) - 2)")
-    fields = F.regexp_extract_all(inner, F.lit(_SQL_VALUE), F.lit(0))
+    fields = F.regexp_extract_all(inner, F.lit(f"(?s){_SQL_VALUE}"), F.lit(0))
 
     def plain(v):
         text = F.trim(v)
         body_text = text.substr(F.lit(2), F.length(text) - 2)
-        unescaped = F.regexp_replace(F.regexp_replace(body_text, "''", "'"), r"\\(.)", "$1")
+        unescaped = F.regexp_replace(F.regexp_replace(body_text, "''", "'"), r"(?s)\\(.)", "$1")
         return F.when(F.upper(text) == "NULL", F.lit(None).cast("string")).when(
             text.startswith("'"), unescaped).otherwise(text)
 
