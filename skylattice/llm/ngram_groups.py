@@ -2,9 +2,9 @@
 
 A document's set holds its distinct shingles of five words as 64-bit hashes.  Equal sets form one class.  Classes that are
 likely to be similar (size band and smallest shingle) are put into groups; the matrix tells for each token which groups
-have it.  Tokens are ordered from rare to frequent, and two sets of similarity t share one of the first
-n - ceil(t n) + 1 tokens of either: only such tokens are kept in the matrix.  A class asks for the groups its own first
-tokens occur in.  Groups found so are bounded by the overlap of the class with the union of the group's tokens and opened
+have it.  Tokens are ordered from rare to frequent, and two sets of similarity t share k of the first
+n - ceil(t n) + k tokens of either: only such tokens are kept in the matrix.  A class asks for the groups that k of its own
+first tokens occur in.  Groups found so are bounded by the overlap of the class with the union of the group's tokens and opened
 only if that can reach t; in an opened group the exact sets are compared.
 
 What counts is connectivity, so pairs that are connected already are not compared again: a large group of copies costs
@@ -25,11 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import release, settled
 from .components import components
 
 WORDS = 5
 LIKE, OF = 75, 100  #: linked when OF * intersection >= LIKE * union
+STEP = 32  #: a set of n tokens must share 1 + n // STEP early ones
 CELL_BITS = 20  #: size of the table of token frequencies
 WINDOW = 1 << 20  #: tokens a task looks at together when it reports frequent ones
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -39,7 +40,7 @@ class _Words(dict):
     """word -> 64-bit hash, forgotten when it has grown large"""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
@@ -61,9 +62,10 @@ def shingles(text: bytes | None, known: _Words) -> np.ndarray:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     known = _Words()
-    for batch in batches:
-        texts = batch.column("text").cast(pa.binary())
-        yield batch, [shingles(x.as_py(), known) for x in texts]
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):  # bounds what a task holds
+            batch = whole.slice(at, 500)
+            yield batch, [shingles(x.as_py(), known) for x in batch.column("text").cast(pa.binary())]
 
 
 def _class_columns(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -108,15 +110,20 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _first_tokens(tokens: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, int]:
-    """The rarest tokens of a set that any similar set must share one of, and how many are enough for larger sets."""
+    """The rarest tokens of a set, and how many of them are enough for larger sets.
+
+    Of two sets with c common tokens, the first k common ones are among the first n - c + k of either.  A set shares at
+    least t n with any similar one, and a smaller set 2 t / (1 + t) n with a larger; k is 1 + n // STEP of the larger.
+    """
     n = len(tokens)
     order = np.argsort(cells[(tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)], kind="stable")
-    probe = n - -(-LIKE * n // OF) + 1
-    index = n - -(-2 * LIKE * n // (LIKE + OF)) + 1
-    return tokens[order[:probe]], index
+    probe = n - -(-LIKE * n // OF) + 1 + n // STEP
+    index = n - -(-2 * LIKE * n // (LIKE + OF)) + 1 + OF * n // (LIKE * STEP)
+    return tokens[order[:max(probe, index)]], index
 
 
-_POSTED = pa.schema([("token", pa.int64()), ("cid", pa.int64()), ("g", pa.int32()), ("n", pa.int32()), ("early", pa.bool_())])
+#: n is negative for the tokens that are enough for larger sets
+_POSTED = pa.schema([("token", pa.int64()), ("cid", pa.int64()), ("g", pa.int32()), ("n", pa.int32())])
 
 
 def _postings(cells) -> callable:
@@ -130,7 +137,8 @@ def _postings(cells) -> callable:
                 continue
             early = np.concatenate([np.arange(len(f)) < k for f, k in firsts])
             tokens = np.concatenate([f for f, _ in firsts]).view(np.int64)
-            columns = [tokens, np.repeat(d1, sizes), np.repeat(group, sizes), np.repeat(n, sizes).astype(np.int32), early]
+            size = np.repeat(n, sizes).astype(np.int32)
+            columns = [tokens, np.repeat(d1, sizes), np.repeat(group, sizes), np.where(early, -size, size)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_POSTED)
     return run
 
@@ -163,15 +171,18 @@ def _cells(counts: DataFrame):
 def candidates(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """Distinct (q, gq, g): the set q may have a similar one in the group g."""
     cells = _cells(signed.filter("token IS NOT NULL").select("token", "times"))
-    posted = docs.select("text").mapInArrow(_postings(cells), "token long, cid long, g int, n int, early boolean").repartition("token")
+    # both sides of the join read all columns of one exchange, so that Spark runs it once
+    posted = docs.select("text").mapInArrow(_postings(cells), "token long, cid long, g int, n int").repartition("token")
+    early = F.col("n") < 0
     matrix = posted.groupBy("token", "g").agg(
-        *(f(F.when(F.col("early"), F.col(c))).alias(name) for f, c, name in (
-            (F.min, "n", "n_low"), (F.max, "n", "n_high"), (F.min, "cid", "low"), (F.max, "cid", "high"))))
-    q = posted.select("token", F.col("cid").alias("q"), F.col("g").alias("gq"), "n")
+        F.min(F.when(early, -F.col("n"))).alias("n_low"), F.max(F.when(early, -F.col("n"))).alias("n_high"),
+        F.min(F.when(early, F.col("cid"))).alias("low"), F.max(F.when(early, F.col("cid"))).alias("high"))
+    q = posted.select("token", F.col("cid").alias("q"), F.col("g").alias("gq"), F.coalesce(F.abs("n"), F.lit(0)).alias("n"))
     met = q.join(matrix, "token").filter(
         (F.col("n_low") <= F.col("n")) & (OF * F.col("n_high").cast("long") >= LIKE * F.col("n"))
         & ~((F.col("g") == F.col("gq")) & (F.col("low") == F.col("high")) & (F.col("low") == F.col("q"))))
-    return met.select("q", "gq", "g").distinct()
+    shared = met.groupBy("q", "gq", "g", "n").agg(F.count(F.lit(1)).alias("shared"))
+    return shared.filter(F.col("shared") > F.floor(F.col("n") / STEP)).select("q", "gq", "g")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -244,12 +255,15 @@ def _opened(asks: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
 def class_links(docs: DataFrame, signed: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) between classes that connect whatever similarity connects."""
     asked = settled(candidates(docs, signed), "candidates")
+    release(docs.sparkSession)
     groups = asked.select("g").distinct()
     involved = classes.join(groups, "g", "left_semi").select("cid", "g", "doc_id").union(
         classes.join(asked.select(F.col("q").alias("cid")).distinct(), "cid", "left_semi").select("cid", "g", "doc_id")).distinct()
     involved = settled(involved, "involved")
-    sets = settled(docs.select("doc_id", "text").join(involved.select("doc_id", "cid"), "doc_id").select("cid", "text").mapInArrow(
+    sets = settled(docs.select("doc_id", "text").join(
+        involved.select("doc_id", "cid"), "doc_id").select("cid", "text").mapInArrow(
         _sets, "cid long, tokens array<long>"), "sets")
+    release(docs.sparkSession)
     leaders = involved.groupBy("g").agg(F.min("cid").alias("leader"))
     members = involved.join(leaders, "g")
     stars = members.filter("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b"))
