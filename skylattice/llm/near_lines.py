@@ -3,7 +3,8 @@
 Lines within ``threshold`` edits of each other, cut into threshold + 1 segments, have one segment in common at nearly the
 same place.  Each distinct line therefore posts its segments under its length, and probes the index for its own length and
 the lengths up to ``threshold`` below with the substrings at which a common segment can lie (the windows in which the edits
-left and right of the segment still add up to the threshold).  Pairs that meet are verified by a banded bit-parallel edit
+left and right of the segment still add up to the threshold).  Pairs that meet and whose counts of some characters differ by
+no more than the edits allow (many variants of one line meet, few of them are that alike) are verified by a banded bit-parallel edit
 distance: the 2 threshold + 1 diagonals around the main one are bits of one number, and each character of a line moves
 all of them on by a few operations on it.
 
@@ -20,10 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, bound, row_key, settled
+from .common import SPACE_CHARS, bound, release, row_key, settled
 
 THRESHOLD = 2
 LEAST_CHARS = 24
+#: characters whose counts are compared before two lines are; any choice gives the same result
+COUNTED = "ethnaso"
 
 
 def _place(doc_id: str, pos: str) -> Column:
@@ -66,11 +69,41 @@ def _probes(line: str, length: str, threshold: int) -> Column:
             rest = threshold - i
             for shift in range(max(-i, less - rest), min(i, less + rest) + 1):
                 keys.append(F.xxhash64(n, F.lit(i), F.substring(line, start + shift, size)))
-    return F.array_distinct(F.array(*keys))
+    return F.array(*keys)
+
+
+def _keys(of, threshold: int) -> Column:
+    """Keys of a line (columns line, bytes, n_chars): where each character is one byte, cut from the bytes, which is faster."""
+    return F.when(F.length("bytes") == F.col("n_chars"), of("bytes", "n_chars", threshold)).otherwise(of("line", "n_chars", threshold))
+
+
+KEPT = 8  #: equal characters left on either side of the part that differs
+
+
+def _cores(a: Column, b: Column) -> Column:
+    """Both strings (a, b) without most of what they have in common at either end, which changes no distance."""
+    steps = F.array(*(F.lit(1 << k) for k in range(12, -1, -1)))
+
+    def common(x: Column, y: Column, back: bool) -> Column:
+        def step(n: Column, by: Column) -> Column:
+            def piece(s: Column) -> Column:
+                return F.substring(s, -(n + by), by) if back else F.substring(s, n + 1, by)
+
+            return F.when((n + by <= F.least(F.length(x), F.length(y))) & (piece(x) == piece(y)), n + by).otherwise(n)
+
+        return F.aggregate(steps, F.lit(0), step)
+
+    def tails(p: Column) -> Column:
+        cut = F.greatest(p - KEPT, F.lit(0))
+        rest = F.struct(F.substring(a, p + 1, F.length(a)).alias("x"), F.substring(b, p + 1, F.length(b)).alias("y"))
+        return bound(bound(rest, lambda r: F.greatest(common(r["x"], r["y"], True) - KEPT, F.lit(0))), lambda q: F.struct(
+            F.substring(a, cut + 1, F.length(a) - cut - q).alias("a"), F.substring(b, cut + 1, F.length(b) - cut - q).alias("b")))
+
+    return bound(common(a, b, False), tails)
 
 
 def within_edits(a: Column, b: Column, threshold: int) -> Column:
-    """Whether two strings, both longer than twice the threshold, are at most so many edits apart.
+    """Whether two strings of some length (more than twice the threshold and KEPT) are at most so many edits apart.
 
     Bit k of the band in column j (a character of b) stands for row j - threshold + k (of a).  The distance is followed
     down the lowest diagonal until it meets the last row, and then along that row.
@@ -109,22 +142,48 @@ def within_edits(a: Column, b: Column, threshold: int) -> Column:
                     both(down, x["hp"]).alias("n"), (state["e"] + grown).cast("int").alias("e"))
 
             first = F.struct(match.cast("int").alias("m"), state["p"].alias("p"), state["n"].alias("n"))
-            return bound(bound(bound(first, columns), rows), moved)
+            # the diagonal only grows, and the last row can take no more than its length off it
+            return F.when(state["e"] > 3 * threshold, state).otherwise(bound(bound(bound(first, columns), rows), moved))
 
         start = F.struct(F.lit(mask ^ ((1 << threshold) - 1)).alias("p"), F.lit(0).alias("n"), F.lit(threshold).alias("e"))
         return F.aggregate(F.transform(cb, lambda c, j: F.struct(c.alias("c"), (j + 1).alias("j"))), start, step)["e"] <= threshold
 
-    return bound(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")), run)
+    return bound(_cores(a, b), lambda c: bound(F.struct(F.split(c["a"], "").alias("a"), F.split(c["b"], "").alias("b")), run))
+
+
+def _counts(line: str, length: str) -> Column:
+    """The length and the counts of some characters, each modulo 16, in one number."""
+    parts = [F.col(length), *(F.octet_length(line) - F.octet_length(F.replace(F.col(line), F.lit(c), F.lit(""))) for c in COUNTED)]
+    return sum((F.shiftleft(F.pmod(p, F.lit(16)).cast("long"), 4 * k) for k, p in enumerate(parts)), F.lit(0).cast("long"))
+
+
+def _may_be_near(a: Column, b: Column, threshold: int) -> tuple[Column, Column]:
+    """By how much a line is longer, and whether the counts differ by no more than the edits can change them: a
+    replacement changes two counts by one, an insertion one."""
+    def part(x: Column, k: int) -> Column:
+        return F.shiftright(x, 4 * k).bitwiseAND(F.lit(15))
+
+    longer = F.pmod(part(a, 0) - part(b, 0), F.lit(16))
+    apart = F.lit(0)
+    for k in range(1, len(COUNTED) + 1):
+        d = F.abs(part(a, k) - part(b, k))
+        apart = apart + F.least(d, 16 - d)
+    return longer, apart + longer <= 2 * threshold
 
 
 def near_pairs(distinct: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """Pairs (a, b) of lid whose lines are within the threshold; ``distinct`` has lid, line and n_chars."""
-    long = distinct.filter(F.col("n_chars") >= max(least_chars, 2 * threshold + 1))
-    index = long.select(F.col("lid").alias("b"), F.col("n_chars").alias("nb"), F.explode(_posted("line", "n_chars", threshold)).alias("key"))
-    probe = long.select(F.col("lid").alias("a"), F.col("n_chars").alias("na"), F.explode(_probes("line", "n_chars", threshold)).alias("key"))
-    met = probe.join(index, "key").filter((F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") > F.col("b"))))
+    """Pairs (a, b) of lid whose lines are within the threshold; ``distinct`` has lid, line, n_chars and counts."""
+    long = distinct.filter(F.col("n_chars") >= max(least_chars, 2 * threshold + 1)).withColumn("bytes", F.col("line").cast("binary"))
+    index = long.select(F.explode(_keys(_posted, threshold)).alias("key"), F.col("lid").alias("b"), F.col("counts").alias("cb"))
+    probe = long.select(F.explode(_keys(_probes, threshold)).alias("key"), F.col("lid").alias("a"), F.col("counts").alias("ca"))
+    longer, alike = _may_be_near(F.col("ca"), F.col("cb"), threshold)
+    met = probe.join(index, (probe["key"] == index["key"]) & ((longer > 0) | (F.col("a") > F.col("b"))) & alike)
     met = settled(met.select("a", "b").distinct(), "met")
-    texts = distinct.select("lid", "line")
+    release(distinct.sparkSession)
+    # the few lines that met, so that all texts move once at most
+    some = met.select(F.col("a").alias("lid")).union(met.select("b")).distinct()
+    texts = settled(distinct.select("lid", "line").join(some, "lid", "left_semi"), "texts")
+    release(distinct.sparkSession)
     both = met.join(texts.toDF("a", "la"), "a").join(texts.toDF("b", "lb"), "b")
     return both.filter(within_edits(F.col("la"), F.col("lb"), threshold)).select("a", "b")
 
@@ -133,7 +192,8 @@ def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int
     """(__k1, __k2, pos, equal) of each line that goes: equal tells an equal earlier line from a near one."""
     every = lines(docs.select("doc_id", "text"))
     distinct = settled(every.groupBy("line").agg(F.min("place").alias("first")).withColumns({
-        "lid": F.monotonically_increasing_id(), "n_chars": F.length("line")}), "lines")
+        "lid": F.monotonically_increasing_id(), "n_chars": F.length("line")}).withColumn("counts", _counts("line", "n_chars")), "lines")
+    release(docs.sparkSession)
     places = distinct.select("lid", "first")
     pairs = near_pairs(distinct, threshold, least_chars).join(places.toDF("a", "fa"), "a").join(places.toDF("b", "fb"), "b")
     near = pairs.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("lid")).distinct()
