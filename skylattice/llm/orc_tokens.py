@@ -15,10 +15,10 @@ in the order of their texts' hashes; empty tables give one empty file.
 from __future__ import annotations
 
 import functools
-import itertools
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +42,7 @@ def default_tokenizer() -> str:
 
 
 class Encoder(dict):
-    """part of a text -> its ids, filled by the tokenizer as parts come"""
+    """part of a text -> its ids as bytes, filled by the tokenizer as parts come"""
 
     #: fixed values: the pattern of byte-level encoders, and what it amounts to for ASCII
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -64,8 +64,8 @@ class Encoder(dict):
         self.ascii_parts = re.compile(self.ASCII, re.ASCII).findall
         self.parts = regex.compile(self.PATTERN).findall
 
-    def __missing__(self, part: str) -> list[int]:
-        ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+    def __missing__(self, part: str) -> bytes:
+        ids = array("i", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
         if len(part) <= LONGEST_REMEMBERED:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -76,7 +76,7 @@ class Encoder(dict):
         if not self.in_parts or self.whole.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
         parts = self.ascii_parts(text) if text.isascii() else self.parts(text)
-        return np.fromiter(itertools.chain.from_iterable(map(self.__getitem__, parts)), np.int32)
+        return np.frombuffer(b"".join(map(self.__getitem__, parts)), np.int32)
 
 
 @functools.lru_cache(maxsize=2)
@@ -114,13 +114,16 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) in any order; filters on doc_id reach the files' indexes and Bloom filters."""
+    """(doc_id, start, n_tokens, ids) in any order; what is broadcast is one number a file.
+
+    A filter on doc_id reaches the indexes and Bloom filters for the ids, not for the sums, which need every file.
+    """
     rows = spark.read.schema("doc_id long, row long, offset long, n_tokens long, ids array<int>").orc(path)
     part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
     rows = rows.withColumn("part", part)
     ends = rows.groupBy("part").agg(F.max(F.col("offset") + F.col("n_tokens")).alias("total"))  # one row a file
     bases = ends.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
-    return rows.join(bases, "part").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids")
+    return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids")
 
 
 def ids_of(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
