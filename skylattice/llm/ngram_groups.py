@@ -187,8 +187,9 @@ def candidates(docs: DataFrame, signed: DataFrame) -> DataFrame:
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that are similar."""
-    both = pairs.join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tb")), "b").join(
-        sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta")), "a")
+    # sides that grow with the input are merged at every size, so that small and large inputs have one plan
+    both = pairs.join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tb")).hint("merge"), "b").join(
+        sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta")).hint("merge"), "a")
     common = F.size(F.array_intersect("ta", "tb"))
     return both.filter(OF * common >= LIKE * (F.size("ta") + F.size("tb") - common)).select("a", "b")
 
@@ -244,7 +245,7 @@ def _opened(asks: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
         df = df.join(counts, "g").withColumns({"n_own": F.col(own), "n_other": F.col(other)})
         df = df.withColumn("mine", spread["mine"]).withColumn("other", spread["other"])
         kq, km = ("mine", "other") if own == "nq" else ("other", "mine")
-        df = df.select("g", F.col(kq).alias("kq"), F.col(km).alias("km"), "cid", "comp").join(sets, "cid")
+        df = df.select("g", F.col(kq).alias("kq"), F.col(km).alias("km"), "cid", "comp").join(sets.hint("merge"), "cid")
         return df.select(*(F.col(c).alias(c) for c in df.columns))  # columns of its own on either side
 
     left = dealt(asks.withColumnRenamed("q", "cid"), "nq", "nm")
@@ -261,7 +262,7 @@ def class_links(docs: DataFrame, signed: DataFrame, classes: DataFrame) -> DataF
         classes.join(asked.select(F.col("q").alias("cid")).distinct(), "cid", "left_semi").select("cid", "g", "doc_id")).distinct()
     involved = settled(involved, "involved")
     sets = settled(docs.select("doc_id", "text").join(
-        involved.select("doc_id", "cid"), "doc_id").select("cid", "text").mapInArrow(
+        involved.select("doc_id", "cid").hint("merge"), "doc_id").select("cid", "text").mapInArrow(
         _sets, "cid long, tokens array<long>"), "sets")
     release(docs.sparkSession)
     leaders = involved.groupBy("g").agg(F.min("cid").alias("leader"))
