@@ -32,8 +32,8 @@ SAMPLE = 20_000  #: labelled documents to learn from
 WORDS = 20_000  #: words that have weights: those with the most telling counts
 LEAST_DOCS = 5  #: documents of the sample a word must occur in
 TELLING, ODDS = 6.0, 4.0  #: standard deviations and odds from which a word labels tokens of toxic documents
-WINDOW, WINDOWS = 24, 4  #: tokens of a window, windows a document
-ROUNDS, RATE, PENALTY = 150, 0.1, 1e-4
+WINDOW, WINDOWS = 24, 4  #: tokens of a window, windows of a toxic document (others give one)
+ROUNDS, RATE, PENALTY = 70, 0.15, 1e-4
 BLOCK = 128
 
 _TOKEN = re.compile(rb"[0-9a-z\x80-\xff']+").findall
@@ -67,7 +67,9 @@ def _windows(vocabulary: dict[bytes, int], telling: np.ndarray):
                 words = np.array([vocabulary.get(w, 0) for w in tokens(text.as_py())], np.int64)
                 marked = telling[words] & bool(label)
                 at = np.flatnonzero(marked)[:WINDOWS // 2] - WINDOW // 2
-                spread = np.linspace(0, max(len(words) - WINDOW, 0), WINDOWS - len(at)).astype(int)
+                # of other documents the place of the one window follows from their length
+                most = max(len(words) - WINDOW, 0)
+                spread = np.linspace(0, most, WINDOWS - len(at)).astype(int) if label else np.array([len(words) * 7919 % (most + 1)])
                 for start in np.unique(np.maximum(np.concatenate([at, spread]), 0)):
                     if len(words):
                         ids.append(words[start:start + WINDOW])
