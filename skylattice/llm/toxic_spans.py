@@ -3,7 +3,9 @@
 Tokens have two states, clean and toxic.  Their scores are learnt weights of the word itself, the word before and the word
 after; transitions have weights of their own.  Labels are given for documents, so the labelled tokens to learn from are
 derived: in toxic documents those words that occur in toxic documents far more often than chance allows, everywhere else
-none.  Training maximises the likelihood of windows of tokens from a bounded sample of labelled documents.
+none.  Training maximises the likelihood of windows of tokens from a bounded sample of labelled documents: windows spread
+evenly, and others so that every use of a telling word is learnt from, in clean documents too.  Each round sums the gradient
+over the windows in tasks; the driver only holds the weights.
 
 Scoring runs forward-backward over whole texts.  A text is cut into blocks whose transfer matrices are multiplied side by
 side; messages pass from block to block and then through all blocks at once, which is the exact recursion in an order that
@@ -32,8 +34,9 @@ SAMPLE = 20_000  #: labelled documents to learn from
 WORDS = 20_000  #: words that have weights: those with the most telling counts
 LEAST_DOCS = 5  #: documents of the sample a word must occur in
 TELLING, ODDS = 6.0, 4.0  #: standard deviations and odds from which a word labels tokens of toxic documents
-WINDOW, WINDOWS = 24, 4  #: tokens of a window, windows of a toxic document (others give one)
-ROUNDS, RATE, PENALTY = 70, 0.15, 1e-4
+WINDOW, WINDOWS = 24, 4  #: tokens of a window, windows spread over each document (those at telling words come besides)
+ROUNDS, RATE, PENALTY = 150, 0.15, 1e-4
+CHUNK = 4096  #: windows kept in one value
 BLOCK = 128
 
 _TOKEN = re.compile(rb"[0-9a-z\x80-\xff']+").findall
@@ -58,24 +61,42 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["word", "docs", "toxic"])
 
 
+def _starts(marked: np.ndarray) -> np.ndarray:
+    """First tokens of a document's windows, given which tokens are telling: some spread evenly, and others so that each
+    telling token stands in a window together with both its neighbours."""
+    starts = np.linspace(0, max(len(marked) - WINDOW, 0), WINDOWS).astype(int).tolist()
+    covered = 0
+    for at in np.flatnonzero(marked).tolist():
+        if at >= covered:
+            starts.append(max(at - WINDOW // 2, 0))
+            covered = starts[-1] + WINDOW - 1
+    return np.unique(starts)
+
+
 def _windows(vocabulary: dict[bytes, int], telling: np.ndarray):
-    """(ids, tags) of up to WINDOWS windows of each document: around labelled tokens first, then spread evenly."""
+    """(n, codes): n windows of WINDOW tokens, each token as twice its id plus its tag, -1 behind a text's end."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
+            codes = np.concatenate(parts)
+            return pa.RecordBatch.from_arrays([pa.array([len(codes)], pa.int64()), pa.array([codes.tobytes()], pa.binary())],
+                                              names=["n", "codes"])
+
+        parts, n = [], 0
         for batch in batches:
-            ids, tags = [], []
             for text, label in zip(batch.column("text").cast(pa.binary()), batch.column("y").to_pylist()):
-                words = np.array([vocabulary.get(w, 0) for w in tokens(text.as_py())], np.int64)
-                marked = telling[words] & bool(label)
-                at = np.flatnonzero(marked)[:WINDOWS // 2] - WINDOW // 2
-                # of other documents the place of the one window follows from their length
-                most = max(len(words) - WINDOW, 0)
-                spread = np.linspace(0, most, WINDOWS - len(at)).astype(int) if label else np.array([len(words) * 7919 % (most + 1)])
-                for start in np.unique(np.maximum(np.concatenate([at, spread]), 0)):
-                    if len(words):
-                        ids.append(words[start:start + WINDOW])
-                        tags.append(marked[start:start + WINDOW].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int64())), pa.array(tags, pa.list_(pa.int64()))],
-                                             names=["ids", "tags"])
+                words = np.array([vocabulary.get(w, 0) for w in tokens(text.as_py())], np.int32)
+                if not len(words):
+                    continue
+                marked = telling[words]
+                places = _starts(marked)[:, None] + np.arange(WINDOW)
+                codes = 2 * words + (marked & bool(label))
+                parts.append(np.where(places < len(words), codes[np.minimum(places, len(words) - 1)], -1).astype(np.int32))
+                n += len(places)
+                if n >= CHUNK:
+                    yield packed(parts)
+                    parts, n = [], 0
+        if n:
+            yield packed(parts)
     return run
 
 
@@ -160,44 +181,63 @@ class Field:
         return [p[a:a + c].ravel()[:s] for a, c, s in zip(first, counts, sizes)]
 
 
-def fit_field(vocabulary: dict[bytes, int], ids: list[np.ndarray], tags: list[np.ndarray]) -> Field:
-    """Maximum likelihood by Adam steps over all windows at once."""
-    size, n = len(vocabulary) + 1, max(len(ids), 1)
-    x, y, live = (np.zeros((n, WINDOW), np.int64) for _ in range(3))
-    for k, (i, t) in enumerate(zip(ids, tags)):
-        x[k, :len(i)], y[k, :len(i)], live[k, :len(i)] = i, t, 1
+def gradient(theta: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Of the log likelihood of windows (one a row, see _windows), by odds of toxic against clean passed on and back."""
+    size = (len(theta) - 5) // 3
+    codes = np.ascontiguousarray(codes.T)
+    live = codes >= 0
+    x, y = np.where(live, codes >> 1, 0).astype(np.intp), live & (codes & 1 == 1)
     before, after = np.zeros_like(x), np.zeros_like(x)
-    before[:, 1:], after[:, :-1] = x[:, :-1], x[:, 1:]
-    pair = live[:, 1:] == 1
+    before[1:], after[:-1] = x[:-1], x[1:]
+    up = np.exp(theta[x] + theta[before + size] + theta[after + 2 * size] + theta[3 * size])
+    m00, m01, m10, m11 = np.exp(theta[3 * size + 1:])
+    ahead, behind = up.copy(), np.ones_like(up)
+    for k in range(1, len(up)):
+        ahead[k] *= (m01 + m11 * ahead[k - 1]) / (m00 + m10 * ahead[k - 1])
+    for k in range(len(up) - 2, -1, -1):
+        onward = up[k + 1] * behind[k + 1]
+        behind[k] = np.where(live[k + 1], (m10 + m11 * onward) / (m00 + m01 * onward), 1)
+    odds = ahead * behind
+    wrong = (y - odds / (1 + odds)) * live
+    out = np.zeros_like(theta)
+    for k, ids in enumerate((x, before, after)):
+        out[k * size:(k + 1) * size] = np.bincount(ids.ravel(), wrong.ravel(), size)
+        out[k * size] = 0  # other words have no weight
+    out[3 * size] = wrong.sum()
+    last, onward, pair = ahead[:-1], (up * behind)[1:], live[1:]
+    joint = (m00, m01 * onward, m10 * last, m11 * last * onward)
+    total = sum(joint)
+    for k, (of, (a, b)) in enumerate(zip(joint, ((0, 0), (0, 1), (1, 0), (1, 1)))):
+        seen = (y[:-1] == a) & (y[1:] == b)
+        out[3 * size + 1 + k] = ((seen - of / total) * pair).sum()
+    return out
+
+
+def _summed(theta: np.ndarray):
+    """(n, gradient) of all windows of a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros_like(theta), 0
+        for batch in batches:
+            for codes in batch.column("codes"):
+                rows = np.frombuffer(codes.as_buffer(), np.int32).reshape(-1, WINDOW)
+                for at in range(0, len(rows), CHUNK):
+                    total += gradient(theta, rows[at:at + CHUNK])
+                n += len(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "gradient"])
+    return run
+
+
+def fit_field(vocabulary: dict[bytes, int], windows: DataFrame) -> Field:
+    """Maximum likelihood by Adam steps over all windows (n, codes) at once."""
+    size = len(vocabulary) + 1
     theta = np.zeros(3 * size + 5)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    index = np.stack([x, before + size, after + 2 * size])
     for step in range(1, ROUNDS + 1):
-        score = theta[index].sum(0) + theta[3 * size]
-        moves = theta[3 * size + 1:].reshape(2, 2)
-        states = np.zeros((n, WINDOW, 2))
-        states[:, :, 1] = score
-        alpha, beta = states.copy(), np.zeros_like(states)
-        for k in range(1, WINDOW):
-            alpha[:, k] += np.where(pair[:, k - 1, None], np.logaddexp(alpha[:, k - 1, 0:1] + moves[0], alpha[:, k - 1, 1:2] + moves[1]), 0)
-        for k in range(WINDOW - 2, -1, -1):
-            ahead = beta[:, k + 1] + states[:, k + 1]
-            beta[:, k] = np.where(pair[:, k, None], np.logaddexp(moves[:, 0] + ahead[:, 0:1], moves[:, 1] + ahead[:, 1:2]), 0)
-        both = alpha + beta
-        total = np.logaddexp(both[:, :, 0], both[:, :, 1])
-        wrong = (y - np.exp(both[:, :, 1] - total)) * live
-        gradient = np.zeros_like(theta)
-        gradient[:3 * size] = np.bincount(index.ravel(), np.broadcast_to(wrong, index.shape).ravel(), 3 * size)
-        gradient[[0, size, 2 * size]] = 0  # other words have no weight
-        gradient[3 * size] = wrong.sum()
-        for a in range(2):
-            for b in range(2):
-                seen = (y[:, :-1] == a) & (y[:, 1:] == b)
-                expected = np.exp(alpha[:, :-1, a] + moves[a, b] + states[:, 1:, b] + beta[:, 1:, b] - total[:, :-1])
-                gradient[3 * size + 1 + 2 * a + b] = ((seen - expected) * pair).sum()
-        gradient = gradient / n - PENALTY * theta
-        first = 0.9 * first + 0.1 * gradient
-        second = 0.99 * second + 0.01 * gradient ** 2
+        sums = windows.select("codes").mapInArrow(_summed(theta), "n long, gradient binary").collect()
+        n = max(sum(r["n"] for r in sums), 1)
+        slope = sum((np.frombuffer(r["gradient"]) for r in sums), np.zeros_like(theta)) / n - PENALTY * theta
+        first = 0.9 * first + 0.1 * slope
+        second = 0.99 * second + 0.01 * slope ** 2
         theta += RATE * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.99 ** step)) + 1e-9)
     return Field(vocabulary, theta[:3 * size].reshape(3, size), float(theta[3 * size]), theta[3 * size + 1:].reshape(2, 2))
 
@@ -217,8 +257,7 @@ def learn(sample: DataFrame) -> Field | None:
     rows = counts.orderBy(F.abs("z").desc(), "word").limit(WORDS).collect()
     vocabulary = {bytes(r["word"]): k for k, r in enumerate(rows, 1)}
     telling = np.array([False] + [r["z"] >= TELLING and r["odds"] >= ODDS for r in rows])
-    found = sample.mapInArrow(_windows(vocabulary, telling), "ids array<long>, tags array<long>").toPandas()
-    return fit_field(vocabulary, [np.asarray(v) for v in found["ids"]], [np.asarray(v) for v in found["tags"]])
+    return fit_field(vocabulary, settled(sample.mapInArrow(_windows(vocabulary, telling), "n long, codes binary"), "windows"))
 
 
 SIGNS = ("highest", "expected", "likely")  #: what a document's marginals are summed up to

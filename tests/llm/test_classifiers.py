@@ -81,6 +81,61 @@ def test_marginals_by_plain_recursion():
         assert len(found) == n and np.allclose(found, np.exp(both[:, 1] - np.logaddexp(both[:, 0], both[:, 1]))) if n else not len(found)
 
 
+def test_every_use_of_a_telling_word_is_learnt_from(spark):
+    rng = random.Random(6)
+    rows, expected = [], {}
+    for k in range(400):
+        toxic = int(k % 4 == 0)
+        words = prose(rng, 400).split()
+        uses = [["vile", rng.choice(words)] for _ in range(3)] if toxic else [["vile", "weather"]] if k % 9 == 1 else []
+        for use in uses:  # at places that windows chosen by length or spread evenly miss
+            at = rng.choice([80, 100, 170, 190, 210, 300, 320, 340])
+            words[at:at + 2] = use
+        expected[k] = toxic
+        rows.append((k, " ".join(words), toxic))
+    sample = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    field = toxic_spans.learn(sample.select("text", "y"))
+    hit = {r["doc_id"] for r in toxic_spans.spans(sample, field).collect()}
+    assert hit == {k for k, toxic in expected.items() if toxic}
+    marked = np.zeros(3000, bool)
+    marked[[0, 5, 700, 722, 723, 1500, 2999]] = True
+    starts = toxic_spans._starts(marked)
+    for at in np.flatnonzero(marked):
+        assert ((starts <= max(at - 1, 0)) & (min(at + 1, 2999) < starts + toxic_spans.WINDOW)).any(), at
+
+
+def test_gradient_by_all_taggings():
+    rng = np.random.default_rng(8)
+    size = 7
+    theta = rng.normal(size=3 * size + 5)
+    theta[[0, size, 2 * size]] = 0
+    codes = np.full((3, toxic_spans.WINDOW), -1, np.int32)
+    for row, n in zip(codes, (1, 4, 6)):
+        row[:n] = 2 * rng.integers(0, size, n) + rng.integers(0, 2, n)
+
+    def likelihood(theta):
+        total = 0.0
+        for row in codes:
+            row = row[row >= 0]
+            ids, tags = row >> 1, row & 1
+            field = toxic_spans.Field({}, theta[:3 * size].reshape(3, size), theta[3 * size], theta[3 * size + 1:].reshape(2, 2))
+            lean = field.lean(ids)
+
+            def score(t):
+                return sum(lean[k] for k in range(len(t)) if t[k]) + sum(field.moves[t[k], t[k + 1]] for k in range(len(t) - 1))
+
+            every = [score([b >> k & 1 for k in range(len(row))]) for b in range(1 << len(row))]
+            total += score(tags.tolist()) - np.logaddexp.reduce(every)
+        return total
+
+    found = toxic_spans.gradient(theta, codes)
+    for k in range(len(theta)):
+        if k not in (0, size, 2 * size):
+            step = np.zeros_like(theta)
+            step[k] = 1e-5
+            assert abs((likelihood(theta + step) - likelihood(theta - step)) / 2e-5 - found[k]) < 1e-6, k
+
+
 def test_odd_rows(spark, labelled, odd_docs, no_docs):
     labels = labelled[1].unionByName(spark.createDataFrame([(1, None, None), (None, 1, 1)], labelled[1].schema))
     none = labels.limit(0)
