@@ -3,7 +3,9 @@
 Equal vectors form one class.  Classes are dealt to shards by hash; each shard builds a layered graph of its own, inserting
 points in batches whose beam searches run side by side in numpy.  Every class then asks every shard: a beam search that is
 widened for those whose whole beam is near, and for all of a block until an audit passes: for some queries of the block
-the links are computed exactly, and the share found must reach ``RECALL``.  What is found is verified in double precision.
+the links are computed exactly, and the mean share found, over queries that have links with others, must reach ``RECALL``.
+The audit goes on until it holds ``ENOUGH`` such queries.  A block without so many, or whose audit fails up to beams that
+cost more than that, is compared with the whole shard exactly.  What is found is verified in double precision.
 
 Tasks return a count for each query and, of the links, only those that join parts not joined in that task before, so that
 a large group of copies gives as many links as it has members.  Components come from these.
@@ -35,6 +37,8 @@ LINKS = 16  #: neighbours of a point in a layer; twice as many in the lowest
 BUILD_BEAM, BEAM = 64, 48
 SIDE_BY_SIDE = 512  #: points inserted, or queries asked, at once
 AUDITED, RECALL = 256, 0.99
+ENOUGH = 100  #: queries with links that an audit must hold
+DEAR = 8  #: a beam of one in so many points of a shard costs more than all points in plain blocks
 _SLACK = 1e-3  #: single precision is searched with so much lower a limit
 
 
@@ -187,36 +191,59 @@ def build(ids: np.ndarray, copies: np.ndarray, exact: np.ndarray) -> Graph:
     return Graph(ids, copies, exact, layers[::-1])
 
 
-def links_in(graph: Graph, queries: np.ndarray, limit: float = COSINE, audited: int = AUDITED) -> list[np.ndarray]:
-    """For each query the points with a cosine of at least ``limit``, as positions in the graph."""
+def links_in(graph: Graph, queries: np.ndarray, limit: float = COSINE, audited: int = AUDITED,
+             own: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each query the points with a cosine of at least ``limit``, as positions in the graph.
+
+    ``own`` are the class ids of the queries: links with themselves prove nothing in the audit.
+    """
     vectors, q = graph.exact.astype(np.float32), queries.astype(np.float32)
     n = len(vectors)
     found: list[np.ndarray] = [np.empty(0, np.int64)] * len(q)
 
+    def exactly(rows: np.ndarray) -> Iterator[np.ndarray]:
+        at_once = max(1, 8_000_000 // n)
+        for at in range(0, len(rows), at_once):
+            yield from map(np.flatnonzero, queries[rows[at:at + at_once]] @ graph.exact.T >= limit)
+
     def search(rows: np.ndarray, width: int) -> None:
-        width = min(width, n)
         for at in range(0, len(rows), max(1, min(SIDE_BY_SIDE, 100_000_000 // n))):
             part = rows[at:at + max(1, min(SIDE_BY_SIDE, 100_000_000 // n))]
             ids, sims = graph.find(vectors, q[part], width)
             near = sims >= limit - _SLACK
             for r, i, k in zip(part, ids, near):
                 found[r] = i[k]
-            if width < n:  # a beam that is near as a whole may have more behind it
-                full = part[near.all(1)]
-                if len(full):
-                    search(full, 4 * width)
-
-    audit = np.unique(np.linspace(0, len(q) - 1, min(audited, len(q))).astype(int)) if len(q) else np.empty(0, int)
-    truth = [np.flatnonzero(graph.exact @ queries[k] >= limit) for k in audit]
-    width = BEAM
-    while True:
-        search(np.arange(len(q)), width)
+            full = part[near.all(1)]  # a beam that is near as a whole may have more behind it
+            if len(full) and 4 * width * DEAR < n:
+                search(full, 4 * width)
+            else:
+                for r, i in zip(full, exactly(full)):
+                    found[r] = i
+
+    order = np.random.default_rng(0).permutation(len(q))
+    truth: dict[int, np.ndarray] = {}
+    linked: list[tuple[int, np.ndarray]] = []
+    while len(truth) < len(q) and (len(truth) < audited or len(linked) < ENOUGH):
+        part = order[len(truth):len(truth) + audited]
+        for k, ids in zip(part.tolist(), exactly(part)):
+            truth[k] = ids
+            others = ids if own is None else ids[graph.ids[ids] != own[k]]
+            if len(others):
+                linked.append((k, others))
+    rest, width = order[len(truth):], BEAM
+    while len(rest) and width * DEAR < n:
+        search(order, width)
         for r, ids in enumerate(found):
             found[r] = ids[graph.exact[ids] @ queries[r] >= limit]
-        met = sum(len(np.intersect1d(found[k], t)) for k, t in zip(audit, truth))
-        if width >= n or met >= RECALL * sum(map(len, truth)):
-            return found
+        if np.mean([len(np.intersect1d(found[k], t)) / len(t) for k, t in linked]) >= RECALL:
+            break
         width *= 2
+    else:
+        for k, ids in zip(rest.tolist(), exactly(rest)):
+            found[k] = ids
+    for k, ids in truth.items():
+        found[k] = ids
+    return found
 
 
 def _unit(batch_column: pa.Array) -> np.ndarray:
@@ -255,7 +282,7 @@ def _asked(limit: float):
         if queries.num_rows and graphs.num_rows:
             graph = Graph.unpacked(graphs["graph"][0].as_py())
             cids = queries["cid"].to_numpy()
-            found = links_in(graph, _unit(queries["v"].combine_chunks()), limit)
+            found = links_in(graph, _unit(queries["v"].combine_chunks()), limit, own=cids)
             part: dict[int, int] = {}
 
             def root(x: int) -> int:

@@ -33,6 +33,34 @@ def test_graphs_find_the_links():
     assert found >= 0.99 * truth.sum()
 
 
+def cut_off(pairs, others):
+    """A graph of pairs and other vectors with no edges to the second of any pair; its unit vectors, and the pairs."""
+    rng = np.random.default_rng(9)
+    first = rng.normal(size=(pairs, 32))
+    v = np.concatenate([first, first + rng.normal(scale=0.05, size=first.shape), others(rng)])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    graph = vector_graphs.build(np.arange(len(u)), np.ones(len(u), np.int64), u)
+    lost = np.flatnonzero((graph.ids >= pairs) & (graph.ids < 2 * pairs) & (np.arange(len(u)) > 0))
+    for layer in graph.layers:
+        layer[np.isin(layer, lost)] = -1
+    return graph, u
+
+
+def all_found(graph, u, **how):
+    truth = u @ graph.exact.T >= 0.9
+    return all((np.sort(x) == np.flatnonzero(t)).all() if len(x) == t.sum() else False for x, t in zip(vector_graphs.links_in(graph, u, **how), truth))
+
+
+def test_points_out_of_reach_are_found_whatever_a_large_group_has():
+    graph, u = cut_off(300, lambda rng: rng.normal(size=32) + rng.normal(scale=0.05, size=(900, 32)))
+    assert all_found(graph, u, own=np.arange(len(u)))
+
+
+def test_rare_links_are_found():
+    graph, u = cut_off(30, lambda rng: rng.normal(size=(3000, 32)))
+    assert all_found(graph, u, own=np.arange(len(u)))
+
+
 def test_links_and_components_by_brute_force(spark):
     v = vectors()
     rows = [(k, [float(x) for x in r]) for k, r in enumerate(v)]
