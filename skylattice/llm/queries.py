@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boosted_quality, license_scan, mixing, near_lines, ngram_groups, orc_tokens, outliers, pieces, toxic_spans, vector_graphs
+from . import boosted_quality, divergence, license_scan, mixing, near_lines, ngram_groups, orc_tokens, outliers, pieces, toxic_spans, vector_graphs
 from .common import table
 
 #: the smallest node that each node of the edges e (x, y) and nodes v (node) reaches
@@ -92,3 +92,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op3_vector_graphs", _NEAR_VECTORS)
 def op3_vector_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_graphs.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@registered("op11_divergence", divergence.sql())
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
