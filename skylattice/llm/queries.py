@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boosted_quality, divergence, license_scan, mixing, near_lines, ngram_groups, orc_tokens, outliers, pieces, toxic_spans, vector_graphs, whitening
+from . import (boosted_quality, divergence, license_scan, mixing, near_lines, ngram_groups, orc_tokens, outliers, pieces, suffix_dedup,
+               toxic_spans, vector_graphs, whitening)
 from .common import table
 
 #: the smallest node that each node of the edges e (x, y) and nodes v (node) reaches
@@ -99,6 +100,11 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergences(table(spark, sf_dir, "documents"))
 
 
+@registered("op12_suffix_dedup")
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 @registered("op13_whitening")
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
