@@ -568,7 +568,7 @@ def _rotated_position(ra, dec, matrix) -> tuple[Column, Column]:
 
 @dataclass(frozen=True)
 class Combination:
-    """UNION, INTERSECTION or NOT of regions; only good for tests."""
+    """UNION, INTERSECTION, DIFFERENCE (the first without the others) or NOT of regions; ``regionalgebra`` has their rings and areas."""
 
     operator: str
     parts: tuple
@@ -579,5 +579,5 @@ class Combination:
             return ~tests[0]
         result = tests[0]
         for test in tests[1:]:
-            result = (result | test) if self.operator == "UNION" else (result & test)
+            result = (result | test) if self.operator == "UNION" else (result & (~test if self.operator == "DIFFERENCE" else test))
         return result

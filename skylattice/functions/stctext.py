@@ -57,7 +57,7 @@ def _region(text: str, at: int):
     if word.upper() == "NOT":
         part, at = _region(text, _expect(text, at, "("))
         return Combination("NOT", (part,)), _expect(text, at, ")")
-    if word.upper() in ("UNION", "INTERSECTION"):
+    if word.upper() in ("UNION", "INTERSECTION", "DIFFERENCE"):
         _, at = _system(text, at)
         at, parts = _expect(text, at, "("), []
         while not re.compile(r"\s*\)").match(text, at):

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ._args import col
+from .stemming import stem, stem_column
 
 # fixed values: English words carrying no meaning in a word search
 STOP_WORDS = (
@@ -39,46 +41,41 @@ def hashlist_has(hashlist, item) -> Column:
     return F.array_contains(F.split(col(hashlist), "#"), F.lower(item))
 
 
-def stem(word: str) -> str:
-    """A light English stem of a query word: plural and common verb endings off."""
-    word = re.sub(r"(?<=..)ies$", "y", word)
-    word = re.sub(r"(?<=..)(s|x|z|ch|sh)es$", r"\1", word)
-    word = re.sub(r"(?<=..)([^su])s$", r"\1", word)
-    word = re.sub(r"(?<=...)(?:ing|ed)$", "", word)
-    return re.sub(r"(?<=...)e$", "", word)
+_WORD = "[a-z0-9_]+"
 
 
-def _word_pattern(word: str, stemmed: bool) -> str:
-    """Pattern of a word, or of the words having its stem, between non-word characters."""
-    if not stemmed:
-        body = re.escape(word)
-    else:
-        base = stem(word)
-        body = f"{base[:-1]}(?:y|ies)" if base.endswith("y") else f"{base}(?:e|s|es|ed|ing|ings)?"
-    return rf"(?<![a-z0-9_]){body}(?![a-z0-9_])"
+def query_words(query: str) -> list[str]:
+    """The words of a query in lower case, stop words off."""
+    return [w for w in re.findall(_WORD, query.lower()) if w not in STOP_WORDS]
 
 
-def _query_words(query: str) -> list[str]:
-    return [w for w in re.split(r"\W+", query.lower()) if w and w not in STOP_WORDS]
+def words_of(text) -> Column:
+    """The words of a text in lower case, as an array."""
+    return F.regexp_extract_all(F.lower(col(text)), F.lit(f"({_WORD})"), F.lit(1))
+
+
+def _has_stem(lowered: Column, word: str) -> Column:
+    """Whether a word with the stem of ``word`` occurs: only words that begin like the stem are stemmed."""
+    wanted = stem(word)
+    begin = re.escape(wanted[:max(1, len(wanted) - 2)])
+    pattern = rf"(?<![a-z0-9_])({begin}[a-z0-9_]*)"
+    like = F.array_distinct(F.regexp_extract_all(lowered, F.lit(pattern), F.lit(1)))
+    return lowered.rlike(pattern) & F.exists(like, lambda w: stem_column(w) == wanted)
 
 
 def has_words(text, query: str, stemmed: bool = True) -> Column:
-    """Whether all words of the query (stop words off) occur in the text.
+    """Whether all words of the query (stop words off) occur in the text, by their stems or as they are.
 
-    One pattern search per query word, so texts are not taken apart.  Stems
-    approximate those of a full text index; unstemmed words match exactly.
-    Without query words nothing matches.
+    One pattern search per query word; only words that begin like a stem are taken out and stemmed.  Without query words
+    nothing matches.  ``operators.wordindex`` answers the same from an index.
     """
-    wanted = _query_words(query)
+    wanted = query_words(query)
     text = col(text)
     if not wanted:
         return F.when(text.isNotNull(), F.lit(False))
     lowered = F.lower(text)
-    result = None
-    for word in wanted:
-        test = lowered.rlike(_word_pattern(word, stemmed))
-        result = test if result is None else result & test
-    return result
+    tests = (_has_stem(lowered, w) if stemmed else lowered.rlike(rf"(?<![a-z0-9_]){re.escape(w)}(?![a-z0-9_])") for w in wanted)
+    return reduce(lambda a, b: a & b, tests)
 
 
 def has_words_in_any(columns, query: str, stemmed: bool = True) -> Column:

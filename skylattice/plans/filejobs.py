@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.ranges import spread
+
 
 def process_files(sources: DataFrame, job: Callable[[str], str], keep_going: bool = True) -> DataFrame:
     """path, status (``ok`` or ``failed``) and the result or error text of ``job(path)`` for each source.
@@ -28,7 +30,7 @@ def process_files(sources: DataFrame, job: Callable[[str], str], keep_going: boo
                     rows.append((path, "failed", f"{type(error).__name__}: {error}"))
             yield pd.DataFrame(rows, columns=["path", "status", "result"])
 
-    return sources.select("path").repartition("path").mapInPandas(run, "path string, status string, result string")
+    return spread(sources.select("path"), "path").mapInPandas(run, "path string, status string, result string")
 
 
 def job_report(results: DataFrame) -> DataFrame:

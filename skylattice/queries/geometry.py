@@ -1,11 +1,14 @@
 """Shapes, tests, searches."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import footprint, regions as rg, sphere, stctext
-from ..operators import crossmatch, rangelist
+from ..operators import coverage, crossmatch, rangelist
 from ..plans import images as im
 from ..schema import with_metadata
+from ..session import scratch_path
 from .registry import dist_sql, query
 
 
@@ -82,6 +85,53 @@ def _circle_meets_box_sql(ra0: float, dec0: float, radius: float) -> str:
     return "(" + " OR ".join(near) + f" OR ({_point_in_box_sql(ra0, dec0)}))"
 
 
+# corners, edges and edge circles of the images: x, y, z of corners, n normal, w direction at the start, l length
+_EDGES = ("s AS (SELECT * FROM {sky_part} q), v AS (SELECT p_partkey, ra, dec, p_size / 2e1 AS h, unnest([0, 1, 2, 3]) AS k FROM s), "
+          "c AS (SELECT p_partkey, k, a, d, cos(radians(d)) * cos(radians(a)) AS x, cos(radians(d)) * sin(radians(a)) AS y, sin(radians(d)) AS z FROM ("
+          "SELECT *, ra + CASE WHEN k < 2 THEN -h ELSE h END AS a, dec + CASE WHEN k IN (0, 3) THEN -h ELSE h END AS d FROM v) q), "
+          "e AS (SELECT p.*, q.x AS bx, q.y AS by_, q.z AS bz FROM c p JOIN c q ON p.p_partkey = q.p_partkey AND q.k = (p.k + 1) % 4), "
+          "n AS (SELECT *, y * bz - z * by_ AS nx, z * bx - x * bz AS ny, x * by_ - y * bx AS nz, x * bx + y * by_ + z * bz AS ab FROM e), "
+          "f AS (SELECT *, (ny * z - nz * y) / nl AS wx, (nz * x - nx * z) / nl AS wy, (nx * y - ny * x) / nl AS wz, atan2(nl, ab) AS l FROM ("
+          "SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS nl FROM n) q)")
+
+
+def _vector(ra: float, dec: float) -> tuple[float, float, float]:
+    import math
+
+    return (math.cos(math.radians(dec)) * math.cos(math.radians(ra)), math.cos(math.radians(dec)) * math.sin(math.radians(ra)), math.sin(math.radians(dec)))
+
+
+def _crosses_sql(p: tuple[float, float], q: tuple[float, float]) -> str:
+    """Whether an edge in f crosses that of two constant points: either's ends lie on two sides of the other, on one half of the sky."""
+    c, d = _vector(*p), _vector(*q)
+    n = (c[1] * d[2] - c[2] * d[1], c[2] * d[0] - c[0] * d[2], c[0] * d[1] - c[1] * d[0])
+    of = lambda v, x, y, z: f"({v[0]!r}::DOUBLE * {x} + {v[1]!r}::DOUBLE * {y} + {v[2]!r}::DOUBLE * {z})"
+    half = tuple(u + w for u, w in zip(c, d))
+    return (f"({of(c, 'nx', 'ny', 'nz')} * {of(d, 'nx', 'ny', 'nz')} < 0 AND {of(n, 'x', 'y', 'z')} * {of(n, 'bx', 'by_', 'bz')} < 0 AND "
+            f"{of(half, '(x + bx)', '(y + by_)', '(z + bz)')} > 0)")
+
+
+def _polygon_hits_sql(inside: str, vertices) -> str:
+    """Keys of images that meet a constant polygon; ``inside`` tells whether the position a, d lies in it."""
+    crossed = " OR ".join(_crosses_sql(v, vertices[(i + 1) % len(vertices)]) for i, v in enumerate(vertices))
+    held = " OR ".join(f"({_point_in_box_sql(*v)})" for v in vertices)
+    return f"SELECT p_partkey FROM f WHERE {inside} OR {crossed} UNION SELECT p_partkey FROM s WHERE {held}"
+
+
+def _box_hits_sql(ra_min: float, ra_max: float, dec_min: float, dec_max: float) -> str:
+    """Keys of images that meet a box between meridians and parallels."""
+    within = lambda a: f"(({a} - {ra_min}) % 360 + 360) % 360 <= {ra_max - ra_min}"
+    tests = [f"({within('a')} AND d BETWEEN {dec_min} AND {dec_max})"]
+    tests += [_crosses_sql((ra, dec_min), (ra, dec_max)) for ra in (ra_min, ra_max)]
+    for dec in (dec_min, dec_max):
+        for sign in "+-":
+            turn = f"((atan2(wz, z) {sign} acos(sin(radians({dec})) / sqrt(z * z + wz * wz))) + 4 * pi()) % (2 * pi())"
+            at = f"degrees(atan2(y * cos({turn}) + wy * sin({turn}), x * cos({turn}) + wx * sin({turn})))"
+            tests.append(f"(CASE WHEN sqrt(z * z + wz * wz) > abs(sin(radians({dec}))) THEN {turn} <= l AND {within(at)} ELSE FALSE END)")
+    held = " OR ".join(f"({_point_in_box_sql(a, d)})" for a in (ra_min, ra_max) for d in (dec_min, dec_max))
+    return f"SELECT p_partkey FROM f WHERE {' OR '.join(tests)} UNION SELECT p_partkey FROM s WHERE {held}"
+
+
 _POLYGON = [(340.0, -20.0), (40.0, -25.0), (30.0, 35.0), (350.0, 30.0)]
 _NOTCHED = [(340.0, -20.0), (40.0, -25.0), (10.0, 0.0), (30.0, 35.0), (350.0, 30.0)]
 
@@ -123,7 +173,27 @@ def g7_circles_intersect(t):
     return t.images.filter(test).select("p_partkey")
 
 
-@query("g7_polygons_intersect")
+_IN_NOTCHED = f"({_inside_sql(_POLYGON, 'a', 'd')} AND NOT {_inside_sql([(40.0, -25.0), (30.0, 35.0), (10.0, 0.0)], 'a', 'd')})"
+
+
+def _segment_near_sql(p, q, radius: str) -> str:
+    """Whether the circle of an image touches the constant great-circle segment p to q."""
+    c, d = _vector(*p), _vector(*q)
+    n = (c[1] * d[2] - c[2] * d[1], c[2] * d[0] - c[0] * d[2], c[0] * d[1] - c[1] * d[0])
+    size = sum(x * x for x in n) ** 0.5
+    cd = sum(x * y for x, y in zip(c, d))
+    m = _corner_sql("ra", "dec")
+    dot = lambda v: "(" + " + ".join(f"{x!r}::DOUBLE * {y}" for x, y in zip(v, m)) + ")"
+    beside = f"{dot(d)} - {cd!r} * {dot(c)} >= 0 AND {dot(c)} - {cd!r} * {dot(d)} >= 0"
+    return (f"({dist_sql('ra', 'dec', repr(p[0]), repr(p[1]))} <= {radius} OR ({beside} AND degrees(asin(least(1, abs({dot(n)}) / {size!r}))) <= {radius}))")
+
+
+_CIRCLE_TOO = " OR ".join([f"({_inside_sql(_POLYGON)} AND NOT {_inside_sql([(40.0, -25.0), (30.0, 35.0), (10.0, 0.0)])})"] + [
+    _segment_near_sql(v, _NOTCHED[(i + 1) % 5], "p_size / 1e1") for i, v in enumerate(_NOTCHED)])
+
+
+@query("g7_polygons_intersect", f"WITH {_EDGES}, hits AS ({_polygon_hits_sql(_IN_NOTCHED, _NOTCHED)}) "
+                                f"SELECT p_partkey, ({_CIRCLE_TOO}) AS circle_too FROM s JOIN hits USING (p_partkey)")
 def g7_polygons_intersect(t):
     wanted = F.array(*(rg.point(a, d) for a, d in _NOTCHED))
     both = t.images.filter(rg.intersects(F.col("coverage"), "polygon", wanted, "polygon"))
@@ -203,7 +273,16 @@ def g15_image_center(t):
     return t.images.filter(im.box_search(264.5, 0.0, (1.0, 1.0), "CENTER")).select("p_partkey")
 
 
-@query("g15_image_modes")
+_SPAN = 7.0 / 0.9396926207859084  # half of 14 degrees at declination -20
+_BOX = (100.0 - _SPAN, 100.0 + _SPAN, -24.0, -16.0)
+_BULGE = "degrees(atan(tan(radians(dec - p_size / 2e1)) / cos(radians(p_size / 2e1))))"
+
+
+# images are smaller than the box, so none covers it; edges south of the equator bulge towards the pole
+@query("g15_image_modes", f"WITH {_EDGES}, hits AS ({_box_hits_sql(*_BOX)}) SELECT p_partkey, 'OVERLAPS' AS mode FROM hits UNION ALL "
+                          f"SELECT p_partkey, 'CENTER' FROM s WHERE {_point_in_box_sql(100.0, -20.0)} UNION ALL "
+                          f"SELECT p_partkey, 'ENCLOSED' FROM s WHERE ra - p_size / 2e1 >= {_BOX[0]} AND ra + p_size / 2e1 <= {_BOX[1]} AND "
+                          f"{_BULGE} >= -24 AND dec + p_size / 2e1 <= -16")
 def g15_image_modes(t):
     images = t.images.withColumn("reach", F.col("size"))
     params = {"POS": "100,-20", "SIZE": "14,8"}
@@ -225,11 +304,20 @@ def g16_circle_search(t):
     return t.images.filter(im.shape_search("CIRCLE 100 -20 6", center=("ra", "dec"), reach="size")).select("p_partkey")
 
 
-@query("g16_shape_search")
+_TRIANGLE = [(95.0, -25.0), (105.0, -25.0), (100.0, -10.0)]
+
+
+@query("g16_shape_search", f"WITH {_EDGES}, r AS ({_box_hits_sql(90.0, 110.0, -25.0, -15.0)}), "
+                           f"p AS ({_polygon_hits_sql(_inside_sql(_TRIANGLE, 'a', 'd'), _TRIANGLE)}) "
+                           f"SELECT p_partkey, 'CIRCLE' AS shape FROM s WHERE {_circle_meets_box_sql(100.0, -20.0, 6.0)} UNION ALL "
+                           f"SELECT p_partkey, 'RANGE' FROM r UNION ALL SELECT p_partkey, 'POLYGON' FROM p")
 def g16_shape_search(t):
     shapes = ("CIRCLE 100 -20 6", "RANGE 90 110 -25 -15", "POLYGON 95 -25 105 -25 100 -10")
+    # the corners of an image lie within its size around the centre
+    images = coverage.write_footprints(t.images.select("p_partkey", "ra", "dec", "size", "coverage"), scratch_path(t.spark, "footprints"), reach="size")
+    near = reduce(lambda a, b: a | b, map(coverage.near_shape, shapes))
     tests = (F.when(im.shape_search(text), F.lit(text.split()[0])) for text in shapes)
-    return t.images.select("p_partkey", F.explode(F.array(*tests)).alias("shape")).filter("shape IS NOT NULL")
+    return images.filter(near).select("p_partkey", F.explode(F.array(*tests)).alias("shape")).filter("shape IS NOT NULL")
 
 
 # spans as SQL: start, width, lowest and highest declination of each kind of shape, from spherical trigonometry

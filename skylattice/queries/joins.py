@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import regions
-from ..operators import crossmatch, keys, lookups, relational
+from ..operators import coverage, crossmatch, keys, lookups, relational
 from ..session import scratch_path
 from .registry import dist_sql, query
 
@@ -132,6 +132,34 @@ def j11_region_list(t):
         "c_custkey", "s_suppkey")
 
 
+_STAR = [(0.0, 1.0), (0.2, 0.25), (0.9, 0.4), (0.3, -0.2), (0.6, -0.8), (-0.1, -0.35), (-0.8, -0.7), (-0.35, 0.1)]
+_STAR_SQL = ", ".join(f"{{'i': {i}, 'u': {u}, 'w': {w}}}" for i, (u, w) in enumerate(_STAR))
+
+
+@query("j11_irregular_regions", f"""WITH v AS (SELECT p_partkey, q.i, ra + q.u * (p_size / 5e0) AS a, dec + q.w * (p_size / 5e0) AS d FROM (
+  SELECT *, unnest([{_STAR_SQL}]) AS q FROM {{sky_part}} s WHERE abs(dec) < 70) z),
+ c AS (SELECT *, cos(radians(d)) * cos(radians(a)) AS x, cos(radians(d)) * sin(radians(a)) AS y, sin(radians(d)) AS z FROM v),
+ e AS (SELECT p.p_partkey, p.x AS ax, p.y AS ay, p.z AS az, q.x AS bx, q.y AS by_, q.z AS bz FROM c p JOIN c q ON p.p_partkey = q.p_partkey AND q.i = (p.i + 1) % 8),
+ o AS (SELECT c_custkey, p_partkey, cos(radians(a.dec)) * cos(radians(a.ra)) AS x, cos(radians(a.dec)) * sin(radians(a.ra)) AS y, sin(radians(a.dec)) AS z
+  FROM {{sky_a}} a JOIN {{sky_part}} b ON {dist_sql('a.ra', 'a.dec', 'b.ra', 'b.dec')} < 35 AND abs(b.dec) < 70)
+ SELECT c_custkey, p_partkey FROM o JOIN e USING (p_partkey) GROUP BY c_custkey, p_partkey HAVING abs(sum(atan2(
+  (ay * bz - az * by_) * x + (az * bx - ax * bz) * y + (ax * by_ - ay * bx) * z,
+  ax * bx + ay * by_ + az * bz - (ax * x + ay * y + az * z) * (bx * x + by_ * y + bz * z)))) > pi()""")
+def j11_irregular_regions(t):
+    """Positions in star-shaped regions of very different sizes, found by their covers."""
+    corner = lambda u, w: regions.point(F.col("ra") + u * F.col("p_size") / 5.0, F.col("dec") + w * F.col("p_size") / 5.0)
+    areas = t.images.filter("abs(dec) < 70").select("p_partkey", F.array(*(corner(u, w) for u, w in _STAR)).alias("area"))
+    return coverage.match_shapes(t.sky_a.select("c_custkey", "ra", "dec"), areas, "area", "polygon").select("c_custkey", "p_partkey")
+
+
+@query("j10_varied_radii", f"SELECT a.c_custkey, b.s_suppkey, round({dist_sql('a.ra', 'a.dec', 'b.ra', 'b.dec')}, 6) AS dist FROM {{sky_a}} a JOIN {{sky_b}} b "
+                           f"ON {dist_sql('a.ra', 'a.dec', 'b.ra', 'b.dec')} <= 60 / pow(8, b.s_suppkey % 7)")
+def j10_varied_radii(t):
+    circles = t.sky_b.select("s_suppkey", "ra", "dec", (60 / F.pow(F.lit(8.0), F.col("s_suppkey") % 7)).alias("reach"))
+    pairs = coverage.match_circles(t.sky_a.select("c_custkey", "ra", "dec"), circles, "reach")
+    return pairs.select("c_custkey", "s_suppkey", F.round("dist", 6).alias("dist"))
+
+
 @query("j12_nearest", f"SELECT c_custkey, round({dist_sql('ra', 'dec', '120.0', '10.0')}, 6) AS dist FROM {{sky_a}} s "
                       f"ORDER BY {dist_sql('ra', 'dec', '120.0', '10.0')}, c_custkey LIMIT 10")
 def j12_nearest(t):

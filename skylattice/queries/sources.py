@@ -9,7 +9,7 @@ from ..functions.casts import to_float, to_int
 from ..operators.limits import limited
 from ..session import scratch_path
 from ..sinks import tables as sinks
-from ..sources import binary, files, fits, text, upload, votable
+from ..sources import binary, files, fits, quoted, text, upload, votable
 from ..sources.ranges import write_bytes
 from .registry import query
 
@@ -80,6 +80,18 @@ def s2_csv_skipped_lines(t):
     return read.select(to_int("key").alias("s_suppkey"), F.col("name").alias("s_name"))
 
 
+@query("s2_quoted_newlines", "SELECT doc_id, coalesce(text, '') || chr(10) || '\"the end\", said ' || lang AS text, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END AS source "
+                             "FROM documents")
+def s2_quoted_newlines(t):
+    """Whole texts as quoted fields, each over many lines, in files that are read in blocks."""
+    path = scratch_path(t.spark, "csv")
+    body = F.concat(F.coalesce("text", F.lit("")), F.lit('\n"the end", said '), "lang")
+    line = F.concat("doc_id", F.lit(',"'), F.replace(body, F.lit('"'), F.lit('""')), F.lit('",'), F.when(F.col("doc_id") % 3 != 0, F.col("source")).otherwise(""))
+    _write_lines(t.documents.select(line.alias("value")), path)
+    read = quoted.read_quoted(t.spark, path, ["doc_id", "text", "source"], block_bytes=1 << 20)
+    return read.select(to_int("doc_id").alias("doc_id"), "text", "source")
+
+
 @query("s3_fixed_columns", "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders")
 def s3_fixed_columns(t):
     path = scratch_path(t.spark, "columns")
@@ -190,6 +202,21 @@ def s9_fortran_records(t):
     return read.select(F.col("key").alias("o_orderkey"), F.col("price").alias("o_totalprice"))
 
 
+@query("s9_text_records", "SELECT doc_id, n_chars FROM documents")
+def s9_text_records(t):
+    """Records of very different lengths, whole texts behind two numbers."""
+    def build(frame):
+        out = []
+        for key, n, body in zip(frame["doc_id"], frame["n_chars"], frame["text"]):
+            data = struct.pack(">qq", key, n) + (body or "").encode()
+            out.append(struct.pack(">I", len(data)) + data + struct.pack(">I", len(data)))
+        return b"TITLE" + b"".join(out)
+
+    path = _write_binary(t.documents.select("doc_id", "n_chars", "text"), scratch_path(t.spark, "fortran"), build)
+    read = binary.read_fortran_records(t.spark, path, "key(q) n(q)", "big", skip_bytes=5, block_bytes=1 << 20)
+    return read.select(F.col("key").alias("doc_id"), F.col("n").alias("n_chars"))
+
+
 @query("s10_mysql_dump", "SELECT c_custkey, 'it''s; (' || c_name || '), ok' AS label, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS bal "
                          "FROM customer")
 def s10_mysql_dump(t):

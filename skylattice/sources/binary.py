@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import entered, file_blocks, summarised
 from .ranges import CHUNK_BYTES, file_sizes, open_input, record_chunks
 
 # fixed values: field codes -> (numpy type without byte order, Spark type)
@@ -76,57 +77,129 @@ def read_records(spark: SparkSession, path, fields: str, byte_order: str = "litt
     return chunks.mapInPandas(decode, schema)
 
 
+# --- length-armoured records -------------------------------------------------
+
+ENTRY_BYTES = 16 << 10  #: how far into a block its first record is looked for in the block's table
+
+
+def _markers(data: bytes, order: str):
+    """The number that the four bytes at each place make."""
+    import numpy as np
+
+    return np.ndarray((max(0, len(data) - 3),), "<u4" if order == "little" else ">u4", data, strides=(1,))
+
+
+def record_jumps(data: bytes, size: int, block: int, order: str):
+    """Places in the first ENTRY_BYTES of a block where a record may begin, and where a reader that begins there gets to:
+    behind the block, or to a place that no whole record begins at.
+
+    ``data`` is the block and some bytes more, ``size`` the shortest record.  A record may begin where two equal
+    lengths stand that far apart; chains of such places are followed for all of them at once.
+    """
+    import numpy as np
+
+    marker = _markers(data, order)
+    place = np.flatnonzero((marker[:block] >= size) & (marker[:block] <= max(0, len(data) - 8)))
+    length = marker[place].astype(np.int64)
+    inside = place + length + 8 <= len(data)
+    place, length = place[inside], length[inside]
+    whole = marker[place + 4 + length] == length
+    place, to = place[whole], (place + length + 8)[whole]
+    if not len(place):
+        return place, place
+    while True:  # jumps double
+        at = np.minimum(np.searchsorted(place, to), len(place) - 1)
+        goes_on = place[at] == to
+        if not goes_on.any():
+            break
+        to = np.where(goes_on, to[at], to)
+    first = place < ENTRY_BYTES
+    return place[first], to[first]
+
+
+def walk_records(stream, at: int, stop: int, length: int, size: int, order: str, path: str) -> int:
+    """The place of the first record at or behind ``stop``, from that of a record before, marker by marker."""
+    while at < stop:
+        stream.seek(at)
+        marker = int.from_bytes(stream.read(4), order)
+        if marker < size:
+            raise ValueError(f"{path}: record of {marker} bytes at {at}, {size} wanted")
+        stream.seek(at + 4 + marker)
+        if at + 8 + marker > length or int.from_bytes(stream.read(4), order) != marker:
+            raise ValueError(f"{path}: record at {at} has unequal length markers")
+        at += marker + 8
+    return at
+
+
 def read_fortran_records(spark: SparkSession, path, fields: str, byte_order: str = "little", skip_bytes: int = 0,
-                         pattern: str | None = None, chunk_records: int = 100_000) -> DataFrame:
+                         pattern: str | None = None, chunk_records: int | None = None, block_bytes: int = 8 << 20) -> DataFrame:
     """Records framed by 4-byte lengths.
 
-    A first pass walks the length markers of each file and hands out ranges of
-    records; decoding is spread over tasks.
+    Blocks of a file are looked at in parallel: each tells, for all places where its first record might begin, where the
+    next block's first record would be then.  Those tables are composed along the file, and blocks are decoded in
+    parallel.  Where a table does not have the place (records longer than ENTRY_BYTES) that block is walked.
+    Broken markers are errors that name their place.
     """
     layout, schema = record_layout(fields, byte_order)
     order = "big" if byte_order == "big" else "little"
     size = layout.itemsize
+    block_bytes = chunk_records * (size + 8) if chunk_records else block_bytes
 
-    def walk(batches):
-        import pandas as pd
+    def summary(path_: str, start: int, stop: int, length: int) -> dict:
+        import zlib
 
-        for batch in batches:
-            for path_, length in zip(batch["path"], batch["length"]):
-                spans, at = [], skip_bytes
-                with open_input(path_) as stream:
-                    start, count = at, 0
-                    while at < length:
-                        stream.seek(at)
-                        marker = int.from_bytes(stream.read(4), order)
-                        stream.seek(at + 4 + marker)
-                        if int.from_bytes(stream.read(4), order) != marker:
-                            raise ValueError(f"{path_}: record at {at} has unequal length markers")
-                        at += marker + 8
-                        count += 1
-                        if count == chunk_records:
-                            spans.append((path_, start, at))
-                            start, count = at, 0
-                    if count:
-                        spans.append((path_, start, at))
-                yield pd.DataFrame(spans, columns=["path", "start", "stop"])
+        import numpy as np
+
+        with open_input(path_) as stream:
+            stream.seek(start)
+            data = stream.read(min(length, stop + ENTRY_BYTES) - start)
+        place, to = record_jumps(data, size, stop - start, order)
+        target, of = np.unique(to, return_inverse=True)  # few, as chains run together
+        packed = [np.diff(place, prepend=0).astype("<i4"), of.astype("<i4"), target.astype("<i8")]
+        return {"n": len(place), "jumps": zlib.compress(b"".join(x.tobytes() for x in packed), 1)}
+
+    def step(state: tuple, b) -> tuple:
+        import zlib
+
+        import numpy as np
+
+        at, n = state[0], b.n
+        raw = zlib.decompress(b.jumps)
+        place, of = np.cumsum(np.frombuffer(raw, "<i4", n)), np.frombuffer(raw, "<i4", n, 4 * n)
+        target = np.frombuffer(raw, "<i8", -1, 8 * n)
+        while at < b.stop:
+            k = int(np.searchsorted(place, at - b.start))
+            if k < n and place[k] == at - b.start:
+                at = b.start + int(target[of[k]])
+            else:
+                with open_input(b.path) as stream:
+                    at = walk_records(stream, at, b.stop, b.length, size, order, b.path)
+        return (at,)
 
     def decode(batches):
         import numpy as np
 
         for batch in batches:
-            for row in batch.itertuples():
-                with open_input(row.path) as stream:
-                    stream.seek(row.start)
-                    data = stream.read(row.stop - row.start)
+            for b in batch.itertuples():
+                if b.at >= b.next_at:
+                    continue
+                with open_input(b.path) as stream:
+                    stream.seek(b.at)
+                    data = stream.read(b.next_at - b.at)
+                first = int.from_bytes(data[:4], order)
+                if len(data) % (first + 8) == 0:
+                    rows = np.frombuffer(data, np.uint8).reshape(-1, first + 8)
+                    if (rows[:, :4] == rows[0, :4]).all() and (rows[:, -4:] == rows[0, :4]).all():  # all of one length
+                        yield frame_of_records(np.frombuffer(rows[:, 4:4 + size].tobytes(), dtype=layout))
+                        continue
                 at, pieces = 0, []
                 while at < len(data):
                     marker = int.from_bytes(data[at:at + 4], order)
-                    if marker < size:
-                        raise ValueError(f"{row.path}: record of {marker} bytes, {size} wanted")
                     pieces.append(data[at + 4:at + 4 + size])
                     at += marker + 8
                 yield frame_of_records(np.frombuffer(b"".join(pieces), dtype=layout))
 
-    spans = file_sizes(spark, path, pattern).repartition("path").mapInPandas(
-        walk, "path string, start bigint, stop bigint")
-    return spans.repartition("path", "start").mapInPandas(decode, schema)
+    files = file_sizes(spark, path, pattern).withColumn("begin", F.lit(skip_bytes).cast("bigint"))
+    blocks, tasks = file_blocks(files, block_bytes)
+    tables = summarised(blocks, summary, "n int, jumps binary")
+    return entered(tables, (skip_bytes,), step, "at bigint", tasks).mapInPandas(decode, schema)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.predicates import shell_regex
-from .ranges import open_input
+from .ranges import open_input, spread
 
 
 def list_sources(spark: SparkSession, path, pattern: str | None = None, recursive: bool = True,
@@ -120,4 +120,4 @@ def prefiltered_lines(spark: SparkSession, sources: DataFrame, command: str) ->
                 if lines:
                     yield pd.DataFrame({"source_path": path, "value": lines})
 
-    return sources.select("path").repartition("path").mapInPandas(run, "source_path string, value string")
+    return spread(sources.select("path"), "path").mapInPandas(run, "source_path string, value string")

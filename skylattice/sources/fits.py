@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .binary import frame_of_records
-from .ranges import CHUNK_BYTES, file_sizes, open_input, record_chunks
+from .ranges import CHUNK_BYTES, file_sizes, open_input, record_chunks, spread
 
 BLOCK = 2880
 CARD = 80
@@ -87,7 +87,7 @@ def _headers(files: DataFrame, hdu: int) -> DataFrame:
                 rows.append((path, length, at, cards))
             yield pd.DataFrame(rows, columns=["path", "length", "data_start", "cards"])
 
-    return files.repartition("path").mapInPandas(
+    return spread(files, "path").mapInPandas(
         read, "path string, length bigint, data_start bigint, cards map<string,string>")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 32 << 20
+MOST_TASKS = 100_000
 
 
 def open_input(uri: str):
@@ -40,6 +41,15 @@ def file_sizes(spark: SparkSession, path, pattern: str | None = None) -> DataFra
     return reader.load(path).select("path", "length")
 
 
+def spread(rows: DataFrame, *keys: str, tasks: int | None = None) -> DataFrame:
+    """Rows that stand for much work each, dealt to about as many tasks.
+
+    The number is given to Spark, which would otherwise put such rows together, as they are small.
+    """
+    tasks = rows.count() if tasks is None else tasks
+    return rows.repartition(max(1, min(tasks, MOST_TASKS)), *keys)
+
+
 def record_chunks(files: DataFrame, skip, stop, record_bytes, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Byte ranges (path, start, stop, first_record) of whole records, spread over tasks.
 
@@ -57,4 +67,4 @@ def record_chunks(files: DataFrame, skip, stop, record_bytes, chunk_bytes: int =
         "start": F.col("__skip") + F.col("first_record") * F.col("__size"),
         "stop": F.col("__skip") + F.least(F.col("__count"), F.col("first_record") + F.col("__per")) * F.col("__size"),
     }).drop("__count", "__per", "__skip", "__size", "__chunk")
-    return cut.repartition("path", "start")
+    return spread(cut, "path", "start")

@@ -1,4 +1,4 @@
-"""Text formats: delimited, fixed columns, records by patterns, key-value, SQL dumps."""
+"""Text formats: delimited, fixed columns, records by patterns, key-value."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .dumps import read_mysql_dump  # noqa: F401
+from .quoted import read_quoted
+
 
 def _lines(spark: SparkSession, path, line_sep: str | None = None) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", "true")
@@ -50,11 +53,14 @@ def stop_at(records: DataFrame, pattern: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path, names=None, delimiter: str = ",", strip: bool = False,
-             top_ignored: int = 0) -> DataFrame:
-    """Delimited text with names from ``names`` or the first line; all columns are strings.
+             top_ignored: int = 0, one_line: bool = False) -> DataFrame:
+    """Delimited text with names from ``names`` or the first record; all columns are strings.
 
-    Ignored top lines come before the header.
+    Ignored top lines come before the header.  Quoted fields may hold newlines (see ``quoted``); ``one_line`` promises
+    that none does, and reads by the line.
     """
+    if not one_line:
+        return read_quoted(spark, path, names, delimiter, strip, top_ignored)
     reader = spark.read.option("sep", delimiter).option("ignoreLeadingWhiteSpace", str(strip).lower()).option(
         "ignoreTrailingWhiteSpace", str(strip).lower()).option("recursiveFileLookup", "true")
     if top_ignored == 0:
@@ -254,70 +260,6 @@ def read_split(spark: SparkSession, path, schema, separator: str = "|", null: st
         "recursiveFileLookup", "true").csv(path)
 
 
-# possessive: a long string is one step of the matcher, not one a character
-_SQL_VALUE = r"'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'|[^,()']++"
-_SQL_ROW = rf"(?s)\((?:{_SQL_VALUE}|,)*+\)"
-
-
-def _whole_statements(pieces: DataFrame) -> DataFrame:
-    """Statements from the pieces of a dump: pieces with an open string go together with those up to its end.
-
-    Only numbers and flags of pieces are ordered within a file, and only in
-    files that have an open string at all.
-    """
-    placed = pieces.withColumn("__id", F.monotonically_increasing_id())
-    bare = F.regexp_replace(F.regexp_replace("value", r"\A(?:\s*--[^\n]*\n)+", ""), r"(?s)\\.", "")
-    marked = placed.withColumn("__odd", F.length(F.translate(bare, "'", "")) % 2 != F.length(bare) % 2)
-    torn = marked.filter("__odd").select("source_path").distinct()
-    whole = marked.join(torn, "source_path", "left_anti").select("value")
-    flags = marked.join(torn, "source_path", "left_semi").select("source_path", "__block", "__id", "__odd")
-    upto = Window.partitionBy("source_path").orderBy("__block", "__id")
-    opened = F.sum(F.col("__odd").cast("int")).over(upto.rowsBetween(Window.unboundedPreceding, -1))
-    # a piece begins a statement when all strings before it are closed
-    begins = F.coalesce(opened, F.lit(0)) % 2 == 0
-    numbers = flags.withColumn("__begins", begins.cast("int")).select(
-        "source_path", "__id", F.sum("__begins").over(upto).alias("__statement"))
-    parts = placed.join(numbers, ["source_path", "__id"]).groupBy("source_path", "__statement").agg(
-        F.array_sort(F.collect_list(F.struct("__block", "__id", "value"))).alias("__parts"))
-    joined = parts.select(F.array_join(F.transform("__parts", lambda p: p["value"]), ";\n").alias("value"))
-    return whole.unionByName(joined)
-
-
-def read_mysql_dump(spark: SparkSession, path) -> DataFrame:
-    """Rows of a dump's INSERT statements into the table of its first CREATE TABLE, as strings, with the names given there.
-
-    Statements end at ``;`` before a newline, which is where files are split
-    between tasks; where that stands in a string the pieces are put together
-    again.  Statements that cannot be read to their end are errors.
-    """
-    pieces = _lines(spark, path, ";\n")
-    creates = pieces.filter(F.col("value").rlike(r"(?is)\bCREATE\s+TABLE\b"))
-    create = creates.orderBy("source_path", "__block").first()  # one row a table
-    if create is None:
-        raise ValueError(f"no CREATE TABLE in {path}")
-    found = re.search(r"(?is)\bCREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?`?([^`\s(]+)`?\s*\(", create["value"])
-    names = re.findall(r"^\s*`([^`]+)`\s", create["value"][found.end():], re.M)
-    into = rf"(?is)\A(?:\s*--[^\n]*\n|\s)*+INSERT\s+INTO\s+`?{re.escape(found[1])}`?[\s(].*?\bVALUES\s*"
-    inserts = _whole_statements(pieces).filter(F.col("value").rlike(into))
-    values = F.regexp_replace("value", into, "")
-    rest = F.regexp_replace(values, _SQL_ROW, "")
-    message = F.concat(F.lit("statement not read to its end: "), F.substring("value", 1, 200))
-    checked = F.when(rest.rlike(r"\A[\s,]*;?\s*\z"), values).otherwise(F.raise_error(message).cast("string"))
-    rows = inserts.select(F.explode(F.regexp_extract_all(checked, F.lit(_SQL_ROW), F.lit(0))).alias("row"))
-    inner = F.expr("substring(row, 2, length(row) - 2)")
-    fields = F.regexp_extract_all(inner, F.lit(f"(?s){_SQL_VALUE}"), F.lit(0))
-
-    def plain(v):
-        text = F.trim(v)
-        body_text = text.substr(F.lit(2), F.length(text) - 2)
-        unescaped = F.regexp_replace(F.regexp_replace(body_text, "''", "'"), r"(?s)\\(.)", "$1")
-        return F.when(F.upper(text) == "NULL", F.lit(None).cast("string")).when(
-            text.startswith("'"), unescaped).otherwise(text)
-
-    return rows.select(F.transform(fields, plain).alias("f")).select(
-        *(F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)))
-
-
 def read_tsv(spark: SparkSession, path, names) -> DataFrame:
     """Tab-separated text without ``#`` and blank lines; short rows leave NULLs."""
     lines = _lines(spark, path).filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
