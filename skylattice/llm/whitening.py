@@ -33,8 +33,8 @@ COMPONENTS = 8
 SCALE, SHIFT = 1024, 100_000
 LARGEST = 1e9  #: entries are held within this, so that sums of any number of rows that fits a long stay exact
 ROWS_A_BLOCK = 2048
-GUARD = 4  #: Ritz vectors beyond the wanted ones that corrections are projected against
-INNER_STEPS = 6
+GUARD = 8  #: Ritz vectors beyond the wanted ones that corrections are projected against
+INNER_STEPS = 2
 SUBSPACE = 96
 ROUNDS = 200
 PARTS = 32  #: partial sums that reach the driver
