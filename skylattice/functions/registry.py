@@ -41,10 +41,18 @@ def user_function(name: str) -> UserFunction:
 
 
 def install(spark: SparkSession, names=None) -> list[str]:
-    """Makes the functions with an SQL body known to ``spark.sql``; gives their names."""
+    """Makes functions known to ``spark.sql`` and gives their names: those named, or all with an SQL body.
+
+    A named one without an SQL body, or that is not there, is an error.
+    """
     done = []
+    missing = [n for n in names or () if n.lower() not in FUNCTIONS or FUNCTIONS[n.lower()].sql is None]
+    if missing:
+        raise ValueError(f"no SQL body for {', '.join(missing)}")
     for key, f in FUNCTIONS.items():
-        if f.sql is not None and (names is None or f.name in names):
+        if f.sql is None and names is None:
+            raise ValueError(f"{f.name} is only there as a column function; name the functions to install")
+        if names is None or f.name in names:
             spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {f.name}({f.signature}) RETURNS {f.returns} "
                       f"RETURN {f.sql}")
             done.append(key)

@@ -116,3 +116,36 @@ def stem_column(word: Column) -> Column:
                  replaced(_LATE_SUFFIXES, _SOME), last, silent, single):
         out = _then(out, step)
     return F.when((F.length(word) < 3) | ~word.rlike("^[a-z]+$"), word).otherwise(out)
+
+
+def stem_sql(word: str) -> str:
+    """SQL for the stem of a lower-case word that an expression names, as ``stem`` gives it."""
+    def then(value: str, name: str, body: str) -> str:
+        return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+    def quoted(pattern: str) -> str:
+        return "r'" + pattern + "'"
+
+    def replaced(w: str, suffixes: dict, condition: str) -> str:
+        pattern = quoted(_ending(suffixes))
+        rest, suffix = f"regexp_extract({w}, {pattern}, 1)", f"regexp_extract({w}, {pattern}, 2)"
+        fits = f"{suffix} <> ''" + (f" AND {rest} RLIKE {quoted(condition)}" if condition else "")
+        pairs = ", ".join(f"'{a}', '{b}'" for a, b in suffixes.items())
+        return f"CASE WHEN {fits} THEN concat({rest}, element_at(map({pairs}), {suffix})) ELSE {w} END"
+
+    short = f"u RLIKE {quoted(_ONE)} AND u RLIKE {quoted(_SHORT_END)}"
+    mended = (f"CASE WHEN u = w2 THEN w2 WHEN u RLIKE '(?:at|bl|iz)$' THEN concat(u, 'e') WHEN u RLIKE {quoted(r'([^aeiouylsz])\1$')} "
+              f"THEN regexp_replace(u, '.$', '') WHEN {short} THEN concat(u, 'e') ELSE u END")
+    past = f"CASE WHEN endswith(w2, 'eed') THEN {replaced('w2', {'eed': 'ee'}, _SOME)} ELSE {then(replaced('w2', {'ed': '', 'ing': ''}, _VOWEL), 'u', mended)} END"
+    pattern = quoted(_ending([*_LAST_SUFFIXES, "(?<=[st])ion"]))
+    last = f"CASE WHEN w6 RLIKE {pattern} AND regexp_extract(w6, {pattern}, 1) RLIKE {quoted(_MORE)} THEN regexp_extract(w6, {pattern}, 1) ELSE w6 END"
+    bare = "regexp_replace(w7, 'e$', '')"
+    silent = (f"CASE WHEN endswith(w7, 'e') AND ({bare} RLIKE {quoted(_MORE)} OR {bare} RLIKE {quoted(_ONE)} AND NOT {bare} RLIKE {quoted(_SHORT_END)}) "
+              f"THEN {bare} ELSE w7 END")
+    single = f"CASE WHEN endswith(w8, 'll') AND regexp_replace(w8, 'l$', '') RLIKE {quoted(_MORE)} THEN regexp_replace(w8, 'l$', '') ELSE w8 END"
+    out = word
+    for name, body in (("w1", replaced("w1", _PLURALS, "")), ("w2", past), ("w3", replaced("w3", {"y": "i"}, _VOWEL)),
+                       ("w4", replaced("w4", _DOUBLE_SUFFIXES, _SOME)), ("w5", replaced("w5", _LATE_SUFFIXES, _SOME)),
+                       ("w6", last), ("w7", silent), ("w8", single)):
+        out = then(out, name, body)
+    return f"CASE WHEN length({word}) < 3 OR NOT {word} RLIKE '^[a-z]+$' THEN {word} ELSE {out} END"

@@ -26,14 +26,14 @@ LIGHT_C = 299792458.0
 # fixed values: unit -> (factor, base unit)
 BASE_UNITS = {
     "a": (31557600.0, "s"), "A": (1, "A"), "adu": (1, "adu"), "Angstrom": (1e-10, "m"),
-    "angstrom": (1e-10, "m"), "AU": (1.49598e11, "m"), "au": (1.49598e11, "m"),
+    "angstrom": (1e-10, "m"), "\u00c5": (1e-10, "m"), "\u212b": (1e-10, "m"), "AU": (1.49598e11, "m"), "au": (1.49598e11, "m"),
     "arcmin": (math.pi / 180 / 60, "rad"), "arcsec": (math.pi / 180 / 3600, "rad"), "barn": (1, "barn"),
     "beam": (1, "beam"), "bit": (1, "bit"), "bin": (1, "bin"), "byte": (1, "byte"), "C": (1, "C"),
     "cd": (1, "cd"), "ct": (1, "ct"), "count": (1, "ct"), "chan": (1, "chan"), "D": (1e-19 / 3, "D"),
     "d": (86400.0, "s"), "deg": (math.pi / 180, "rad"), "erg": (1e-7, "J"), "eV": (1.6021766208e-19, "J"),
     "F": (1, "F"), "g": (1e-3, "kg"), "G": (1e-4, "T"), "h": (3600.0, "s"), "H": (1, "H"), "Hz": (1, "Hz"),
     "J": (1, "J"), "Jy": (1, "Jy"), "K": (1, "K"), "lm": (1, "lm"), "lx": (1, "lx"),
-    "lyr": (2627980686828.0, "m"), "m": (1, "m"), "mag": (1, "mag"), "mas": (math.pi / 180 / 3.6e6, "rad"),
+    "lyr": (9460730472580800.0, "m"), "m": (1, "m"), "mag": (1, "mag"), "mas": (math.pi / 180 / 3.6e6, "rad"),
     "min": (60.0, "s"), "mol": (1, "mol"), "N": (1, "N"), "Ohm": (1, "Ohm"), "Pa": (1, "Pa"),
     "pc": (3.0857e16, "m"), "ph": (1, "ph"), "photon": (1, "ph"), "pix": (1, "pix"), "pixel": (1, "pix"),
     "R": (1, "R"), "rad": (1, "rad"), "Ry": (2.17989e-18, "J"), "s": (1, "s"), "S": (1, "S"),
@@ -42,8 +42,10 @@ BASE_UNITS = {
     "Wb": (1, "Wb"), "yr": (31557600.0, "s"), "cy": (3155760000.0, "s"),
 }
 # fixed values: units taking no prefix
-UNPREFIXED = frozenset(
-    "AU au D Ry arcmin beam bin chan d h mas min ph photon pix pixel solLum solMass solRad voxel cy".split())
+UNPREFIXED = {
+    "AU", "au", "D", "Ry", "arcmin", "beam", "bin", "chan", "d", "h", "mas", "min", "ph", "photon", "pix", "pixel",
+    "solLum", "solMass", "solRad", "voxel", "cy",
+}
 # fixed values: decimal prefixes
 PREFIXES = {
     "d": 1e-1, "c": 1e-2, "m": 1e-3, "u": 1e-6, "n": 1e-9, "p": 1e-12, "f": 1e-15, "a": 1e-18, "z": 1e-21,
@@ -63,13 +65,13 @@ def _atom(name: str) -> tuple[float, str]:
     raise UnitError(f"unknown unit {name!r}")
 
 
-_FACTOR = re.compile(r"\s*([./*]?)\s*([A-Za-z]+)(?:(?:\*\*|\^)?\(?([+-]?\d+(?:\.\d+)?)\)?)?")
+_FACTOR = re.compile(r"\s*([./*]?)\s*([A-Za-z\u00c5\u212b]+)(?:(?:\*\*|\^)?\(?([+-]?\d+(?:\.\d+)?)\)?)?")
 
 
 def si_form(unit: str) -> tuple[float, dict[str, float]]:
     """Factor and powers of base units of a product such as ``km/s`` or ``cm**-1``."""
     rest, total, powers = unit.strip(), 1.0, {}
-    lead = re.match(r"(\d+(?:\.\d+)?(?:\*\*[+-]?\d+)?(?:[eE][+-]?\d+)?)\s*(?=[A-Za-z])", rest)
+    lead = re.match(r"(\d+(?:\.\d+)?(?:\*\*[+-]?\d+)?(?:[eE][+-]?\d+)?)\s*(?=[A-Za-z\u00c5\u212b])", rest)
     if lead:
         number = lead.group(1)
         if "**" in number:

@@ -24,8 +24,12 @@ def expand_integers(df: DataFrame, start: str, end: str, out: str = "ind") -> Da
     """
     low, high = _as_int(df, start), _as_int(df, end)
     usable = low.isNotNull() & high.isNotNull()
-    values = F.when(~usable, F.array(F.lit(None).cast("bigint"))).when(low <= high, F.sequence(low, high))
-    return df.withColumn(out, F.explode(values))
+    # blocks of numbers first, then the numbers of a block: no array grows with the range
+    blocks = F.when(~usable, F.array(F.lit(None).cast("bigint"))).when(low <= high, F.sequence(low, high, F.lit(_BLOCK).cast("bigint")))
+    df = df.withColumns({"__block": F.explode(blocks), "__high": high})
+    values = F.when(F.col("__block").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(
+        F.sequence("__block", F.least(F.col("__block") + (_BLOCK - 1), F.col("__high"))))
+    return df.withColumn(out, F.explode(values)).drop("__block", "__high")
 
 
 def expand_dates(df: DataFrame, start: str, end: str, out: str = "cur_time", hours=24.0) -> DataFrame:

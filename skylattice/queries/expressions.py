@@ -436,6 +436,18 @@ def z1_sql_functions(t):
                        "sky_contains_circle(ra, dec, 120D, 10D, 40D) AS inside FROM {s}", s=t.sky_a)
 
 
+@query("z1_sql_geometry", f"SELECT a.c_custkey, CAST({dist_sql('ra', 'dec', '100.0', '-20.0')} <= 40 AS INT) AS inside, round({dist_sql('ra', 'dec', '10.0', '80.0')}, 6) AS d, "
+                          f"{dist_sql('ra', 'dec', '250.0', '40.0')} <= 12 + c_custkey % 5 AS met, "
+                          f"CASE WHEN c_name ILIKE '%customer%' THEN 1 ELSE 0 END AS named FROM {{sky_a}} a")
+def z1_sql_geometry(t):
+    """Shapes, tests and word search as SQL text."""
+    sqlpack.install(t.spark)
+    return t.spark.sql("""SELECT c_custkey, sky_contains(point('ICRS', ra, dec), circle('ICRS', 100D, -20D, 40D)) AS inside,
+        round(distance(point('ICRS', ra, dec), point('ICRS', 10D, 80D)), 6) AS d,
+        intersects(circle('ICRS', ra, dec, CAST(c_custkey % 5 AS DOUBLE)), circle('ICRS', 250D, 40D, 12D)) = 1 AS met,
+        CAST(hasword(replace(c_name, '#', ' '), 'customers') AS INT) AS named FROM {s}""", s=t.sky_a)
+
+
 @query("z1_registry", f"SELECT event_id, round({mjd_sql('ts')}, 6) AS mjd FROM events")
 def z1_registry(t):
     sqlpack.install(t.spark)

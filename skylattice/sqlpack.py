@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .functions import healpix, regions, registry, sphere, text, times
+from . import sqlgeometry  # noqa: F401
+from .functions import regions, registry, sphere, text, times
 from .functions.registry import UserFunction, register
 
 _HAVERSINE = ("degrees(2 * asin(sqrt(least(1D, pow(sin(radians(dec2 - dec1) / 2), 2) + cos(radians(dec1)) * "
@@ -34,12 +35,6 @@ register(UserFunction("nocasematch", "s STRING, pattern STRING", "INT", "LIKE wi
 register(UserFunction("hashlist_has", "list STRING, item STRING", "INT", "Membership in a #-joined list, as 0 or 1.",
                       sql="CAST(array_contains(split(list, '#'), lower(item)) AS INT)", column=text.hashlist_has,
                       predicate=True))
-register(UserFunction("hasword", "haystack, needle", "BOOLEAN", "Whether a text holds all words of a query.",
-                      column=text.has_words, predicate=True))
-register(UserFunction("apply_pm", "ra, dec, pmra, pmde, epdist", "STRUCT", "Position after proper motion.",
-                      column=sphere.move))
-register(UserFunction("healpix_index", "order, ra, dec", "BIGINT", "Nested cell of a position.",
-                      column=healpix.healpix_index))
 register(UserFunction("log_natural", "x DOUBLE", "DOUBLE", "LOG of the dialect.", sql="ln(x)", column=F.ln))
 register(UserFunction("square", "x DOUBLE", "DOUBLE", "x times x.", sql="x * x", column=lambda x: x * x))
 register(UserFunction("truncate_to", "x DOUBLE, n INT", "DOUBLE", "x cut towards zero at n decimals.",
