@@ -14,6 +14,7 @@ from ..session import scratch_path
 #: ASCII white space as the contracts have it: words are runs of anything else
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+PAUSE = 0.4  #: seconds that Spark's cleaner gets after a collection
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +31,11 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps now: it does when the driver collects its garbage, which a
-    driver with little to do puts off while the disks fill."""
+    driver with little to do puts off while the disks fill.  A workaround: Spark has no call for it."""
     for _ in range(3):  # plans first, then what only they held
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+        time.sleep(PAUSE)
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:

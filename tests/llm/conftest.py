@@ -2,6 +2,10 @@ import random
 
 import pytest
 
+from skylattice.llm import common
+
+common.PAUSE = 0  # the tests' disks do not fill
+
 WORDS = "the of and to a in is that it was for on are with as be at this have from or by one had not but what all were".split()
 
 
