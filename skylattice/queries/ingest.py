@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import times
 from ..operators import expand, keys, lookups, mapping, predicates  # noqa: F401
 from ..operators.mapping import RowMaker
 from ..schema import ColumnSpec, TableSpec, structure_differences
 from ..session import scratch_path
-from ..sinks import tables as sinks
-from .registry import query
+from ..sinks import layout, tables as sinks
+from .registry import mjd_sql, query
 
 RAW_SPEC = TableSpec("typed", (
     ColumnSpec("event_id", "bigint", required=True), ColumnSpec("when_", "timestamp_ntz"),
@@ -248,6 +249,16 @@ def i24_sky_clustering(t):
     return spans.crossJoin(total).agg(F.sum("n").alias("rows"), (F.sum(F.col("b") - F.col("a")) <= F.max("whole")).alias("sorted"))
 
 
+@query("i24_curve_layout", f"SELECT o_orderkey FROM (SELECT *, o_custkey * 7919 % 36000 / 1e2 AS ra FROM orders) q WHERE ra BETWEEN 100 AND 120 AND "
+                           f"{mjd_sql('o_orderdate')} BETWEEN 50000 AND 50200")
+def i24_curve_layout(t):
+    """Rows laid out along a curve through position, time and price, searched by two of the three."""
+    path = scratch_path(t.spark, "layout")
+    rows = t.orders.select("o_orderkey", (F.col("o_custkey") * 7919 % 36000 / 100.0).alias("ra"), times.mjd("o_orderdate").alias("t"), "o_totalprice")
+    layout.write_layout(rows, path, ["ra", "t", "o_totalprice"], files=27)
+    return layout.read_layout(t.spark, path, {"ra": (100.0, 120.0), "t": (50000.0, 50200.0)}).select("o_orderkey")
+
+
 @query("i25_split_names", "SELECT o_orderkey, unnest([o_orderstatus, o_orderpriority]) AS author FROM orders")
 def i25_split_names(t):
     authors = F.concat_ws("; ", "o_orderstatus", "o_orderpriority", F.lit("et al."))

@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from ..functions import times
-from ..operators import filterexpr, predicates as p, rangelist
+from ..operators import filterexpr, intervals, predicates as p, rangelist
 from ..operators.predicates import Condition, search_filter
 from .registry import mjd_sql, query
 
@@ -203,3 +203,16 @@ def p36_by_key(t):
 def p37_delete(t):
     rows = t.documents.select("doc_id").join(t.labels, "doc_id", "left")
     return p.delete_matching(rows, F.col("quality") == 1).select("doc_id")
+
+
+_SPANS = "(SELECT s_suppkey, 50000 + s_suppkey * 37 % 1500 AS lo, CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE 50000 + s_suppkey * 37 % 1500 + pow(2, s_suppkey % 12) END AS hi FROM supplier)"
+
+
+@query("p26_interval_table", f"SELECT s_suppkey, count(*) AS n FROM orders JOIN {_SPANS} q ON {mjd_sql('o_orderdate')} >= lo AND ({mjd_sql('o_orderdate')} <= hi OR hi IS NULL) "
+                             "GROUP BY s_suppkey")
+def p26_interval_table(t):
+    """Dates in intervals that are rows of a table: short, long, nested and open ones."""
+    start = (50000 + F.col("s_suppkey") * 37 % 1500).cast("double")
+    spans = t.supplier.select("s_suppkey", start.alias("lo"), F.when(F.col("s_suppkey") % 11 != 0, start + F.pow(F.lit(2.0), F.col("s_suppkey") % 12)).alias("hi"))
+    dates = t.orders.select(times.mjd("o_orderdate").alias("mjd"))
+    return intervals.match_intervals(dates, spans, "mjd", "lo", "hi").groupBy("s_suppkey").agg(F.count("*").alias("n"))
