@@ -1,17 +1,15 @@
 """N-gram Jaccard join by a token-group matrix.
 
-A document's set holds its distinct shingles of five words as 64-bit hashes.  Equal sets form one class.  Classes that meet
-in a bucket of a smallest hash (of several hashes, each with its own bands of sizes) are compared with one leader of the
-bucket; what is similar is connected, and connected classes are a group.  Then the matrix tells for each token which groups have
-it.  Tokens are ordered from rare to frequent, and two sets of similarity t share k of the first n - ceil(t n) + k tokens
-of either: only such tokens are kept in the matrix.  A class asks for the other groups that k of its own first tokens occur in.
-Groups found so are bounded by the overlap of the class with the union of the group's tokens and opened only if that can
-reach t; in an opened group the exact sets are compared.
+A document's set holds its distinct shingles of five words as 64-bit hashes.  Equal sets form one class.  Classes that are
+likely to be similar (size band and smallest shingle) are put into groups; the matrix tells for each token which groups
+have it.  Tokens are ordered from rare to frequent, and two sets of similarity t share k of the first
+n - ceil(t n) + k tokens of either: only such tokens are kept in the matrix.  A class asks for the groups that k of its own
+first tokens occur in.  Groups found so are bounded by the overlap of the class with the union of the group's tokens and opened
+only if that can reach t; in an opened group the exact sets are compared.
 
 What counts is connectivity, so pairs that are connected already are not compared again: a large group of copies costs
-a few comparisons a member and is one entry a token in the matrix.  Token order comes from counts over all documents: each
-task reports tokens it meets several times, the sums are hashed into a table of fixed size, and any order, exact or
-not, gives the same links.
+one comparison a member.  Token order comes from counts over all documents: each task reports tokens it meets several
+times, the sums are hashed into a table of fixed size, and any order, exact or not, gives the same links.
 
 Defined results: null and empty texts have no shingle and link with nothing; rows without doc_id get n_shingles and no
 component; repeated rows belong to one class; different texts of one doc_id are documents of their own; very long texts are
@@ -36,7 +34,6 @@ LIKE, OF = 75, 100  #: linked when OF * intersection >= LIKE * union
 STEP = 32  #: a set of n tokens must share 1 + n // STEP early ones
 CELL_BITS = 20  #: size of the table of token frequencies
 WINDOW = 1 << 20  #: tokens a task looks at together when it reports frequent ones
-FIRST_KEYS, KEYS = 2, 6  #: smallest hashes a class is dealt out by, in a first and in both rounds
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,27 +69,19 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield batch, [shingles(x.as_py(), known) for x in batch.column("text").cast(pa.binary())]
 
 
-def _class_columns(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Size and two digests of each set."""
+def _class_columns(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Size, two digests and group of each set."""
     n = np.array([len(s) for s in sets], np.int64)
     d1 = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
     d2 = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets], np.uint64).view(np.int64)
-    return n, d1, d2
+    least = np.array([s[0] if len(s) else 0 for s in sets], np.uint64)
+    band = np.floor(np.log(np.maximum(n, 1)) / np.log(OF / LIKE)).astype(np.uint64)
+    group = ((least ^ (band * _MIX)) * _MIX >> np.uint64(33)).astype(np.int64).astype(np.int32)
+    return n, d1, d2, group
 
 
-def _buckets(sets: list[np.ndarray], n: np.ndarray) -> pa.ListArray:
-    """For each set the buckets it is dealt into: a smallest hash with a band of sizes, the bands of each hash shifted."""
-    out = np.zeros((len(sets), KEYS), np.uint64)
-    for k in range(KEYS):
-        salt = np.uint64(0x632BE59BD9B4E019 * (k + 1) % (1 << 64))
-        least = np.array([((s ^ salt) * _MIX ^ (s >> np.uint64(31))).min() if len(s) else 0 for s in sets], np.uint64)
-        band = np.floor(np.log(np.maximum(n, 1)) / np.log(OF / LIKE) + k / KEYS).astype(np.uint64)
-        out[:, k] = (least ^ (band * _MIX)) * _MIX
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * KEYS), pa.array(out.ravel().view(np.int64)))
-
-
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()),
-                     ("buckets", pa.list_(pa.int64())), ("token", pa.int64()), ("times", pa.int64())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("g", pa.int32()),
+                     ("token", pa.int64()), ("times", pa.int64())])
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,13 +92,14 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def frequent() -> pa.RecordBatch:
         tokens, times = np.unique(np.concatenate(list(window.values()) or [np.empty(0, np.uint64)]), return_counts=True)
         tokens, times = tokens[times > 2], times[times > 2]
-        none = [pa.nulls(len(tokens), f.type) for f in _SIGNED][:-2]
-        return pa.RecordBatch.from_arrays([*none, pa.array(tokens.view(np.int64)), pa.array(times)], schema=_SIGNED)
+        none = pa.nulls(len(tokens), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, none, none, none, pa.nulls(len(tokens), pa.int32()),
+                                           pa.array(tokens.view(np.int64)), pa.array(times)], schema=_SIGNED)
 
     for batch, sets in _texts(batches):
-        n, d1, d2 = _class_columns(sets)
+        n, d1, d2, group = _class_columns(sets)
         none = pa.nulls(len(n), pa.int64())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "k1", "k2")), *map(pa.array, (n, d1, d2)), _buckets(sets, n), none, none],
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "k1", "k2")), *map(pa.array, (n, d1, d2, group)), none, none],
                                          schema=_SIGNED)
         for key, s in zip(d1.tolist(), sets):
             if key not in window and len(s):
@@ -135,24 +125,22 @@ def _first_tokens(tokens: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, in
 
 
 #: n is negative for the tokens that are enough for larger sets
-_POSTED = pa.schema([("token", pa.int64()), ("cid", pa.int64()), ("g", pa.int64()), ("n", pa.int32())])
+_POSTED = pa.schema([("token", pa.int64()), ("cid", pa.int64()), ("g", pa.int32()), ("n", pa.int32())])
 
 
 def _postings(cells) -> callable:
-    """First tokens of the rows whose text has the class that the row names."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _texts(batches):
-            n, d1, _ = _class_columns(sets)
-            cid, group = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cid", "g"))
-            own = np.flatnonzero((d1 == cid) & (n > 0))
-            firsts = [_first_tokens(sets[i], cells.value) for i in own]
+        for _, sets in _texts(batches):
+            sets = [s for s in sets if len(s)]
+            n, d1, _, group = _class_columns(sets)
+            firsts = [_first_tokens(s, cells.value) for s in sets]
             sizes = np.array([len(f) for f, _ in firsts], np.int64)
             if not len(sizes):
                 continue
             early = np.concatenate([np.arange(len(f)) < k for f, k in firsts])
             tokens = np.concatenate([f for f, _ in firsts]).view(np.int64)
-            size = np.repeat(n[own], sizes).astype(np.int32)
-            columns = [tokens, np.repeat(cid[own], sizes), np.repeat(group[own], sizes), np.where(early, -size, size)]
+            size = np.repeat(n, sizes).astype(np.int32)
+            columns = [tokens, np.repeat(d1, sizes), np.repeat(group, sizes), np.where(early, -size, size)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_POSTED)
     return run
 
@@ -163,7 +151,7 @@ _SETS = pa.schema([("cid", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sets of the rows whose text has the class that the row names (a repeated doc_id may have several)."""
     for batch, sets in _texts(batches):
-        _, d1, _ = _class_columns(sets)
+        _, d1, _, _ = _class_columns(sets)
         same = d1 == batch.column("cid").to_numpy(zero_copy_only=False)
         kept = [s.view(np.int64) for s, k in zip(sets, same) if k]
         offsets = np.concatenate([[0], np.cumsum([len(s) for s in kept])]).astype(np.int32)
@@ -182,17 +170,19 @@ def _cells(counts: DataFrame):
     return counts.sparkSession.sparkContext.broadcast(table)
 
 
-def candidates(texts: DataFrame, counts: DataFrame) -> DataFrame:
-    """Distinct (q, gq, g): the set q of the group gq may have a similar one in the group g.  ``texts``: cid, g, text."""
-    cells = _cells(counts)
+def candidates(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """Distinct (q, gq, g): the set q may have a similar one in the group g."""
+    cells = _cells(signed.filter("token IS NOT NULL").select("token", "times"))
     # both sides of the join read all columns of one exchange, so that Spark runs it once
-    posted = texts.mapInArrow(_postings(cells), "token long, cid long, g long, n int").repartition("token")
+    posted = docs.select("text").mapInArrow(_postings(cells), "token long, cid long, g int, n int").repartition("token")
     early = F.col("n") < 0
     matrix = posted.groupBy("token", "g").agg(
-        F.min(F.when(early, -F.col("n"))).alias("n_low"), F.max(F.when(early, -F.col("n"))).alias("n_high"))
+        F.min(F.when(early, -F.col("n"))).alias("n_low"), F.max(F.when(early, -F.col("n"))).alias("n_high"),
+        F.min(F.when(early, F.col("cid"))).alias("low"), F.max(F.when(early, F.col("cid"))).alias("high"))
     q = posted.select("token", F.col("cid").alias("q"), F.col("g").alias("gq"), F.coalesce(F.abs("n"), F.lit(0)).alias("n"))
-    met = q.join(matrix, "token").filter((F.col("g") != F.col("gq")) & (F.col("n_low") <= F.col("n"))
-                                         & (OF * F.col("n_high").cast("long") >= LIKE * F.col("n")))
+    met = q.join(matrix, "token").filter(
+        (F.col("n_low") <= F.col("n")) & (OF * F.col("n_high").cast("long") >= LIKE * F.col("n"))
+        & ~((F.col("g") == F.col("gq")) & (F.col("low") == F.col("high")) & (F.col("low") == F.col("q"))))
     shared = met.groupBy("q", "gq", "g", "n").agg(F.count(F.lit(1)).alias("shared"))
     return shared.filter(F.col("shared") > F.floor(F.col("n") / STEP)).select("q", "gq", "g")
 
@@ -265,65 +255,49 @@ def _opened(asks: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
     return left.groupBy("g", "kq", "km").cogroup(right.groupBy("g", "kq", "km")).applyInArrow(_open, "a long, b long")
 
 
-def _texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(columns of classes but doc_id, text): the rows that the classes name; the texts stream past the classes."""
-    return docs.select("doc_id", "text").join(classes.hint("shuffle_hash"), "doc_id").drop("doc_id")
-
-
-def _stars(classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of a bucket's leader and another class in it, with the first of the hashes (j) that brings them
-    together; each hash has leaders of its own."""
-    dealt = classes.select("cid", F.posexplode("buckets").alias("j", "bucket"))
-    leader = F.min(F.struct(F.xxhash64("cid", "j").alias("h"), "cid"))
-    leaders = dealt.groupBy("j", "bucket").agg(leader.alias("l"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    pairs = dealt.join(leaders.select("j", "bucket", F.col("l.cid").alias("leader")), ["j", "bucket"]).filter("cid <> leader")
-    return pairs.groupBy(F.least("cid", "leader").alias("a"), F.greatest("cid", "leader").alias("b")).agg(F.min("j").alias("j"))
-
-
-def _grouped(df: DataFrame, known: DataFrame, cid: str, out: str) -> DataFrame:
-    return df.join(known.withColumnRenamed("node", cid), cid, "left").withColumn(out, F.coalesce("component", cid)).drop("component")
-
-
-def class_links(docs: DataFrame, counts: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) between classes that connect whatever similarity connects.  ``classes``: cid, doc_id, buckets."""
-    spark = docs.sparkSession
-    stars = settled(_stars(classes), "stars")
-    involved = stars.select(F.col("a").alias("cid")).union(stars.select("b")).distinct()
-    sets = settled(_texts_of(docs, classes.select("cid", "doc_id").join(involved, "cid")).mapInArrow(_sets, "cid long, tokens array<long>"), "sets")
-    release(spark)
-    near = settled(_linked(stars.filter(F.col("j") < FIRST_KEYS).select("a", "b"), sets), "near")
-    known = settled(components(near), "known")
-    rest = _grouped(_grouped(stars.filter(F.col("j") >= FIRST_KEYS), known, "a", "ga"), known, "b", "gb").filter("ga <> gb").select("a", "b")
-    near = near.union(settled(_linked(rest, sets), "nearer"))
-    release(spark)
-    known = settled(components(near), "groups")
-    placed = settled(_grouped(classes.select("cid", "doc_id"), known, "cid", "g"), "placed")
-    asked = settled(candidates(_texts_of(docs, placed), counts), "asked")
-    release(spark)
-    members = placed.join(asked.select("g").distinct(), "g", "left_semi")
-    asking = placed.join(asked.select(F.col("q").alias("cid")).distinct(), "cid", "left_semi").select(*placed.columns)
-    involved = members.select(*placed.columns).union(asking).select("cid", "doc_id").distinct()
-    sets = settled(_texts_of(docs, involved).mapInArrow(_sets, "cid long, tokens array<long>"), "sets")
-    release(spark)
-    asks = settled(asked.select("q", F.col("gq").alias("comp"), "g"), "asks")
-    opened = _opened(asks, members.select("g", "cid", F.col("g").alias("comp")), sets)
-    return near.union(settled(opened, "opened"))
+def class_links(docs: DataFrame, signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between classes that connect whatever similarity connects."""
+    asked = settled(candidates(docs, signed), "candidates")
+    release(docs.sparkSession)
+    groups = asked.select("g").distinct()
+    involved = classes.join(groups, "g", "left_semi").select("cid", "g", "doc_id").union(
+        classes.join(asked.select(F.col("q").alias("cid")).distinct(), "cid", "left_semi").select("cid", "g", "doc_id")).distinct()
+    involved = settled(involved, "involved")
+    sets = settled(docs.select("doc_id", "text").join(
+        involved.select("doc_id", "cid").hint("merge"), "doc_id").select("cid", "text").mapInArrow(
+        _sets, "cid long, tokens array<long>"), "sets")
+    release(docs.sparkSession)
+    leaders = involved.groupBy("g").agg(F.min("cid").alias("leader"))
+    members = involved.join(leaders, "g")
+    stars = members.filter("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b"))
+    across = asked.filter("g <> gq").join(leaders.withColumnRenamed("leader", "b"), "g").join(
+        leaders.select(F.col("g").alias("gq"), F.col("leader").alias("a")), "gq").select(F.least("a", "b"), F.greatest("a", "b"))
+    near = settled(_linked(stars.union(across).distinct(), sets), "near")
+    known = components(near)
+
+    def with_component(df: DataFrame, cid: str) -> DataFrame:
+        return df.join(known.withColumnRenamed("node", cid), cid, "left").withColumn("comp", F.coalesce("component", cid)).drop("component")
+
+    members = settled(with_component(involved.select("cid", "g"), "cid"), "members")
+    parts = members.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    open_for = with_component(asked.select("q", "g"), "q").join(parts, "g").filter("low <> comp OR high <> comp")
+    rest = settled(_opened(settled(open_for.select("q", "comp", "g"), "asks"), members, sets), "opened")
+    return near.union(rest)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     """doc_id, k1, k2 (the row's key), n and component_id of every row."""
     k1, k2 = row_key("doc_id", "text")
-    signed = settled(docs.select("doc_id", "text").select("doc_id", "text", k1.alias("k1"), k2.alias("k2")).mapInArrow(
-        _signatures, "doc_id long, k1 long, k2 long, n long, d1 long, d2 long, buckets array<long>, token long, times long"), "signatures")
+    signed = settled(docs.select("doc_id", "text", k1.alias("k1"), k2.alias("k2")).mapInArrow(
+        _signatures, "doc_id long, k1 long, k2 long, n long, d1 long, d2 long, g int, token long, times long"), "signatures")
     rows = signed.filter("n IS NOT NULL")
-    # min_by of equal sets: their buckets are equal as well
     classes = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy(F.col("d1").alias("cid")).agg(
-        F.min("doc_id").alias("doc_id"), F.first("buckets").alias("buckets"),
+        F.min("doc_id").alias("doc_id"), F.min("g").alias("g"),
         F.assert_true(F.min("d2") == F.max("d2"), "two sets share a digest").alias("ok"))
-    classes = settled(classes.filter("ok IS NULL").select("cid", "doc_id", "buckets"), "classes")
-    counts = signed.filter("token IS NOT NULL").select("token", "times")
-    links = class_links(docs.filter("doc_id IS NOT NULL"), counts, classes)
-    found = _grouped(classes.select("cid", "doc_id"), components(links), "cid", "comp")
+    classes = settled(classes.filter("ok IS NULL").select("cid", "doc_id", "g"), "classes")
+    links = class_links(docs.filter("doc_id IS NOT NULL"), signed, classes)
+    found = classes.join(components(links).withColumnRenamed("node", "cid"), "cid", "left").select(
+        "cid", "doc_id", F.coalesce("component", "cid").alias("comp"))
     smallest = found.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     of_class = settled(found.join(smallest, "comp").select("cid", "component_id"), "components")
     alone = F.when(F.col("n") == 0, F.col("doc_id"))

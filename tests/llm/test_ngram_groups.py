@@ -70,23 +70,6 @@ def test_texts_of_one_id_are_judged_row_by_row(spark):
     assert found[:2] == [(1, a), (2, b)] and len(found) == 3 and found[2][0] == 3
 
 
-def test_near_copies_ask_little(spark, monkeypatch):
-    """Copies with changes are one group before the matrix is asked: what is asked grows with their number, not its square."""
-    asked = {}
-    for n in (100, 400):
-        rng = random.Random(9)
-        base = prose(rng, 150)
-        rows = [(i, varied(rng, base, rng.randrange(1, 3))) for i in range(n)] + [(1000 + i, prose(rng, 50)) for i in range(40)]
-        counted = []
-        whole = ngram_groups.candidates
-        monkeypatch.setattr(ngram_groups, "candidates", lambda *a: counted.append(whole(*a)) or counted[-1])
-        found = {r["doc_id"]: r["component_id"] for r in ngram_groups.near_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-        monkeypatch.setattr(ngram_groups, "candidates", whole)
-        assert found == {k: c for k, (_, c) in by_brute_force(rows).items()}
-        asked[n] = counted[0].count()
-    assert asked[400] <= 400 + 6 * asked[100]
-
-
 def test_odd_rows(odd_docs, no_docs):
     rows = ngram_groups.near_documents(odd_docs).collect()
     found = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in rows}
