@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from ..streaming import feeds
+from ..streaming import feeds, state
 from .registry import query
 
 
@@ -51,6 +51,18 @@ def r2_stream_drop(t):
     return table.read()
 
 
+@query("r2_keyed_state", "SELECT user_id, event_id, event_type, value, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id "
+                         "ORDER BY event_id DESC) AS r FROM events) q WHERE r = 1")
+def r2_keyed_state(t):
+    """The newest row of each user, kept in the stream's state; files come newest first, so most records are late."""
+    path, checkpoint = scratch_path(t.spark, "incoming"), scratch_path(t.spark, "progress")
+    df = t.events.select("user_id", "event_id", "event_type", "value", "ts")
+    df.repartitionByRange(3, F.desc("event_id")).write.parquet(path)
+    stream = feeds.new_files(t.spark, path, df.schema, max_files=1)
+    state.keep_keyed(stream, scratch_path(t.spark, "changes"), ["user_id"], "event_id", checkpoint, by_order=True).awaitTermination()
+    return state.keyed_rows(t.spark, checkpoint, df.schema, ["user_id"])
+
+
 @query("r3_single_inserts", "SELECT s_suppkey, s_name FROM supplier UNION ALL SELECT -1, 'added'")
 def r3_single_inserts(t):
     path = scratch_path(t.spark, "records")

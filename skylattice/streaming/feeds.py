@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import keys
+from . import state
 
 
 def new_files(spark: SparkSession, path: str, schema, file_format: str = "parquet", max_files: int | None = None,
@@ -42,6 +43,8 @@ class KeyedTable:
     A batch writes its own rows only, to a place named by its number, so a
     batch that runs again replaces what it wrote before.  Readers merge base
     and log; :meth:`compact` turns both into a new base from time to time.
+    Where a stream's state can hold the keys, ``state.keep_keyed`` does the
+    same with no table to merge.
     """
 
     def __init__(self, spark: SparkSession, path: str, key_columns, order: str, policy: str = "overwrite"):
@@ -128,16 +131,8 @@ def change_feed(stream: DataFrame, stamp: str, key: str, lateness: str = "1 hour
 def settled_feed(stream: DataFrame, path: str, stamp: str, key: str, checkpoint: str) -> StreamingQuery:
     """Feeds everything that is there now into a table with each (key, time stamp) once, however late a record comes.
 
-    Each batch is settled against the stored keys instead of a watermark's
-    state, and written to a place named by its number: a batch that runs
-    again replaces itself.
+    What has been seen is kept in the query's state on disk; a batch looks up its own records only.
     """
-    def settle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key, stamp])
-        if batch_id and _exists(spark, path):
-            stored = spark.read.parquet(path).filter(F.col("batch") < batch_id).select(F.col(key).alias("__k"), F.col(stamp).alias("__s"))
-            fresh = fresh.join(stored, F.col(key).eqNullSafe(F.col("__k")) & F.col(stamp).eqNullSafe(F.col("__s")), "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return stream.writeStream.foreachBatch(settle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with state.rocks_state(stream.sparkSession):
+        return state.settled(stream, key, stamp).writeStream.format("parquet").outputMode("append").option(
+            "checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
