@@ -146,18 +146,20 @@ def _tile(key: tuple, cells: pa.Table) -> pa.Table:
     """Prices of one tile: sums and numbers of walked columns of ordered pairs of groups, and each group's best terms."""
     lang, _, block_a, block_b = (k.as_py() for k in key)
     whole = block_a == block_b  # a tile of two blocks of groups gives the pairs across only
-    names, rows = np.unique(np.array(cells["source"].to_pylist(), object), return_inverse=True)
-    terms, columns = np.unique(np.array(cells["term"].to_pylist(), object), return_inverse=True)
+    names, rows = np.unique(np.array(cells["source"].to_pylist(), object), return_inverse=True)  # those without a count here too
     field = {k: cells[k].to_numpy() for k in ("times", "total", "n", "v", "n_lang", "block")}
+    sizes, blocks = np.zeros(len(names) + 1, np.int64), np.zeros(len(names) + 1, np.int64)
+    sizes[rows + 1], blocks[rows + 1] = field["n"] + field["v"], field["block"]
+    sizes[0], blocks[0] = field["n_lang"][0] + field["v"][0], -1  # row 0 is the language
+    counted = cells["term"].is_valid().to_numpy()
+    rows, field = rows[counted], {k: x[counted] for k, x in field.items()}
+    terms, columns = np.unique(np.array(cells["term"].drop_null().to_pylist(), object), return_inverse=True)
     of_column = np.zeros(len(terms), np.int64)
     of_column[columns] = field["total"]
     frequent = np.lexsort((np.arange(len(terms)), -of_column))  # full columns side by side, so that quadrants are full or empty
     place = np.empty_like(frequent)
     place[frequent] = np.arange(len(terms))
     terms, of_column, columns = terms[frequent], of_column[frequent], place[columns]
-    sizes, blocks = np.zeros(len(names) + 1, np.int64), np.zeros(len(names) + 1, np.int64)
-    sizes[rows + 1], blocks[rows + 1] = field["n"] + field["v"], field["block"]
-    sizes[0], blocks[0] = field["n_lang"][0] + field["v"][0], -1  # row 0 is the language
     every = np.arange(len(terms))
     tree = QuadTree(np.concatenate([np.zeros(len(terms), np.int64), rows + 1]), np.concatenate([every, columns]),
                     np.concatenate([of_column, field["times"]]), (len(names) + 1, len(terms)))
@@ -206,9 +208,13 @@ def divergences(docs: DataFrame, least_docs: int = LEAST_DOCS, columns: int = CO
     sizes = groups.join(cells.groupBy("lang", "source").agg(F.sum("times").alias("n")), ["lang", "source"], "left").join(
         languages, "lang", "left").join(groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / rows).alias("blocks")), "lang")
     sizes = settled(sizes.fillna(0, ["n", "v", "n_lang"]), "groups")
-    dealt = cells.join(sizes, ["lang", "source"]).withColumns({
-        "block": F.pmod(F.xxhash64("source"), "blocks"), "strip": F.pmod(F.xxhash64("term"), F.ceil(F.col("v") / columns)),
-        "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
+    strips = F.ceil(F.col("v") / columns)
+    # a group stands in every strip, as its zeros have another price where another group's counts are
+    groups_of = sizes.filter("v > 0").withColumn("strip", F.explode(F.sequence(F.lit(0).cast("long"), strips - 1))).selectExpr(
+        "*", "CAST(NULL AS STRING) AS term", "0L AS times", "0L AS total")
+    counts = cells.join(sizes, ["lang", "source"]).withColumn("strip", F.pmod(F.xxhash64("term"), strips))
+    dealt = counts.unionByName(groups_of).withColumns({
+        "block": F.pmod(F.xxhash64("source"), "blocks"), "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
     tiles = dealt.groupBy("lang", "strip", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
     priced = settled(tiles.applyInArrow(_tile, "lang string, source string, part string, item string, value long, columns long"), "priced")
     walked = priced.filter("part = 'pair'").groupBy("lang", "source", "item").agg(

@@ -294,7 +294,7 @@ class Whitening:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for ids, known, x in _integers(batches):
                 deviation = n * x - sums
-                if np.abs(deviation).max() ** 2 * float(x.shape[1]) < 2.0 ** 62:
+                if float(np.abs(deviation).max()) ** 2 * x.shape[1] < 2.0 ** 62:
                     square = pa.array(np.square(deviation).sum(axis=1)).cast(pa.decimal128(38, 0))
                 else:
                     square = pa.array(_split_squares(deviation), pa.decimal128(38, 0))
