@@ -99,7 +99,8 @@ def centroid(shape, kind: str) -> Column:
     return point(col(shape)["ra"], col(shape)["dec"])
 
 
-def _vectors(vertices) -> Column:
+def polygon_vectors(vertices) -> Column:
+    """The corners of a polygon as unit vectors."""
     return F.transform(col(vertices), lambda v: sphere.unit_vector(v["ra"], v["dec"]))
 
 
@@ -141,7 +142,7 @@ def area_circle(c) -> Column:
 
 def area_polygon(vertices) -> Column:
     """Square degrees of a polygon, by the signed triangles from its first vertex."""
-    vectors = _vectors(vertices)
+    vectors = polygon_vectors(vertices)
 
     def excess(v):
         first = F.element_at(v, 1)
@@ -175,7 +176,12 @@ def _vector_in_polygon(p: Column, vectors: Column) -> Column:
 def point_in_polygon(p, vertices) -> Column:
     """Whether a point lies in a polygon, convex or not."""
     p = col(p)
-    both = F.struct(sphere.unit_vector(p["ra"], p["dec"]).alias("p"), _vectors(vertices).alias("v"))
+    return vector_in_polygon(sphere.unit_vector(p["ra"], p["dec"]), polygon_vectors(vertices))
+
+
+def vector_in_polygon(p, vectors) -> Column:
+    """As :func:`point_in_polygon`, for a point and corners that are unit vectors already."""
+    both = F.struct(col(p).alias("p"), col(vectors).alias("v"))
     return _bind(both, lambda s: _vector_in_polygon(s["p"], s["v"]))
 
 
@@ -205,13 +211,13 @@ def _edge_distance(p: Column, e: Column) -> Column:
     beside = (_triple(_cross(a, b), a, p) >= 0) & (_triple(b, _cross(a, b), p) >= 0)
     to_end = lambda q: F.atan2(_norm(_cross(p, q)), _dot(p, q))
     return F.when(
-        (normal_size > 0) & beside, F.asin(F.least(F.lit(1.0), F.abs(_triple(a, b, p)) / normal_size))
+        (normal_size > 0) & beside, F.asin(F.least(F.lit(1.0), F.try_divide(F.abs(_triple(a, b, p)), normal_size)))
     ).otherwise(F.least(to_end(a), to_end(b)))
 
 
 def circle_in_polygon(c, vertices) -> Column:
     c = col(c)
-    both = F.struct(sphere.unit_vector(c["ra"], c["dec"]).alias("p"), _vectors(vertices).alias("v"),
+    both = F.struct(sphere.unit_vector(c["ra"], c["dec"]).alias("p"), polygon_vectors(vertices).alias("v"),
                     F.radians(c["radius"]).alias("r"))
     return _bind(both, lambda s: _vector_in_polygon(s["p"], s["v"]) & F.forall(
         _zip_edges(s["v"]), lambda e: _edge_distance(s["p"], e) >= s["r"] - _EDGE))
@@ -231,7 +237,7 @@ def _any_crossing(v: Column, w: Column) -> Column:
 
 def polygon_in_polygon(inner, outer) -> Column:
     """All vertices inside and no edges crossing."""
-    both = F.struct(_vectors(inner).alias("v"), _vectors(outer).alias("w"))
+    both = F.struct(polygon_vectors(inner).alias("v"), polygon_vectors(outer).alias("w"))
     return _bind(both, lambda s: F.forall(s["v"], lambda p: _vector_in_polygon(p, s["w"]))
                  & ~_any_crossing(s["v"], s["w"]))
 
@@ -243,14 +249,14 @@ def circles_intersect(c, d) -> Column:
 
 def circle_intersects_polygon(c, vertices) -> Column:
     c = col(c)
-    both = F.struct(sphere.unit_vector(c["ra"], c["dec"]).alias("p"), _vectors(vertices).alias("v"),
+    both = F.struct(sphere.unit_vector(c["ra"], c["dec"]).alias("p"), polygon_vectors(vertices).alias("v"),
                     F.radians(c["radius"]).alias("r"))
     return _bind(both, lambda s: _vector_in_polygon(s["p"], s["v"]) | F.exists(
         _zip_edges(s["v"]), lambda e: _edge_distance(s["p"], e) <= s["r"] + _EDGE))
 
 
 def polygons_intersect(a, b) -> Column:
-    both = F.struct(_vectors(a).alias("v"), _vectors(b).alias("w"))
+    both = F.struct(polygon_vectors(a).alias("v"), polygon_vectors(b).alias("w"))
     return _bind(both, lambda s: _vector_in_polygon(F.element_at(s["v"], 1), s["w"])
                  | _vector_in_polygon(F.element_at(s["w"], 1), s["v"]) | _any_crossing(s["v"], s["w"]))
 
@@ -396,8 +402,8 @@ def _dec_at_edges(v: Column) -> Column:
         def within_edge(n_):
             size = _norm(n_)
             flat = F.sqrt(n_["x"] * n_["x"] + n_["y"] * n_["y"])
-            top = F.struct((-n_["x"] * n_["z"] / (flat * size)).alias("x"),
-                           (-n_["y"] * n_["z"] / (flat * size)).alias("y"), (flat / size).alias("z"))
+            top = F.struct(F.try_divide(-n_["x"] * n_["z"], flat * size).alias("x"),
+                           F.try_divide(-n_["y"] * n_["z"], flat * size).alias("y"), F.try_divide(flat, size).alias("z"))
             between = lambda t: (_triple(n_, a, t) >= 0) & (_triple(b, n_, t) >= 0)
             low_point = F.struct((-top["x"]).alias("x"), (-top["y"]).alias("y"), (-top["z"]).alias("z"))
             usable = (size > 1e-15) & (flat > 1e-15)
@@ -420,22 +426,22 @@ def polygon_in_constant_box(vertices, limits) -> Column:
         return F.forall(_dec_at_edges(v), lambda x: (x["low"] >= dec_min - _EDGE) & (x["high"] <= dec_max + _EDGE))
 
     if dec_max >= 90 or dec_min <= -90:
-        return corners & _bind(_vectors(vertices), bulges)
+        return corners & _bind(polygon_vectors(vertices), bulges)
     poles = F.array(_literal_vector((0, 0, 1)), _literal_vector((0, 0, -1)))
-    return corners & _bind(_vectors(vertices), lambda v: bulges(v) & ~F.exists(
+    return corners & _bind(polygon_vectors(vertices), lambda v: bulges(v) & ~F.exists(
         poles, lambda p: _vector_in_polygon(p, v)))
 
 
 def _edge_basis(e: Column) -> Column:
-    """Start a of a segment, its direction w there, and its length."""
+    """Start a of a segment, its direction w there (NULL where both ends are the same), and its length."""
     a, b = e["a"], e["b"]
 
     def basis(n):
         size = _norm(n)
         w = _cross(n, a)
         return F.struct(
-            a["x"].alias("ax"), a["y"].alias("ay"), a["z"].alias("az"), (w["x"] / size).alias("wx"),
-            (w["y"] / size).alias("wy"), (w["z"] / size).alias("wz"), F.atan2(size, _dot(a, b)).alias("length"))
+            a["x"].alias("ax"), a["y"].alias("ay"), a["z"].alias("az"), F.try_divide(w["x"], size).alias("wx"),
+            F.try_divide(w["y"], size).alias("wy"), F.try_divide(w["z"], size).alias("wz"), F.atan2(size, _dot(a, b)).alias("length"))
 
     return _bind(_cross(a, b), basis)
 
@@ -445,7 +451,7 @@ def _parallel_turns(g: Column, z0: Column) -> Column:
     radius = F.sqrt(g["az"] * g["az"] + g["wz"] * g["wz"])
     return F.struct(
         *(g[c].alias(c) for c in ("ax", "ay", "wx", "wy", "length")),
-        F.atan2(g["wz"], g["az"]).alias("phase"), F.acos(z0 / radius).alias("swing"),
+        F.atan2(g["wz"], g["az"]).alias("phase"), F.acos(F.try_divide(z0, radius)).alias("swing"),
         F.coalesce((g["length"] > 1e-15) & (radius > F.abs(z0)), F.lit(False)).alias("reaches"))
 
 
@@ -503,7 +509,7 @@ def polygon_intersects_constant_box(vertices, limits) -> Column:
     ra_min, dec_min, ra_max, dec_max = limits
     inside = F.exists(col(vertices), lambda v: in_constant_box(v["ra"], v["dec"], *limits))
     corner = _literal_vector(_cartesian(ra_min, dec_min))
-    return inside | _bind(_vectors(vertices), lambda v: _vector_in_polygon(corner, v)
+    return inside | _bind(polygon_vectors(vertices), lambda v: _vector_in_polygon(corner, v)
                           | _box_boundary_crossed(v, limits))
 
 
@@ -515,7 +521,7 @@ def polygon_covers_constant_box(vertices, limits) -> Column:
     else:
         corners = [(ra_min, dec_min), (ra_min, dec_max), (ra_max, dec_max), (ra_max, dec_min)]
     literal = F.array(*(_literal_vector(_cartesian(*corner)) for corner in corners))
-    return _bind(_vectors(vertices), lambda v: F.forall(literal, lambda c: _vector_in_polygon(c, v))
+    return _bind(polygon_vectors(vertices), lambda v: F.forall(literal, lambda c: _vector_in_polygon(c, v))
                  & ~_box_boundary_crossed(v, limits))
 
 
