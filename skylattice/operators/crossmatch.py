@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sphere
-from .skew import salted
+from .skew import salted, spread_pairs
 
 MIN_ZONE_HEIGHT = 1.0 / 3600
 _ZONE_STEP = 1 << 32
@@ -80,8 +80,9 @@ def crossmatch(left: DataFrame, right: DataFrame, radius, left_ra="ra", left_dec
     ``right`` is the side that is copied to neighbouring cells, so pass the
     smaller table there.  ``radius`` may be the name of a column of ``right``,
     with ``max_radius`` fixing the cell size (bigger radii stay correct and
-    just touch more cells).  Blocks of cells holding very many rows of
-    ``left`` are spread over tasks.  ``how`` is ``inner``, ``left_semi`` or ``left_anti``.
+    just touch more cells).  Cells with more than ``slice_rows`` pairs to look
+    at are spread over tasks; for semi and anti joins blocks of cells
+    holding more than that many rows of ``left``.  ``how`` is ``inner``, ``left_semi`` or ``left_anti``.
     Columns with the same name on both sides get the suffixes.
     """
     per_row = isinstance(radius, str)
@@ -99,16 +100,16 @@ def crossmatch(left: DataFrame, right: DataFrame, radius, left_ra="ra", left_dec
     reach = named(radius, right_suffix) if per_row else F.lit(float(radius))
     a = with_cell(left.filter(ra1.isNotNull() & dec1.isNotNull()) if how == "inner" else left, ra1, dec1, height)
     b = with_touched_cells(right.filter(ra2.isNotNull() & dec2.isNotNull()), ra2, dec2, reach, height)
-    shift = block_shift(height)
-    a, b = (df.withColumn("__block", F.shiftright("__cell", shift)) for df in (a, b))
-    a, b = salted(a, b, ["__block"], slice_rows)
-    a, b = a.drop("__block"), b.drop("__block")
     if how == "inner":
+        a, b = spread_pairs(a, b, ["__cell"], slice_rows)
         pairs = a.join(b, ["__cell", "__salt"]).drop("__salt")
         close = sphere.haversine_term(ra1, dec1, ra2, dec2)
         pairs = pairs.withColumn(distance, F.degrees(2 * F.asin(F.sqrt(F.least(F.lit(1.0), close)))))
         return pairs.filter(F.col(distance) <= reach).drop("__cell")
     if how in ("left_semi", "left_anti"):
+        shift = block_shift(height)
+        a, b = (df.withColumn("__block", F.shiftright("__cell", shift)) for df in (a, b))
+        a, b = (df.drop("__block") for df in salted(a, b, ["__block"], slice_rows))
         condition = (a["__cell"] == b["__cell"]) & (a["__salt"] == b["__salt"]) & sphere.within(
             ra1, dec1, ra2, dec2, reach)
         return a.join(b, condition, how).drop("__cell", "__salt")

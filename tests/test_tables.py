@@ -197,3 +197,20 @@ def test_cone_prunes_the_scan(spark, tmp_path):
     pushed = plan[plan.index("PushedFilters"):]
     assert "GreaterThanOrEqual(dec" in pushed and "LessThanOrEqual(ra" in pushed
     assert found.count() == spark.read.parquet(path).filter(sphere.within("ra", "dec", 120.0, 10.0, 5.0)).count()
+
+
+def test_pairs_are_dealt_over_tasks(spark):
+    """Few small rows with many pairs go to as many tasks as the pairs take, whatever their bytes and files."""
+    left = spark.range(3000).coalesce(1).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id") % 50).alias("k"), "id")
+    right = spark.range(400).coalesce(1).select((F.col("id") % 20).alias("k"), F.col("id").alias("w"))
+    a, b = skew.spread_pairs(left, right, ["k"], pair_rows=500)
+    pairs, plain = a.join(b, ["k", "__salt"]).drop("__salt"), left.join(right, ["k"])
+    assert pairs.count() == plain.count() > 40_000 and pairs.exceptAll(plain).count() == 0
+    sizes = [n for (n,) in pairs.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) > 30 and max(sizes) < 5_000
+    assert a.rdd.getNumPartitions() == b.rdd.getNumPartitions() == -(-plain.count() // 500) or a.rdd.getNumPartitions() == plain.count() // 500
+
+
+def test_matches_run_in_many_tasks(spark):
+    a, b = _sky(spark, 3000, 1, 0.5).coalesce(1), _sky(spark, 300, 2, 0.5).coalesce(1)
+    assert crossmatch.crossmatch(a, b, 3.0, slice_rows=2000).rdd.getNumPartitions() >= 8
