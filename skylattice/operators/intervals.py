@@ -10,12 +10,12 @@ values are dealt over several tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_path
-from .skew import salted
+from .skew import salted_join, spread_pairs
 
 LEVELS = 16
 
@@ -52,11 +52,12 @@ def _blocks(a: Column, b: Column) -> Column:
 
 
 def match_intervals(values: DataFrame, intervals: DataFrame, value: str, low: str, high: str, half_open: bool = False,
-                    slice_rows: int = 1_000_000) -> DataFrame:
+                    slice_rows: int = 1_000_000, counted: str | None = None) -> DataFrame:
     """Pairs of rows of ``values`` and ``intervals`` with low <= value <= high (value < high if ``half_open``).
 
     A NULL end is open; values that are NULL or NaN match nothing, intervals whose ends are the wrong way round hold nothing.
-    The tables' column names must differ.
+    The tables' column names must differ.  With ``counted`` the result is each interval that holds a value, with their
+    number in that column: as many as its pairs, but none of them is made.  Blocks with many pairs are spread over tasks.
     """
     shared = set(values.columns) & set(intervals.columns)
     if shared:
@@ -65,6 +66,8 @@ def match_intervals(values: DataFrame, intervals: DataFrame, value: str, low: st
     v, lo, hi = _number(values, value), _number(intervals, low), _number(intervals, high)
     kept = intervals.withColumns({"__lo": F.coalesce(lo, F.lit(float("-inf"))), "__hi": F.coalesce(hi, F.lit(float("inf")))}).filter(
         ~F.isnan("__lo") & ~F.isnan("__hi") & (F.col("__lo") <= F.col("__hi")))
+    if counted:
+        return _counted(values.select(v.alias("__x")), kept, half_open, slice_rows, counted).select(*intervals.columns, counted)
     finite = lambda c: F.when(F.abs(c) < float("inf"), c)
     ends = kept.agg(F.least(F.min(finite(F.col("__lo"))), F.min(finite(F.col("__hi")))).alias("a"),
                     F.greatest(F.max(finite(F.col("__lo"))), F.max(finite(F.col("__hi")))).alias("b")).first()
@@ -79,13 +82,46 @@ def match_intervals(values: DataFrame, intervals: DataFrame, value: str, low: st
     placed = values.withColumn("__v", v).filter(F.col("__v").isNotNull() & ~F.isnan("__v")).withColumn(
         "__leaf", _leaf(F.col("__v"), first, step)).withColumn("__level", F.explode(used)).withColumn(
         "__block", F.call_function("shiftright", F.col("__leaf"), F.col("__level"))).drop("__leaf")
-    a, b = salted(placed, blocks, ["__level", "__block"], slice_rows)
+    a, b = spread_pairs(placed, blocks, ["__level", "__block"], slice_rows)
     pairs = a.join(b, ["__level", "__block", "__salt"])
     upper = F.col("__v") < F.col("__hi") if half_open else F.col("__v") <= F.col("__hi")
     # an open end holds whatever comes, infinities too
     return pairs.filter((F.col("__lo") <= F.col("__v")) & (upper | (F.col("__hi") == float("inf")))).select(*values.columns, *intervals.columns)
 
 
+def _counted(values: DataFrame, kept: DataFrame, half_open: bool, slice_rows: int, out: str) -> DataFrame:
+    """Intervals (__lo, __hi) with the number of values (__x) in them, where it is not 0.
+
+    Values and ends are put in one order; an interval holds as many values as there are up to its higher end less those
+    before its lower one.  The order is cut into slices, with the counts of earlier slices as offsets.
+    """
+    spark = kept.sparkSession
+    # at the same place, ends that come before the values sort as 0, values as 1, ends that come after them as 2
+    after = F.when(F.col("__hi") < float("inf"), 0).otherwise(2) if half_open else F.lit(2)
+    kept = kept.withColumns({"__lo": F.col("__lo") + 0.0, "__hi": F.col("__hi") + 0.0, "__after": after})  # no negative zeros
+    at = values.filter(F.col("__x").isNotNull() & ~F.isnan("__x")).select((F.col("__x") + 0.0).alias("__x"), F.lit(1).alias("__kind"), F.lit(1).alias("__n"))
+    ends = [kept.select(F.col(end).alias("__x"), kind.alias("__kind"), F.lit(0).alias("__n")) for end, kind in (
+        ("__lo", F.lit(0)), ("__hi", F.col("__after")))]
+    places = at.unionByName(ends[0]).unionByName(ends[1]).groupBy("__x", "__kind").agg(F.sum("__n").alias("__n"))
+    path = scratch_path(spark, "places")
+    places.write.parquet(path)
+    places = spark.read.parquet(path)
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-places.count() // slice_rows))
+    path = scratch_path(spark, "slices")
+    places.repartitionByRange(slices, "__x", "__kind").withColumn("__slice", F.spark_partition_id()).write.parquet(path)
+    places = spark.read.parquet(path)
+    earlier = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # a row a slice
+    offsets = places.groupBy("__slice").agg(F.sum("__n").alias("__of")).select("__slice", F.coalesce(F.sum("__of").over(earlier), F.lit(0)).alias("__before"))
+    so_far = F.sum("__n").over(Window.partitionBy("__slice").orderBy("__x", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranks = places.withColumn("__upto", so_far).filter("__kind <> 1").join(F.broadcast(offsets), "__slice").select(
+        "__x", "__kind", (F.col("__upto") + F.col("__before")).alias("__rank"))
+    low = ranks.select(F.col("__x").alias("__lo"), F.col("__kind").alias("__first"), F.col("__rank").alias("__below"))
+    high = ranks.select(F.col("__x").alias("__hi"), F.col("__kind").alias("__after"), F.col("__rank").alias("__upto"))
+    found = salted_join(kept.withColumn("__first", F.lit(0)), low, ["__lo", "__first"], slice_rows=slice_rows)
+    found = salted_join(found, high, ["__hi", "__after"], slice_rows=slice_rows)
+    return found.withColumn(out, F.col("__upto") - F.col("__below")).filter(F.col(out) > 0)
+
+
 def match_overlaps(left: DataFrame, right: DataFrame, left_low: str, left_high: str, right_low: str, right_high: str,
                    slice_rows: int = 1_000_000) -> DataFrame:
     """Pairs of rows whose closed intervals share a value; NULL ends are open.

@@ -215,4 +215,4 @@ def p26_interval_table(t):
     start = (50000 + F.col("s_suppkey") * 37 % 1500).cast("double")
     spans = t.supplier.select("s_suppkey", start.alias("lo"), F.when(F.col("s_suppkey") % 11 != 0, start + F.pow(F.lit(2.0), F.col("s_suppkey") % 12)).alias("hi"))
     dates = t.orders.select(times.mjd("o_orderdate").alias("mjd"))
-    return intervals.match_intervals(dates, spans, "mjd", "lo", "hi").groupBy("s_suppkey").agg(F.count("*").alias("n"))
+    return intervals.match_intervals(dates, spans, "mjd", "lo", "hi", counted="held").groupBy("s_suppkey").agg(F.sum("held").alias("n"))

@@ -61,3 +61,15 @@ def test_other_types_and_refusals(spark):
     assert intervals.match_intervals(values, spans.limit(0), "t", "a", "b").count() == 0
     with pytest.raises(ValueError):
         intervals.match_intervals(values, spans.withColumnRenamed("k", "i"), "t", "a", "b")
+
+
+@pytest.mark.parametrize("half_open", [False, True])
+def test_counted_intervals_equal_their_pairs(spark, half_open):
+    values, spans = tables(spark, random.Random(5))
+    values = values.unionByName(spark.createDataFrame([(9100, -0.0), (9101, 0.0), (9102, 0.0)], "i int, v double"))
+    spans = spans.unionByName(spans.limit(20)).unionByName(spark.createDataFrame([(950, -0.0, 0.0), (951, 0.0, 3.0), (None, 0.0, 5.0)], "k int, lo double, hi double"))
+    pairs = intervals.match_intervals(values, spans, "v", "lo", "hi", half_open).groupBy("k").count().collect()
+    for slice_rows in (20, 1_000_000):
+        found = intervals.match_intervals(values, spans, "v", "lo", "hi", half_open, slice_rows, counted="n")
+        assert found.columns == ["k", "lo", "hi", "n"] and found.count() <= spans.count()
+        assert {tuple(r) for r in found.groupBy("k").sum("n").collect()} == {tuple(r) for r in pairs}
