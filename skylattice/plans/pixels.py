@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import regions, stctext
 from ..functions._args import col, num
 from ..functions.units import LIGHT_C, conversion_factor
+from ..session import scratch_path
+from ..sources.ranges import spread
 from .images import pixel_slice
 
 
@@ -96,7 +98,14 @@ def region_cut(pixels: DataFrame, images: DataFrame, key: str, text: str) -> Dat
         area = regions.box_to_polygon(regions.interval_box(ra_min, dec_min, ra_max, dec_max))
     else:
         area = shape.column()
-    ranges = images.select(key, pixel_slice(area).alias("__r")).filter(F.col("__r").isNotNull())
+    # the region is the same for all images: its corners are worked out once; an image is a small row and much work
+    corners = pixels.sparkSession.range(1).select(area.alias("v")).first()["v"]
+    area = F.array(*(regions.point(p["ra"], p["dec"]) for p in corners))
+    images = spread(images, key, tasks=int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # kept before they are filtered: a filter would move into the scan of the images, and to its few tasks
+    slices, path = images.select(key, pixel_slice(area).alias("__r")), scratch_path(images.sparkSession, "slices")
+    slices.write.parquet(path)
+    ranges = images.sparkSession.read.schema(slices.schema).parquet(path).filter(F.col("__r").isNotNull())
     inside = (F.col("x").between(F.col("__r.x0"), F.col("__r.x1"))
               & F.col("y").between(F.col("__r.y0"), F.col("__r.y1")))
     kept = pixels.join(ranges, key).filter(inside)

@@ -109,3 +109,18 @@ def test_ra_halfwidth_bounds_cone():
         if half < 180:
             assert math.sin(math.radians(half)) == pytest.approx(
                 math.sin(math.radians(radius)) / math.cos(math.radians(dec)))
+
+
+def test_pixel_slices_of_a_region_are_worked_out_once_and_in_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from skylattice.plans import pixels
+
+    images = spark.range(40).coalesce(1).selectExpr(
+        "id AS k", "array(100, 80) AS pixelSize", "array(50.5D, 40.5D) AS wcs_refPixel", "array(id * 9D, 0D) AS wcs_refValues",
+        "array(-0.05D, 0D, 0D, 0.05D) AS wcs_cdmatrix")
+    grid = images.select("k", F.explode(F.sequence(F.lit(1), F.lit(100))).alias("x")).withColumn("y", F.explode(F.sequence(F.lit(1), F.lit(80))))
+    cut = pixels.region_cut(grid, images, "k", "CIRCLE 90 0 1")
+    found = {r["k"]: (r["n"], r["a"], r["b"]) for r in cut.groupBy("k").agg(F.count("*").alias("n"), F.max("x").alias("a"), F.max("y").alias("b")).collect()}
+    assert list(found) == [10] and found[10] == (42 * 42, 42, 42)
+    assert "sin(" not in cut._jdf.queryExecution().optimizedPlan().toString().lower()
