@@ -10,7 +10,7 @@ from ..operators.limits import limited
 from ..session import scratch_path
 from ..sinks import tables as sinks
 from ..sources import binary, files, fits, quoted, text, upload, votable
-from ..sources.ranges import write_bytes
+from ..sources.ranges import spread, write_bytes
 from .registry import query
 
 
@@ -42,8 +42,11 @@ def _write_binary(df, path, build):
 
 
 def _write_groups(df, path, group, order):
-    """Text files by group: the lines of a group in order, in one file."""
-    df.repartition(group).sortWithinPartitions(group, order).select("value", group).write.partitionBy(group).text(path)
+    """Text files by group: the lines of a group in order, in one file.
+
+    Writing a file is much work for a few rows, so Spark is told the number of tasks.
+    """
+    spread(df, group, tasks=int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).sortWithinPartitions(group, order).select("value", group).write.partitionBy(group).text(path)
     return path
 
 
@@ -308,7 +311,8 @@ def s12_fits_headers(t):
                 write_bytes(f"{path}/{row.s_suppkey}.fits", build_one(row))
             yield pd.DataFrame({"n": [len(batch)]})
 
-    t.sky_b.select("s_suppkey", "s_name", "ra", "dec").mapInPandas(run, "n bigint").count()
+    rows = t.sky_b.select("s_suppkey", "s_name", "ra", "dec")
+    spread(rows, "s_suppkey", tasks=int(t.spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(run, "n bigint").count()
     read = fits.read_headers(t.spark, path, ["OBJ-ID", "OBJECT", "CRVAL1", "CRVAL2"], pattern="*.fits")
     return read.select(to_int("OBJ_ID").alias("s_suppkey"), F.col("OBJECT").alias("s_name"), to_float("CRVAL1").alias("ra"),
                        to_float("CRVAL2").alias("dec"))

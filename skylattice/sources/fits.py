@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .ranges import CHUNK_BYTES, file_sizes, open_input, record_chunks, spread
 
 BLOCK = 2880
+FILES_A_TASK = 100
 CARD = 80
 
 
@@ -89,7 +90,10 @@ def _headers(files: DataFrame, hdu: int) -> DataFrame:
                 rows.append((path, length, at, cards))
             yield pd.DataFrame(rows, columns=["path", "length", "data_start", "cards"])
 
-    return spread(files, "path").mapInPandas(
+    # a task for each of a few files, a hundred files a task when there are very many
+    count = files.count()
+    tasks = min(count, max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // FILES_A_TASK))
+    return spread(files, "path", tasks=tasks).mapInPandas(
         read, "path string, length bigint, data_start bigint, cards map<string,string>")
 
 

@@ -78,3 +78,18 @@ def test_files_of_different_layouts(spark, tmp_path):
     (tmp_path / "3.fits").write_bytes(table([("1K", "a", {}), ("1E", "b", {"TSCAL": "2"})], [struct.pack(">qf", 1, 2.0)]))
     with pytest.raises(ValueError, match="different columns"):
         fits.read_table(spark, str(tmp_path))
+
+
+def test_files_of_one_row_each_are_written_and_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from skylattice.queries import sources
+    from skylattice.sources import fits
+
+    rows = spark.range(400).coalesce(1).select(F.col("id").alias("g"), F.col("id").cast("string").alias("value"), F.lit(0).alias("o"))
+    path = sources._write_groups(rows, str(tmp_path / "groups"), "g", "o")
+    tasks = spark.read.text(path).select(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).alias("t"), "g")
+    assert tasks.count() == 400 and tasks.select("t").distinct().count() > 4
+    monkeypatch.setattr(fits, "FILES_A_TASK", 10)
+    files = spark.range(400).selectExpr("concat('x', id) AS path", "id AS length")
+    assert fits._headers(files, 0).rdd.getNumPartitions() == 40
