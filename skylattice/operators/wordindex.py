@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stemming import stem, stem_column
 from ..functions.text import query_words, words_of
+from ..session import scratch_path
 
 BLOCK_BITS = 16
 FOLDERS = 64
@@ -32,7 +33,10 @@ def write_index(df: DataFrame, key: str, columns, path: str, folders: int = FOLD
     place = F.col(key).cast("bigint")
     words = df.filter(place.isNotNull()).select(F.explode(F.array_distinct(words_of(text))).alias("word"), place.alias("key"))
     block, offset = F.shiftright("key", BLOCK_BITS), F.col("key").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
-    lists = words.groupBy("word", block.alias("block")).agg(F.collect_set(offset).alias("keys"))
+    # texts are cut into words once: the lists of words are kept, as they are read several times below
+    kept = scratch_path(df.sparkSession, "word-lists")
+    words.groupBy("word", block.alias("block")).agg(F.collect_set(offset).alias("keys")).write.parquet(kept)
+    lists = df.sparkSession.read.schema("word string, block bigint, keys array<int>").parquet(kept)
     # stems are worked out once a word
     stems = lists.select("word").distinct().withColumn("term", stem_column(F.col("word")))
     by_stem = lists.join(stems, "word").groupBy("term", "block").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))

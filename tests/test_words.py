@@ -70,3 +70,17 @@ def test_search_opens_only_its_folders(spark, indexed):
     found = wordindex.search_index(spark, path, "ontions", folders=8)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "folder" in plan.split("PartitionFilters")[1].split("]")[0] and "EqualTo(term" in plan
+
+
+def test_texts_are_cut_into_words_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(value):
+        seen.add(1)
+        return value
+
+    texts = spark.createDataFrame([(i, f"word{i % 7} galaxy") for i in range(50)], "k long, text string").select("k", counted("text").alias("text"))
+    wordindex.write_index(texts, "k", "text", str(tmp_path / "index"), folders=4)
+    assert seen.value == 50
+    assert wordindex.search_index(spark, str(tmp_path / "index"), "galaxy", folders=4).count() == 50
