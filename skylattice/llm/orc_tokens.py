@@ -5,8 +5,9 @@ run-length encoding, in stripes that readers take in parallel, with row indexes
 rows) and Bloom filters on doc_id: a filter on documents reads only stripes and row groups that can hold them.  Each row
 also tells its number and its first id's place in the file, so the place in the whole corpus needs one sum per file.
 
-The encoder takes a text apart with the tokenizer's own pattern and remembers the ids of frequent parts; texts with
-characters on whose class libraries may differ, or with a special token's string, go to the tokenizer as a whole.
+The encoder takes a text apart with the tokenizer's own pattern, gives new parts to the tokenizer's model and remembers the
+ids of frequent ones; texts with characters on whose class libraries may differ, or with a special token's string, go to
+the tokenizer as a whole.
 
 Defined results: null texts are empty and get the end id only; rows without doc_id come last; rows with one doc_id stand
 in the order of their texts' hashes; empty tables give one empty file.
@@ -42,43 +43,65 @@ def default_tokenizer() -> str:
 
 
 class Encoder(dict):
-    """part of a text -> its ids as bytes, filled by the tokenizer as parts come"""
+    """part of a text -> its ids as bytes, filled by the tokenizer's model as parts come
 
-    #: fixed values: the pattern of byte-level encoders, and what it amounts to for ASCII
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+    When half of what may be remembered is reached, the parts become the old ones; old parts that come again are taken
+    over, so frequent parts are not encoded anew.
+    """
+
+    #: fixed values: the pattern of byte-level encoders, with the letters and numbers below U+0250
+    LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+    NUMBERS = r"0-9\xb2\xb3\xb9\xbc-\xbe"
+    PATTERN = rf" ?[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
+    ASCII = r" ?[A-Za-z]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
     ODD = r"[\x1c-\x1fɐ-\U0010ffff]"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
+        self.old: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([self.ODD, *added]))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile(self.ODD).search
         byte_level = isinstance(self.tokenizer.pre_tokenizer, ByteLevel) and not self.tokenizer.pre_tokenizer.add_prefix_space
         self.in_parts = byte_level and self.tokenizer.normalizer is None
         self.ascii_parts = re.compile(self.ASCII, re.ASCII).findall
-        self.parts = regex.compile(self.PATTERN).findall
+        self.parts = re.compile(self.PATTERN).findall
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
 
     def __missing__(self, part: str) -> bytes:
-        ids = array("i", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+        ids = self.old.get(part)
+        if ids is None:
+            if part.isascii() and part.isprintable():
+                letters = part.replace(" ", "\u0120")
+            else:
+                letters = part.encode().decode("latin-1").translate(self.letters)
+            ids = array("i", [t.id for t in self.model.tokenize(letters)]).tobytes()
         if len(part) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
+            if len(self) >= REMEMBERED // 2:
+                self.old = dict(self)
                 self.clear()
             self[part] = ids
         return ids
 
     def encode(self, text: str) -> np.ndarray:
-        if not self.in_parts or self.whole.search(text):
+        if not self.in_parts or self.odd(text) or any(t in text for t in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
         parts = self.ascii_parts(text) if text.isascii() else self.parts(text)
         return np.frombuffer(b"".join(map(self.__getitem__, parts)), np.int32)
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letters that byte-level encoders write for bytes: printable ones are themselves, the others follow U+00FF."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 0x100 + k for k, b in enumerate(others)}
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)

@@ -15,6 +15,31 @@ def test_parts_give_what_the_whole_text_gives():
         assert encoder.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_letters_below_the_odd_ones():
+    encoder = orc_tokens.encoder(orc_tokens.default_tokenizer())
+    rng = random.Random(5)
+    signs = [chr(c) for c in range(0x250)] + ["'re", "'s", "  ", "\n"]
+    for _ in range(3000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(20)))
+        assert encoder.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_parts_that_come_again_are_not_encoded_anew(monkeypatch):
+    monkeypatch.setattr(orc_tokens, "REMEMBERED", 8)
+    encoder = orc_tokens.Encoder(orc_tokens.default_tokenizer())
+    model, given = encoder.model, []
+
+    class Counted:
+        def tokenize(self, part):
+            given.append(part)
+            return model.tokenize(part)
+
+    encoder.model = Counted()
+    text = " ".join(f"{a}{b} the" for a in "abcdef" for b in "abcdef")
+    assert encoder.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert given.count("\u0120the") == 1 and len(encoder) + len(encoder.old) <= 8
+
+
 def test_files_against_the_library(spark, odd_docs, no_docs):
     encoder = orc_tokens.encoder(orc_tokens.default_tokenizer())
     docs = odd_docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
