@@ -8,6 +8,10 @@ no more than the edits allow (many variants of one line meet, few of them are th
 distance: the 2 threshold + 1 diagonals around the main one are bits of one number, and each character of a line moves
 all of them on by a few operations on it.
 
+Lines of which many have a segment in common (variants of one line, lines with one beginning) do not all meet: they are cut
+into eight segments, and meet if they agree outside two of them, which two edits cannot avoid.  There each is compared with
+the earliest first, and two lines no more if the later one is settled by that.
+
 A line goes if an equal one stands before it, or one within the threshold; before means smaller (doc_id, line number), rows
 without doc_id last.  Blank lines (no word) stay, and lines shorter than ``least_chars`` count as near to equal ones only.
 Rows of one doc_id count as one document, repeated rows lose the same lines.  Null and empty texts stay as they are.
@@ -18,7 +22,7 @@ line that stands everywhere takes part in the join once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE_CHARS, bound, release, row_key, settled
@@ -27,6 +31,8 @@ THRESHOLD = 2
 LEAST_CHARS = 24
 #: characters whose counts are compared before two lines are; any choice gives the same result
 COUNTED = "ethnaso"
+CROWD = 16  #: more lines than these under one key meet by finer keys
+FINE = 8  #: segments of the finer keys
 
 
 def _place(doc_id: str, pos: str) -> Column:
@@ -171,32 +177,109 @@ def _may_be_near(a: Column, b: Column, threshold: int) -> tuple[Column, Column]:
     return longer, apart + longer <= 2 * threshold
 
 
-def near_pairs(distinct: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """Pairs (a, b) of lid whose lines are within the threshold; ``distinct`` has lid, line, n_chars and counts."""
-    long = distinct.filter(F.col("n_chars") >= max(least_chars, 2 * threshold + 1)).withColumn("bytes", F.col("line").cast("binary"))
-    index = long.select(F.explode(_keys(_posted, threshold)).alias("key"), F.col("lid").alias("b"), F.col("counts").alias("cb"))
-    probe = long.select(F.explode(_keys(_probes, threshold)).alias("key"), F.col("lid").alias("a"), F.col("counts").alias("ca"))
-    longer, alike = _may_be_near(F.col("ca"), F.col("cb"), threshold)
-    met = probe.join(index, (probe["key"] == index["key"]) & ((longer > 0) | (F.col("a") > F.col("b"))) & alike)
+def _fine_keys(probing: bool) -> Column:
+    """(key) for every two of FINE segments: what is left of the line without them, under its length and their numbers.
+
+    A probing line may be longer by up to two; the edits can lie in the two segments left out in no other way than
+    ``moves`` lists (by how much each of them is longer)."""
+    n = F.col("n_chars")
+    moves = [(x, y) for x in range(-1, 3) for y in range(-1, 3) if 0 <= x + y and abs(x) + abs(y) <= 2] if probing else [(0, 0)]
+    ways = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip("ijxy", (i, j, x, y))))
+                     for i in range(FINE) for j in range(i + 1, FINE) for x, y in moves))
+
+    def key(w: Column) -> Column:
+        def ends(k: Column, length: Column) -> tuple[Column, Column]:
+            """How many characters stand before segment k, and up to its end."""
+            short, longer = F.floor(length / FINE).cast("int"), F.pmod(length, F.lit(FINE))
+            before = short * k + F.greatest(F.lit(0), k - (FINE - longer))
+            return before, before + short + F.when(k >= FINE - longer, 1).otherwise(0)
+
+        length = n - w["x"] - w["y"]  # of the posted line
+        (a, b), (c, d) = ends(w["i"], length), ends(w["j"], length)
+        b, c, d = b + w["x"], c + w["x"], d + w["x"] + w["y"]
+        rest = [F.substring("line", F.lit(1), a), F.substring("line", b + 1, c - b), F.substring("line", d + 1, n - d)]
+        return F.xxhash64(length, w["i"], w["j"], *rest)
+
+    return F.explode(F.transform(ways, key)).alias("key")
+
+
+def _verified(met: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) of lid in ``met`` that are within the threshold; ``texts`` has lid and line."""
     met = settled(met.select("a", "b").distinct(), "met")
-    release(distinct.sparkSession)
+    release(met.sparkSession)
     # the few lines that met, so that all texts move once at most
     some = met.select(F.col("a").alias("lid")).union(met.select("b")).distinct()
-    texts = settled(distinct.select("lid", "line").join(some, "lid", "left_semi"), "texts")
-    release(distinct.sparkSession)
+    texts = settled(texts.select("lid", "line").join(some, "lid", "left_semi"), "texts")
+    release(met.sparkSession)
     both = met.join(texts.toDF("a", "la"), "a").join(texts.toDF("b", "lb"), "b")
     return both.filter(within_edits(F.col("la"), F.col("lb"), threshold)).select("a", "b")
 
 
+def _later(pairs: DataFrame, places: DataFrame) -> DataFrame:
+    """lid of the line of each pair that has the larger place; ``places`` has lid and first."""
+    places = places.select("lid", "first")
+    both = pairs.join(places.toDF("a", "fa"), "a").join(places.toDF("b", "fb"), "b")
+    return both.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("lid")).distinct()
+
+
+def _near_in_crowds(crowd: DataFrame, threshold: int) -> DataFrame:
+    """lid of the lines (lid, first, line, n_chars, counts) that are near to an earlier one of them.
+
+    First each line is compared with the earliest line under each of its keys; the later of two near lines is settled,
+    and only pairs that would settle another line are compared after that.
+    """
+    def keyed(df: DataFrame, probing: bool) -> DataFrame:
+        at, *names = ("a", "ca", "fa", "ma") if probing else ("b", "cb", "fb", "mb")
+        columns = [F.col(c).alias(x) for c, x in zip(("counts", "first", "marked"), names)]
+        return df.select(_fine_keys(probing), F.col("lid").alias(at), *columns)
+
+    longer, alike = _may_be_near(F.col("ca"), F.col("cb"), threshold)
+    bare = crowd.withColumn("marked", F.lit(False))
+    earliest = keyed(bare, False).groupBy("key").agg(F.min(F.struct("fb", "b", "cb")).alias("e")).select("key", "e.b", "e.cb")
+    first = keyed(bare, True).join(earliest, "key").filter((F.col("a") != F.col("b")) & alike)
+    swap = (longer == 0) & (F.col("a") < F.col("b"))  # of two lines of one length the one with the larger lid is a
+    first = first.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
+    marked = settled(_later(_verified(first, crowd, threshold), crowd), "marked")
+    flagged = settled(crowd.join(marked.withColumn("marked", F.lit(True)), "lid", "left").withColumn(
+        "marked", F.coalesce("marked", F.lit(False))), "flagged")
+    probe, index = keyed(flagged, True), keyed(flagged, False)
+    settles = ~F.when(F.col("fa") > F.col("fb"), F.col("ma")).otherwise(F.col("mb"))
+    rest = probe.join(index, (probe["key"] == index["key"]) & ((longer > 0) | (F.col("a") > F.col("b"))) & alike & settles)
+    return marked.union(_later(_verified(rest, crowd, threshold), crowd)).distinct()
+
+
+def near_lines(distinct: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """lid of the lines within the threshold of an earlier one; ``distinct`` has lid, first, line, n_chars and counts.
+
+    Under a key with more than CROWD posted lines, lines meet one of them only, which tells that they are in a crowd;
+    crowds meet by finer keys.
+    """
+    long = distinct.filter(F.col("n_chars") >= max(least_chars, 2 * threshold + 1)).withColumn("bytes", F.col("line").cast("binary"))
+    index = long.select(F.explode(_keys(_posted, threshold)).alias("key"), F.col("lid").alias("b"), F.col("counts").alias("cb"))
+    probe = long.select(F.explode(_keys(_probes, threshold)).alias("key"), F.col("lid").alias("a"), F.col("counts").alias("ca"))
+    if threshold <= 2 <= FINE <= least_chars:  # what the finer keys are made for
+        same = Window.partitionBy("key")
+        index = index.withColumns({"crowded": F.count(F.lit(1)).over(same) > CROWD, "least": F.min("b").over(same)}).filter(
+            ~F.col("crowded") | (F.col("b") == F.col("least"))).drop("least")
+    else:
+        index = index.withColumn("crowded", F.lit(False))
+    longer, alike = _may_be_near(F.col("ca"), F.col("cb"), threshold)
+    met = probe.join(index.hint("shuffle_hash"), (probe["key"] == index["key"]) & (
+        F.col("crowded") | (((longer > 0) | (F.col("a") > F.col("b"))) & alike)))
+    met = settled(met.select("a", F.when(~F.col("crowded"), F.col("b")).alias("b")).distinct(), "meeting")
+    release(distinct.sparkSession)
+    near = _later(_verified(met.filter("b IS NOT NULL"), distinct, threshold), distinct)
+    crowd = settled(distinct.join(met.filter("b IS NULL").select(F.col("a").alias("lid")), "lid", "left_semi"), "crowd")
+    return near.union(_near_in_crowds(crowd, threshold)).distinct()
+
+
 def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(__k1, __k2, pos, equal) of each line that goes: equal tells an equal earlier line from a near one."""
     every = lines(docs.select("doc_id", "text"))
     distinct = settled(every.groupBy("line").agg(F.min("place").alias("first")).withColumns({
         "lid": F.monotonically_increasing_id(), "n_chars": F.length("line")}).withColumn("counts", _counts("line", "n_chars")), "lines")
     release(docs.sparkSession)
-    places = distinct.select("lid", "first")
-    pairs = near_pairs(distinct, threshold, least_chars).join(places.toDF("a", "fa"), "a").join(places.toDF("b", "fb"), "b")
-    near = pairs.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("lid")).distinct()
+    near = near_lines(distinct, threshold, least_chars)
     h1, h2 = row_key("line")
     judged = distinct.join(near.withColumn("near", F.lit(True)), "lid", "left").select(
         h1.alias("h1"), h2.alias("h2"), "first", F.coalesce("near", F.lit(False)).alias("near"))

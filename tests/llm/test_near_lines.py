@@ -71,6 +71,39 @@ def test_banded_distance(spark):
         assert wrong.count() == 0
 
 
+def test_crowds_by_brute_force(spark, monkeypatch):
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcé ") for _ in range(60))
+    lines = [changed(rng, base, rng.randrange(0, 4)) for _ in range(70)] + [base[:30] + "".join(rng.choice("abé") for _ in range(30)) for _ in range(20)]
+    lines += [changed(rng, rng.choice(lines), 2) for _ in range(26)]
+    lines += [base[:25] + x for x in ("", "a", "bé", "cab")]
+    rng.shuffle(lines)
+    rows = [(k, "\n".join(lines[4 * k:4 * k + 4])) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = {k: len(t) for k, t in by_brute_force(rows).items()}
+    for crowd in (16, 0):
+        monkeypatch.setattr(near_lines, "CROWD", crowd)
+        assert {r["doc_id"]: r["kept_chars"] for r in near_lines.line_counts(docs).collect()} == wanted
+
+
+def test_crowds_do_not_all_meet(spark, monkeypatch):
+    """Variants of one line with words of their own, more than the threshold apart, are not compared in pairs."""
+    rng = random.Random(10)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)]
+    lines = []
+    for _ in range(150):
+        own = list(words)
+        for k in rng.sample(range(40), 8):
+            own[k] = "".join(rng.sample(own[k], 6))  # counts of characters stay
+        lines.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").cache()
+    compared, verified = [], near_lines._verified
+    monkeypatch.setattr(near_lines, "_verified", lambda met, *rest: compared.append(met.distinct().count()) or verified(met, *rest))
+    found = {r["doc_id"] for r in near_lines.line_counts(docs).collect() if r["n_near"]}
+    pairs = docs.alias("a").join(docs.alias("b"), F.expr("a.doc_id < b.doc_id AND levenshtein(a.text, b.text) <= 2"))
+    assert sum(compared) < 150 and found == {r[0] for r in pairs.select("b.doc_id").collect()}
+
+
 def test_odd_rows(odd_docs, no_docs):
     found = near_lines.without_repeated_lines(odd_docs)
     assert found.schema == odd_docs.schema
