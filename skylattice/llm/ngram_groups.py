@@ -270,7 +270,8 @@ def class_links(docs: DataFrame, signed: DataFrame, classes: DataFrame) -> DataF
     leaders = involved.groupBy("g").agg(F.min("cid").alias("leader"))
     members = involved.join(leaders, "g")
     stars = members.filter("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b"))
-    across = asked.filter("g <> gq").join(leaders.withColumnRenamed("leader", "b"), "g").join(
+    # any number of near copies asks one group from one other: the two leaders are a pair once
+    across = asked.filter("g <> gq").select("g", "gq").distinct().join(leaders.withColumnRenamed("leader", "b"), "g").join(
         leaders.select(F.col("g").alias("gq"), F.col("leader").alias("a")), "gq").select(F.least("a", "b"), F.greatest("a", "b"))
     near = settled(_linked(stars.union(across).distinct(), sets), "near")
     known = components(near)
