@@ -31,7 +31,7 @@ THRESHOLD = 2
 LEAST_CHARS = 24
 #: characters whose counts are compared before two lines are; any choice gives the same result
 COUNTED = "ethnaso"
-CROWD = 16  #: more lines than these under one key meet by finer keys
+CROWD = 64  #: more lines than these under one key meet by finer keys
 FINE = 8  #: segments of the finer keys
 
 
@@ -228,21 +228,21 @@ def _near_in_crowds(crowd: DataFrame, threshold: int) -> DataFrame:
     First each line is compared with the earliest line under each of its keys; the later of two near lines is settled,
     and only pairs that would settle another line are compared after that.
     """
-    def keyed(df: DataFrame, probing: bool) -> DataFrame:
-        at, *names = ("a", "ca", "fa", "ma") if probing else ("b", "cb", "fb", "mb")
-        columns = [F.col(c).alias(x) for c, x in zip(("counts", "first", "marked"), names)]
+    def keyed(df: DataFrame, probing: bool, more: tuple[str, ...]) -> DataFrame:
+        at = "a" if probing else "b"
+        columns = [F.col(c).alias(c[0] + at) for c in ("counts", *more)]
         return df.select(_fine_keys(probing), F.col("lid").alias(at), *columns)
 
     longer, alike = _may_be_near(F.col("ca"), F.col("cb"), threshold)
-    bare = crowd.withColumn("marked", F.lit(False))
-    earliest = keyed(bare, False).groupBy("key").agg(F.min(F.struct("fb", "b", "cb")).alias("e")).select("key", "e.b", "e.cb")
-    first = keyed(bare, True).join(earliest, "key").filter((F.col("a") != F.col("b")) & alike)
+    earliest = keyed(crowd, False, ("first",)).groupBy("key").agg(F.min(F.struct("fb", "b", "cb")).alias("e")).select("key", "e.b", "e.cb")
+    first = keyed(crowd, True, ()).join(earliest, "key").filter((F.col("a") != F.col("b")) & alike)
     swap = (longer == 0) & (F.col("a") < F.col("b"))  # of two lines of one length the one with the larger lid is a
     first = first.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
     marked = settled(_later(_verified(first, crowd, threshold), crowd), "marked")
+    release(crowd.sparkSession)
     flagged = settled(crowd.join(marked.withColumn("marked", F.lit(True)), "lid", "left").withColumn(
         "marked", F.coalesce("marked", F.lit(False))), "flagged")
-    probe, index = keyed(flagged, True), keyed(flagged, False)
+    probe, index = (keyed(flagged, p, ("first", "marked")) for p in (True, False))
     settles = ~F.when(F.col("fa") > F.col("fb"), F.col("ma")).otherwise(F.col("mb"))
     rest = probe.join(index, (probe["key"] == index["key"]) & ((longer > 0) | (F.col("a") > F.col("b"))) & alike & settles)
     return marked.union(_later(_verified(rest, crowd, threshold), crowd)).distinct()
@@ -268,9 +268,13 @@ def near_lines(distinct: DataFrame, threshold: int = THRESHOLD, least_chars: int
         F.col("crowded") | (((longer > 0) | (F.col("a") > F.col("b"))) & alike)))
     met = settled(met.select("a", F.when(~F.col("crowded"), F.col("b")).alias("b")).distinct(), "meeting")
     release(distinct.sparkSession)
-    near = _later(_verified(met.filter("b IS NOT NULL"), distinct, threshold), distinct)
+    near = settled(_later(_verified(met.filter("b IS NOT NULL"), distinct, threshold), distinct), "near")
+    release(distinct.sparkSession)
     crowd = settled(distinct.join(met.filter("b IS NULL").select(F.col("a").alias("lid")), "lid", "left_semi"), "crowd")
-    return near.union(_near_in_crowds(crowd, threshold)).distinct()
+    release(distinct.sparkSession)
+    near = settled(near.union(_near_in_crowds(crowd, threshold)).distinct(), "near")
+    release(distinct.sparkSession)
+    return near
 
 
 def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS) -> DataFrame:
