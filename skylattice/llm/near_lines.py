@@ -33,6 +33,7 @@ LEAST_CHARS = 24
 COUNTED = "ethnaso"
 CROWD = 64  #: more lines than these under one key meet by finer keys
 FINE = 8  #: segments of the finer keys
+MARK_BITS = 24  #: size of the map of the lines asked for
 
 
 def _place(doc_id: str, pos: str) -> Column:
@@ -203,23 +204,39 @@ def _fine_keys(probing: bool) -> Column:
     return F.explode(F.transform(ways, key)).alias("key")
 
 
+def _some(rows: DataFrame, lids: DataFrame) -> DataFrame:
+    """The rows (with lid) whose lid is among ``lids``.
+
+    Lids are hashed to the bits of a map of fixed size that every task gets, so that of all rows only those with a bit,
+    few where few are asked for, move to the exact join.
+    """
+    def hashed(df: DataFrame) -> DataFrame:
+        return df.withColumn("__h", F.pmod(F.xxhash64("lid"), F.lit(1 << MARK_BITS)))
+
+    bucket, bit = F.shiftright("__h", 15), F.col("__h").bitwiseAND(F.lit(32767))  # as many bits as Spark's bitmaps have
+    marks = hashed(lids.select("lid")).groupBy(bucket.alias("__bucket")).agg(F.bitmap_construct_agg(bit).alias("__marks"))
+    byte = F.conv(F.hex(F.substring("__marks", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = hashed(rows).withColumn("__bucket", bucket).join(F.broadcast(marks), "__bucket").filter(
+        F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1)
+    return marked.select(*rows.columns).join(lids.select("lid"), "lid", "left_semi")
+
+
 def _verified(met: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) of lid in ``met`` that are within the threshold; ``texts`` has lid and line."""
+    """The pairs (a, b) of lid in ``met`` that are within the threshold, with their places (fa, fb); ``texts`` has lid, line
+    and first."""
     met = settled(met.select("a", "b").distinct(), "met")
     release(met.sparkSession)
-    # the few lines that met, so that all texts move once at most
+    # the few lines that met, so that other texts do not move
     some = met.select(F.col("a").alias("lid")).union(met.select("b")).distinct()
-    texts = settled(texts.select("lid", "line").join(some, "lid", "left_semi"), "texts")
+    texts = settled(_some(texts.select("lid", "line", "first"), some), "texts")
     release(met.sparkSession)
-    both = met.join(texts.toDF("a", "la"), "a").join(texts.toDF("b", "lb"), "b")
-    return both.filter(within_edits(F.col("la"), F.col("lb"), threshold)).select("a", "b")
+    both = met.join(texts.toDF("a", "la", "fa"), "a").join(texts.toDF("b", "lb", "fb"), "b")
+    return both.filter(within_edits(F.col("la"), F.col("lb"), threshold)).select("a", "b", "fa", "fb")
 
 
-def _later(pairs: DataFrame, places: DataFrame) -> DataFrame:
-    """lid of the line of each pair that has the larger place; ``places`` has lid and first."""
-    places = places.select("lid", "first")
-    both = pairs.join(places.toDF("a", "fa"), "a").join(places.toDF("b", "fb"), "b")
-    return both.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("lid")).distinct()
+def _later(pairs: DataFrame) -> DataFrame:
+    """lid of the line of each pair that has the larger place."""
+    return pairs.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("lid")).distinct()
 
 
 def _near_in_crowds(crowd: DataFrame, threshold: int) -> DataFrame:
@@ -238,14 +255,14 @@ def _near_in_crowds(crowd: DataFrame, threshold: int) -> DataFrame:
     first = keyed(crowd, True, ()).join(earliest, "key").filter((F.col("a") != F.col("b")) & alike)
     swap = (longer == 0) & (F.col("a") < F.col("b"))  # of two lines of one length the one with the larger lid is a
     first = first.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
-    marked = settled(_later(_verified(first, crowd, threshold), crowd), "marked")
+    marked = settled(_later(_verified(first, crowd, threshold)), "marked")
     release(crowd.sparkSession)
     flagged = settled(crowd.join(marked.withColumn("marked", F.lit(True)), "lid", "left").withColumn(
         "marked", F.coalesce("marked", F.lit(False))), "flagged")
     probe, index = (keyed(flagged, p, ("first", "marked")) for p in (True, False))
     settles = ~F.when(F.col("fa") > F.col("fb"), F.col("ma")).otherwise(F.col("mb"))
     rest = probe.join(index, (probe["key"] == index["key"]) & ((longer > 0) | (F.col("a") > F.col("b"))) & alike & settles)
-    return marked.union(_later(_verified(rest, crowd, threshold), crowd)).distinct()
+    return marked.union(_later(_verified(rest, crowd, threshold))).distinct()
 
 
 def near_lines(distinct: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -268,9 +285,9 @@ def near_lines(distinct: DataFrame, threshold: int = THRESHOLD, least_chars: int
         F.col("crowded") | (((longer > 0) | (F.col("a") > F.col("b"))) & alike)))
     met = settled(met.select("a", F.when(~F.col("crowded"), F.col("b")).alias("b")).distinct(), "meeting")
     release(distinct.sparkSession)
-    near = settled(_later(_verified(met.filter("b IS NOT NULL"), distinct, threshold), distinct), "near")
+    near = settled(_later(_verified(met.filter("b IS NOT NULL"), distinct, threshold)), "near")
     release(distinct.sparkSession)
-    crowd = settled(distinct.join(met.filter("b IS NULL").select(F.col("a").alias("lid")), "lid", "left_semi"), "crowd")
+    crowd = settled(_some(distinct, met.filter("b IS NULL").select(F.col("a").alias("lid"))), "crowd")
     release(distinct.sparkSession)
     near = settled(near.union(_near_in_crowds(crowd, threshold)).distinct(), "near")
     release(distinct.sparkSession)

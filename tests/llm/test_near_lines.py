@@ -104,6 +104,25 @@ def test_crowds_do_not_all_meet(spark, monkeypatch):
     assert sum(compared) < 150 and found == {r[0] for r in pairs.select("b.doc_id").collect()}
 
 
+def test_some_rows_are_found_before_others_move(spark, monkeypatch):
+    """Of all texts only those with a bit in the map reach the exact join, whatever a join may broadcast by itself."""
+    monkeypatch.setattr(near_lines, "MARK_BITS", 17)
+    rows = spark.range(0, 20000).selectExpr("id * 7 - 5000 AS lid", "concat('line ', id) AS line").union(
+        spark.createDataFrame([(None, "no lid"), (1 << 62, "large")], "lid long, line string"))
+    lids = spark.createDataFrame([(k * 7 - 5000,) for k in range(0, 20000, 50)] + [(3,), (None,), (1 << 62,)], "lid long")
+    wanted = rows.join(F.broadcast(lids), "lid", "left_semi").collect()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = near_lines._some(rows, lids)
+        assert found.columns == rows.columns and sorted(found.collect()) == sorted(wanted) and len(wanted) == 401
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [__bucket" in plan
+        assert near_lines._some(rows, lids.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_odd_rows(odd_docs, no_docs):
     found = near_lines.without_repeated_lines(odd_docs)
     assert found.schema == odd_docs.schema
