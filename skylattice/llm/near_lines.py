@@ -208,7 +208,7 @@ def _some(rows: DataFrame, lids: DataFrame) -> DataFrame:
     """The rows (with lid) whose lid is among ``lids``.
 
     Lids are hashed to the bits of a map of fixed size that every task gets, so that of all rows only those with a bit,
-    few where few are asked for, move to the exact join.
+    few where few are asked for, move to the exact join.  That is no semi join, which Spark would make before the other.
     """
     def hashed(df: DataFrame) -> DataFrame:
         return df.withColumn("__h", F.pmod(F.xxhash64("lid"), F.lit(1 << MARK_BITS)))
@@ -218,7 +218,7 @@ def _some(rows: DataFrame, lids: DataFrame) -> DataFrame:
     byte = F.conv(F.hex(F.substring("__marks", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     marked = hashed(rows).withColumn("__bucket", bucket).join(F.broadcast(marks), "__bucket").filter(
         F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1)
-    return marked.select(*rows.columns).join(lids.select("lid"), "lid", "left_semi")
+    return marked.join(lids.select("lid").distinct(), "lid").select(*rows.columns)
 
 
 def _verified(met: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
