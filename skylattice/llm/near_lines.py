@@ -17,7 +17,8 @@ without doc_id last.  Blank lines (no word) stay, and lines shorter than ``least
 Rows of one doc_id count as one document, repeated rows lose the same lines.  Null and empty texts stay as they are.
 
 Everything is DataFrame operations on whole lines; distinct lines are found with counts combined on the map side, so a
-line that stands everywhere takes part in the join once.
+line that stands everywhere takes part in the join once.  Sides of joins are sorted, never sent to the driver to be broadcast: how
+much a line's keys or texts take says nothing of the size of the file Spark would judge them by.
 """
 
 from __future__ import annotations
@@ -218,7 +219,7 @@ def _some(rows: DataFrame, lids: DataFrame) -> DataFrame:
     byte = F.conv(F.hex(F.substring("__marks", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     marked = hashed(rows).withColumn("__bucket", bucket).join(F.broadcast(marks), "__bucket").filter(
         F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1)
-    return marked.join(lids.select("lid").distinct(), "lid").select(*rows.columns)
+    return marked.join(lids.select("lid").distinct().hint("merge"), "lid").select(*rows.columns)
 
 
 def _verified(met: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
@@ -230,7 +231,7 @@ def _verified(met: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     some = met.select(F.col("a").alias("lid")).union(met.select("b")).distinct()
     texts = settled(_some(texts.select("lid", "line", "first"), some), "texts")
     release(met.sparkSession)
-    both = met.join(texts.toDF("a", "la", "fa"), "a").join(texts.toDF("b", "lb", "fb"), "b")
+    both = met.join(texts.toDF("a", "la", "fa").hint("merge"), "a").join(texts.toDF("b", "lb", "fb").hint("merge"), "b")
     return both.filter(within_edits(F.col("la"), F.col("lb"), threshold)).select("a", "b", "fa", "fb")
 
 
@@ -252,16 +253,16 @@ def _near_in_crowds(crowd: DataFrame, threshold: int) -> DataFrame:
 
     longer, alike = _may_be_near(F.col("ca"), F.col("cb"), threshold)
     earliest = keyed(crowd, False, ("first",)).groupBy("key").agg(F.min(F.struct("fb", "b", "cb")).alias("e")).select("key", "e.b", "e.cb")
-    first = keyed(crowd, True, ()).join(earliest, "key").filter((F.col("a") != F.col("b")) & alike)
+    first = keyed(crowd, True, ()).join(earliest.hint("merge"), "key").filter((F.col("a") != F.col("b")) & alike)
     swap = (longer == 0) & (F.col("a") < F.col("b"))  # of two lines of one length the one with the larger lid is a
     first = first.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
     marked = settled(_later(_verified(first, crowd, threshold)), "marked")
     release(crowd.sparkSession)
-    flagged = settled(crowd.join(marked.withColumn("marked", F.lit(True)), "lid", "left").withColumn(
+    flagged = settled(crowd.join(marked.withColumn("marked", F.lit(True)).hint("merge"), "lid", "left").withColumn(
         "marked", F.coalesce("marked", F.lit(False))), "flagged")
     probe, index = (keyed(flagged, p, ("first", "marked")) for p in (True, False))
     settles = ~F.when(F.col("fa") > F.col("fb"), F.col("ma")).otherwise(F.col("mb"))
-    rest = probe.join(index, (probe["key"] == index["key"]) & ((longer > 0) | (F.col("a") > F.col("b"))) & alike & settles)
+    rest = probe.join(index.hint("merge"), (probe["key"] == index["key"]) & ((longer > 0) | (F.col("a") > F.col("b"))) & alike & settles)
     return marked.union(_later(_verified(rest, crowd, threshold))).distinct()
 
 
@@ -302,9 +303,10 @@ def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int
     release(docs.sparkSession)
     near = near_lines(distinct, threshold, least_chars)
     h1, h2 = row_key("line")
-    judged = distinct.join(near.withColumn("near", F.lit(True)), "lid", "left").select(
+    judged = distinct.join(near.withColumn("near", F.lit(True)).hint("merge"), "lid", "left").select(
         h1.alias("h1"), h2.alias("h2"), "first", F.coalesce("near", F.lit(False)).alias("near"))
-    at = every.select("__k1", "__k2", "pos", "place", h1.alias("h1"), h2.alias("h2")).join(settled(judged, "judged"), ["h1", "h2"])
+    at = every.select("__k1", "__k2", "pos", "place", h1.alias("h1"), h2.alias("h2")).join(
+        settled(judged, "judged").hint("merge"), ["h1", "h2"])
     equal = F.col("place") > F.col("first")
     return at.filter(equal | F.col("near")).select("__k1", "__k2", "pos", equal.alias("equal"))
 
@@ -315,7 +317,7 @@ def _marked(docs: DataFrame, threshold: int, least_chars: int) -> DataFrame:
         F.collect_list("pos").alias("__gone"), F.sum(F.col("equal").cast("long")).alias("__n_equal"),
         F.sum((~F.col("equal")).cast("long")).alias("__n_near"))
     k1, k2 = row_key("doc_id", "text")
-    return docs.withColumns({"__k1": k1, "__k2": k2}).join(gone, ["__k1", "__k2"], "left").drop("__k1", "__k2")
+    return docs.withColumns({"__k1": k1, "__k2": k2}).join(gone.hint("merge"), ["__k1", "__k2"], "left").drop("__k1", "__k2")
 
 
 def _rest(text: str, gone: str) -> Column:

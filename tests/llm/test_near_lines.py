@@ -130,3 +130,26 @@ def test_odd_rows(odd_docs, no_docs):
     assert sorted(r["doc_id"] or 0 for r in found.collect()) == [0, 1, 2, 3, 4, 6, 7, 7, 8, 9]
     assert near_lines.line_counts(odd_docs).count() == odd_docs.count()
     assert near_lines.line_counts(no_docs).count() == 0 and near_lines.without_repeated_lines(no_docs).count() == 0
+
+
+def test_no_side_of_a_join_goes_to_the_driver(spark, monkeypatch):
+    """A file of lines in a crowd is small, their keys are not: only maps of the lines asked for, of fixed size, are broadcast."""
+    rng = random.Random(9)
+    lines = ["one beginning that all of the lines share " + "".join(rng.choices("abcdefgh", k=20)) for _ in range(120)]
+    lines += [changed(rng, x, 1) for x in lines[:20]]
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    joins, write = [], near_lines.settled
+
+    def planned(df):
+        return [x for x in df._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join" in x]
+
+    def noted(df, name):
+        joins.extend(planned(df))
+        return write(df, name)
+
+    monkeypatch.setattr(near_lines, "settled", noted)
+    counts = near_lines.line_counts(docs)
+    joins.extend(planned(counts))
+    assert sum(r["n_near"] for r in counts.collect()) == 20
+    broadcast = [x for x in joins if "Broadcast" in x]
+    assert broadcast and len(joins) > 10 and all("__bucket" in x for x in broadcast)
