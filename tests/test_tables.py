@@ -214,3 +214,15 @@ def test_pairs_are_dealt_over_tasks(spark):
 def test_matches_run_in_many_tasks(spark):
     a, b = _sky(spark, 3000, 1, 0.5).coalesce(1), _sky(spark, 300, 2, 0.5).coalesce(1)
     assert crossmatch.crossmatch(a, b, 3.0, slice_rows=2000).rdd.getNumPartitions() >= 8
+
+
+def test_hot_pairs_are_cut_on_both_sides(spark):
+    """A key with many rows on both sides copies neither of them to every slice."""
+    left, right = (spark.range(n).select(F.lit(7).alias("k"), F.col("id").alias(c)) for n, c in ((2000, "a"), (3000, "b")))
+    a, b = skew.spread_pairs(left, right, ["k"], pair_rows=50_000)
+    assert a.count() + b.count() < 2 * 11 * 3000
+    assert a.join(b, ["k", "__salt"]).select("a", "b").distinct().count() == a.join(b, ["k", "__salt"]).count() == 6_000_000
+    for m, n in ((1, 5000), (5000, 1)):
+        one, many = (spark.range(x).select(F.lit(7).alias("k"), F.col("id").alias(c)) for x, c in ((m, "a"), (n, "b")))
+        a, b = skew.spread_pairs(one, many, ["k"], pair_rows=500)
+        assert a.join(b, ["k", "__salt"]).select("a", "b").distinct().count() == 5000 and a.count() + b.count() <= 5010
