@@ -18,6 +18,7 @@ like other equal vectors.
 from __future__ import annotations
 
 import io
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,8 +32,11 @@ from .common import settled
 from .components import components
 
 COSINE = 0.9
-SHARDS, SHARD_ROWS = 8, 100_000  #: least number of shards, most classes in one
-BLOCK = 16_384  #: queries a task asks one shard
+SHARDS, SHARD_ROWS = 8, 25_000  #: least number of shards, most classes in one
+BLOCK, MOST_ASKED = 16_384, 32_768  #: queries a task asks one shard, where there are few blocks and where there are more than FEW_BLOCKS
+FEW_BLOCKS = 8
+WIDE = 64  #: vectors with more components than these are fewer in a shard and in a block
+AT_ONCE = 8_000_000  #: pairs of queries and points looked at at once
 LINKS = 16  #: neighbours of a point in a layer; twice as many in the lowest
 BUILD_BEAM, BEAM = 64, 48
 SIDE_BY_SIDE = 512  #: points inserted, or queries asked, at once
@@ -126,13 +130,13 @@ class Graph:
 
     def packed(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, ids=self.ids, copies=self.copies, exact=self.exact, **{f"layer{k}": x for k, x in enumerate(self.layers)})
+        np.savez(out, ids=self.ids, copies=self.copies, exact=self.exact, **{f"layer{k}": x.astype(np.int32) for k, x in enumerate(self.layers)})
         return out.getvalue()
 
     @staticmethod
     def unpacked(data: bytes) -> Graph:
         with np.load(io.BytesIO(data)) as x:
-            return Graph(x["ids"], x["copies"], x["exact"], [x[f"layer{k}"] for k in range(len(x.files) - 3)])
+            return Graph(x["ids"], x["copies"], x["exact"], [x[f"layer{k}"].astype(np.int64) for k in range(len(x.files) - 3)])
 
     def find(self, vectors: np.ndarray, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         entry = np.zeros((len(queries), 1), np.int64)
@@ -179,13 +183,17 @@ def build(ids: np.ndarray, copies: np.ndarray, exact: np.ndarray) -> Graph:
             point, start, count = np.unique(to, return_index=True, return_counts=True)
             place = np.arange(len(to)) - np.repeat(start, count)
             few = place < 2 * most
-            came = np.full((len(point), min(count.max(), 2 * most)), -1, np.int64)
-            came[np.repeat(np.arange(len(point)), count)[few], place[few]] = source[few]
-            came[(came[:, :, None] == near[point][:, None, :]).any(2)] = -1
-            pool = np.concatenate([near[point], came], 1)
-            sims = np.where(pool >= 0, np.einsum("ikd,id->ik", vectors[np.maximum(pool, 0)], vectors[point]), -np.inf)
-            best = np.argsort(-sims, 1, kind="stable")
-            near[point] = _diverse(vectors, np.take_along_axis(pool, best, 1), np.take_along_axis(sims, best, 1), most)
+            line, place, source = np.repeat(np.arange(len(point)), count)[few], place[few], source[few]
+            for low in range(0, len(point), SIDE_BY_SIDE):  # a batch can ask for links with many times as many points
+                some = point[low:low + SIDE_BY_SIDE]
+                own = slice(*np.searchsorted(line, (low, low + len(some))))
+                came = np.full((len(some), place[own].max() + 1), -1, np.int64)
+                came[line[own] - low, place[own]] = source[own]
+                came[(came[:, :, None] == near[some][:, None, :]).any(2)] = -1
+                pool = np.concatenate([near[some], came], 1)
+                sims = np.where(pool >= 0, np.einsum("ikd,id->ik", vectors[np.maximum(pool, 0)], vectors[some]), -np.inf)
+                best = np.argsort(-sims, 1, kind="stable")
+                near[some] = _diverse(vectors, np.take_along_axis(pool, best, 1), np.take_along_axis(sims, best, 1), most)
             done = stop
         layers.append(near)
     return Graph(ids, copies, exact, layers[::-1])
@@ -197,53 +205,56 @@ def links_in(graph: Graph, queries: np.ndarray, limit: float = COSINE, audited:
 
     ``own`` are the class ids of the queries: links with themselves prove nothing in the audit.
     """
+    found = dict(each_links(graph, queries, limit, audited, own))
+    return [found[k] for k in range(len(queries))]
+
+
+def each_links(graph: Graph, queries: np.ndarray, limit: float = COSINE, audited: int = AUDITED,
+               own: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Number and points (as in ``links_in``) of each query, in any order: of many near copies the links do not fit into memory."""
     vectors, q = graph.exact.astype(np.float32), queries.astype(np.float32)
     n = len(vectors)
-    found: list[np.ndarray] = [np.empty(0, np.int64)] * len(q)
+    at_once = max(1, min(SIDE_BY_SIDE, AT_ONCE // n))
 
     def exactly(rows: np.ndarray) -> Iterator[np.ndarray]:
-        at_once = max(1, 8_000_000 // n)
         for at in range(0, len(rows), at_once):
             yield from map(np.flatnonzero, queries[rows[at:at + at_once]] @ graph.exact.T >= limit)
 
-    def search(rows: np.ndarray, width: int) -> None:
-        for at in range(0, len(rows), max(1, min(SIDE_BY_SIDE, 100_000_000 // n))):
-            part = rows[at:at + max(1, min(SIDE_BY_SIDE, 100_000_000 // n))]
+    def search(rows: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray]]:
+        for at in range(0, len(rows), at_once):
+            part = rows[at:at + at_once]
             ids, sims = graph.find(vectors, q[part], width)
             near = sims >= limit - _SLACK
-            for r, i, k in zip(part, ids, near):
-                found[r] = i[k]
-            full = part[near.all(1)]  # a beam that is near as a whole may have more behind it
-            if len(full) and 4 * width * DEAR < n:
-                search(full, 4 * width)
+            full = near.all(1)  # a beam that is near as a whole may have more behind it
+            for r, i, k in zip(part[~full].tolist(), ids[~full], near[~full]):
+                yield r, i[k]
+            if 4 * width * DEAR < n:
+                yield from search(part[full], 4 * width)
             else:
-                for r, i in zip(full, exactly(full)):
-                    found[r] = i
+                yield from zip(part[full].tolist(), exactly(part[full]))
+
+    def verified(rows: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray]]:
+        for r, ids in search(rows, width):
+            yield r, ids[graph.exact[ids] @ queries[r] >= limit]
 
     order = np.random.default_rng(0).permutation(len(q))
-    truth: dict[int, np.ndarray] = {}
-    linked: list[tuple[int, np.ndarray]] = []
-    while len(truth) < len(q) and (len(truth) < audited or len(linked) < ENOUGH):
-        part = order[len(truth):len(truth) + audited]
+    done, linked = 0, {}
+    while done < len(q) and (done < audited or len(linked) < ENOUGH):
+        part = order[done:done + audited]
         for k, ids in zip(part.tolist(), exactly(part)):
-            truth[k] = ids
             others = ids if own is None else ids[graph.ids[ids] != own[k]]
             if len(others):
-                linked.append((k, others))
-    rest, width = order[len(truth):], BEAM
+                linked[k] = others
+            yield k, ids
+        done += len(part)
+    rest, width = order[done:], BEAM
     while len(rest) and width * DEAR < n:
-        search(order, width)
-        for r, ids in enumerate(found):
-            found[r] = ids[graph.exact[ids] @ queries[r] >= limit]
-        if np.mean([len(np.intersect1d(found[k], t)) / len(t) for k, t in linked]) >= RECALL:
-            break
+        sample = np.fromiter(linked, np.int64)
+        if np.mean([len(np.intersect1d(ids, linked[k])) / len(linked[k]) for k, ids in verified(sample, width)]) >= RECALL:
+            yield from verified(rest, width)
+            return
         width *= 2
-    else:
-        for k, ids in zip(rest.tolist(), exactly(rest)):
-            found[k] = ids
-    for k, ids in truth.items():
-        found[k] = ids
-    return found
+    yield from zip(rest.tolist(), exactly(rest))
 
 
 def _unit(batch_column: pa.Array) -> np.ndarray:
@@ -282,7 +293,7 @@ def _asked(limit: float):
         if queries.num_rows and graphs.num_rows:
             graph = Graph.unpacked(graphs["graph"][0].as_py())
             cids = queries["cid"].to_numpy()
-            found = links_in(graph, _unit(queries["v"].combine_chunks()), limit, own=cids)
+            asked = _unit(queries["v"].combine_chunks())
             part: dict[int, int] = {}
 
             def root(x: int) -> int:
@@ -290,7 +301,8 @@ def _asked(limit: float):
                     part[x] = x = part[part[x]]
                 return x
 
-            for cid, at in zip(cids.tolist(), found):
+            for k, at in each_links(graph, asked, limit, own=cids):
+                cid = int(cids[k])
                 others = at[graph.ids[at] != cid]
                 out.append((cid, int(graph.copies[others].sum()), None))
                 for other in graph.ids[others].tolist():
@@ -310,8 +322,10 @@ def near_vectors(vectors: DataFrame, limit: float = COSINE) -> DataFrame:
     classes = rows.filter("dim IS NOT NULL").groupBy("d1", "d2", "dim").agg(
         F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
     classes = settled(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    n = classes.count()
-    shards, blocks = max(SHARDS, -(-n // SHARD_ROWS)), max(1, -(-n // BLOCK))
+    n, dim = classes.agg(F.count(F.lit(1)), F.max("dim")).first()
+    wide = max(1.0, (dim or 0) / WIDE)
+    shards, blocks = max(SHARDS, math.ceil(n * wide / SHARD_ROWS)), max(
+        1, min(FEW_BLOCKS, -(-n // BLOCK)), math.ceil(n * wide / MOST_ASKED))
     placed = classes.withColumn("shard", F.pmod(F.xxhash64("cid"), F.lit(shards)).cast("int"))
     graphs = settled(placed.select("cid", "copies", "v", "dim", "shard").repartition(shards, "shard", "dim").groupBy("shard", "dim").applyInArrow(
         _built, "shard int, dim int, graph binary"), "graphs")

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 from skylattice.llm import vector_graphs
 
@@ -80,3 +82,23 @@ def test_odd_rows(spark):
         (1, 4, 1, True), (2, 4, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True),
         (8, 0, 8, True), (9, 4, 1, False), (9, 4, 1, False), (10, 0, 10, True), (11, 1, 11, True), (12, 1, 11, False), (None, 4, None, False)]
     assert vector_graphs.near_vectors(df.limit(0)).count() == 0
+
+
+def test_memory_stays_bounded_among_near_copies():
+    """Hubs that a whole batch links to, and queries that all link with each other: neither is held at once."""
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(40, 48))
+    v = np.concatenate([rng.normal(size=(6000, 48)), centers.repeat(60, 0) + rng.normal(scale=0.05, size=(2400, 48))])
+    v = v[rng.permutation(len(v))]
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    tracemalloc.start()
+    vector_graphs.build(np.arange(len(u)), np.ones(len(u), np.int64), u)
+    built = tracemalloc.get_traced_memory()[1]
+    same = rng.normal(size=48) + rng.normal(scale=0.02, size=(6000, 48))
+    same /= np.linalg.norm(same, axis=1, keepdims=True)
+    nothing = np.full((len(same), 1), -1)
+    graph = vector_graphs.Graph(np.arange(len(same)), np.ones(len(same), np.int64), same, [nothing])
+    tracemalloc.reset_peak()
+    assert sum(len(ids) for _, ids in vector_graphs.each_links(graph, same, own=np.arange(len(same)))) == 6000 * 6000
+    assert built < 70e6 and tracemalloc.get_traced_memory()[1] < 120e6
+    tracemalloc.stop()
